@@ -6,8 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing
-from .common import table
+from . import mpeg_audio, packing, toxicity
+from .common import fresh_dir, table
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    media = mpeg_audio.media_table(table(spark, sf_dir, "documents"), fresh_dir(spark, "media"))
+    probed = media.select("doc_id", mpeg_audio.probe("media").alias("p"))
+    return probed.select("doc_id", *(f"p.{c}" for c in ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "frames", "samples", "sample_rate", "duration_s", "bad_crc", "resyncs")))
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,7 +25,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op9_packing,)}
+    return {f.__name__: f for f in (op6_toxicity, op8_mpeg_audio, op9_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
