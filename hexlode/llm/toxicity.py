@@ -20,9 +20,9 @@ from .common import WordHasher
 
 BITS = 20
 #: Labelled rows that a model is fitted on at most, those with the smallest hashes of their doc_id; a bound on the driver's memory.
-MAX_ROWS = 6000
-EPOCHS = 3
-ALPHA, BETA, L1, L2 = 0.15, 1.0, 3.0, 1.0
+MAX_ROWS = 20_000
+EPOCHS = 4
+ALPHA, BETA, L1, L2 = 0.5, 1.0, 1.5, 1.0
 
 _SPACE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 _SALTS = (np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25))
