@@ -6,14 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mpeg_audio, packing, toxicity
+from . import license_scan, line_dedup, mpeg_audio, packing, toxicity
 from .common import fresh_dir, table
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = line_dedup.drop_boilerplate(table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "text", cleaned["_dropped"].alias("n_dropped"))
+
+
 def op8_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     media = mpeg_audio.media_table(table(spark, sf_dir, "documents"), fresh_dir(spark, "media"))
     probed = media.select("doc_id", mpeg_audio.probe("media").alias("p"))
@@ -25,8 +34,8 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_toxicity, op8_mpeg_audio, op9_packing)}
+    return {f.__name__: f for f in (op5_license_scan, op6_toxicity, op7_line_dedup, op8_mpeg_audio, op9_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_line_dedup": line_dedup.ORACLE_SQL}
