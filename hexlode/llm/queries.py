@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import license_scan, line_dedup, mpeg_audio, packing, toxicity
+from . import capfilters, license_scan, line_dedup, mixing, mpeg_audio, packing, toxicity
 from .common import fresh_dir, table
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.selectExpr("doc_id", "source", "_slot AS slot", "_block AS block", f"_slot * {mixing.BLOCK} + _at AS position")
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -33,8 +38,12 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op10_capfilters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return capfilters.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_license_scan, op6_toxicity, op7_line_dedup, op8_mpeg_audio, op9_packing)}
+    return {f.__name__: f for f in (op2_mixing, op5_license_scan, op6_toxicity, op7_line_dedup, op8_mpeg_audio, op9_packing, op10_capfilters)}
 
 
 def oracle_sql() -> dict[str, str]:
