@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import capfilters, license_scan, line_dedup, mixing, mpeg_audio, packing, toxicity
+from . import capfilters, license_scan, line_dedup, mixing, mpeg_audio, packing, toxicity, warc
 from .common import fresh_dir, table
 
 
@@ -15,6 +15,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.selectExpr("doc_id", "source", "_slot AS slot", "_block AS block", f"_slot * {mixing.BLOCK} + _at AS position")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages"))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -43,8 +47,8 @@ def op10_capfilters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_mixing, op5_license_scan, op6_toxicity, op7_line_dedup, op8_mpeg_audio, op9_packing, op10_capfilters)}
+    return {f.__name__: f for f in (op2_mixing, op3_warc, op5_license_scan, op6_toxicity, op7_line_dedup, op8_mpeg_audio, op9_packing, op10_capfilters)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_line_dedup": line_dedup.ORACLE_SQL}
+    return {"op3_warc": warc.ORACLE_SQL, "op7_line_dedup": line_dedup.ORACLE_SQL}
