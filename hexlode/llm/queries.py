@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import capfilters, license_scan, line_dedup, mixing, mpeg_audio, packing, toxicity, warc
+from . import capfilters, html_extract, license_scan, line_dedup, mixing, mpeg_audio, packing, toxicity, warc
 from .common import fresh_dir, table
 
 
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.selectExpr("doc_id", "source", "_slot AS slot", "_block AS block", f"_slot * {mixing.BLOCK} + _at AS position")
@@ -47,7 +51,7 @@ def op10_capfilters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_mixing, op3_warc, op5_license_scan, op6_toxicity, op7_line_dedup, op8_mpeg_audio, op9_packing, op10_capfilters)}
+    return {f.__name__: f for f in (op1_html_extract, op2_mixing, op3_warc, op5_license_scan, op6_toxicity, op7_line_dedup, op8_mpeg_audio, op9_packing, op10_capfilters)}
 
 
 def oracle_sql() -> dict[str, str]:
