@@ -39,9 +39,10 @@ def fresh_dir(spark: SparkSession, kind: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df materialised in the shared folder, with its lineage cut; lost executors cost nothing afterwards."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """df written to the shared folder and read back: its lineage is cut, lost executors cost nothing afterwards, and it is computed once (checkpoint() computes twice)."""
+    folder = fresh_dir(df.sparkSession, "cut")
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
 class WordHasher:

@@ -269,7 +269,7 @@ BOILERPLATE = {
 }
 
 
-def labelled_pages(n: int = 600, seed: int = 11) -> Iterator[str]:
+def labelled_pages(n: int = 1500, seed: int = 11) -> Iterator[str]:
     """Made-up pages of many shapes, labelled by data-main."""
     r = random.Random(seed)
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import capfilters, html_extract, license_scan, line_dedup, mixing, mpeg_audio, packing, toxicity, warc
+from . import capfilters, html_extract, license_scan, line_dedup, mixing, mpeg_audio, ngram_join, packing, toxicity, warc
 from .common import fresh_dir, table
 
 
@@ -23,6 +23,10 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages"))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.classes(table(spark, sf_dir, "documents"))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -51,7 +55,7 @@ def op10_capfilters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_extract, op2_mixing, op3_warc, op5_license_scan, op6_toxicity, op7_line_dedup, op8_mpeg_audio, op9_packing, op10_capfilters)}
+    return {f.__name__: f for f in (op1_html_extract, op2_mixing, op3_warc, op4_ngram_join, op5_license_scan, op6_toxicity, op7_line_dedup, op8_mpeg_audio, op9_packing, op10_capfilters)}
 
 
 def oracle_sql() -> dict[str, str]:
