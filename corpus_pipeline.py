@@ -1,25 +1,50 @@
-"""The corpus pipeline: each stage's output is written as Parquet and read again as the next one's documents."""
+"""The corpus pipeline: each stage's output is written as Parquet and read again as the next one's documents.
+
+Stages: documents that the toxicity model rejects go; lines that are boilerplate of their source go; one document of each
+group of near duplicates stays; sources are interleaved to their target weights; and the result is packed into sequences.
+All stages but the last return the columns of documents, extra ones included, and keep every other document.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hexlode.llm import packing
+from hexlode.llm import line_dedup, mixing, ngram_join, packing, toxicity
 from hexlode.llm.common import fresh_dir, table
 
 
-def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.rejected_dropped(docs, table(spark, sf_dir, "labels"))
+
+
+def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines go; n_chars follows where the text has changed."""
+    cleaned = line_dedup.drop_boilerplate(docs)
+    dropped = cleaned["_dropped"]
+    columns = [F.when(dropped > 0, F.length("text").cast("long")).otherwise(cleaned[c]).alias(c) if c == "n_chars" else cleaned[c] for c in docs.columns]
+    return cleaned.select(*columns)
+
+
+def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return ngram_join.one_of_each(docs)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed_order(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
-STAGES = [("packing", packed)]
-#: Packing by dynamic programming over token ids has no SQL.
+STAGES = [("toxicity", toxicity_stage), ("line_dedup", line_dedup_stage), ("ngram_join", ngram_join_stage), ("mixing", mixing_stage), ("packing", packing_stage)]
+#: The model, the components and the packing have no SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, folder = table(spark, sf_dir, "documents"), fresh_dir(spark, "pipeline")
     for i, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}-{name.replace(' ', '_')}")
-        docs = spark.read.parquet(f"{folder}/{i}-{name.replace(' ', '_')}")
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}-{name}")
+        docs = spark.read.parquet(f"{folder}/{i}-{name}")
     return docs
