@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 #: Hashes of words kept by one Python worker at most, before its cache starts anew.
-WORD_CACHE = 1_000_000
+WORD_CACHE = 150_000
 #: Odd multiplier of the rolling hash of neighbouring words.
 ROLL = np.uint64(0x9E3779B97F4A7C15)
 
