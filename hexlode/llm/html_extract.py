@@ -8,7 +8,7 @@ than not become the text's blocks.
 
 A block is the text between two block-level tags; its character references are decoded, its white space is turned into single
 spaces, and empty blocks go. br is white space. Unclosed and misnested tags are taken as browsers do it: a block's tag closes an
-open p, and an end tag closes what stands open inside its element. Scripts, styles, head and embedded objects hold no text.
+open p, and an end tag closes what stands open inside its element. Scripts, styles, head, text fields and embedded objects hold no text and end no block.
 
 Null and empty html give an empty text. Repeated rows give equal texts. Other columns stay as they are.
 """
@@ -138,10 +138,22 @@ def dom(page: str, cache: dict | None = None) -> list[Node]:
         if close:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == tag:
-                    pop(k)
+                    if tag in UNSEEN and k == len(stack) - 1:
+                        stack.pop()
+                        unseen -= 1
+                    else:
+                        pop(k)
                     break
             links = 0 if tag != "p" else links
             continue
+        if tag in RAW:
+            stop = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
+            at = stop.end() if stop else end
+            continue
+        if tag in UNSEEN:
+            stack.append(_Open(tag, stack[-1].node, stack[-1].label))
+            unseen += 1
+            continue
         if tag in CLOSES:
             inside, bound = CLOSES[tag]
             lowest = None
@@ -162,19 +174,12 @@ def dom(page: str, cache: dict | None = None) -> list[Node]:
                 cache.clear()
             made = cache[tag, attributes] = _features(tag, attributes)
         found, main = made
-        if not unseen and tag not in UNSEEN:
+        if unseen:
+            stack.append(_Open(tag, stack[-1].node, stack[-1].label))
+        else:
             label = int(main) if main is not None else stack[-1].label
             nodes.append(Node(stack[-1].node, found, None, label))
             stack.append(_Open(tag, len(nodes) - 1, label))
-        else:
-            stack.append(_Open(tag, stack[-1].node, stack[-1].label))
-        unseen += tag in UNSEEN
-        if tag in RAW:
-            stop = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-            if tag == "textarea":
-                words(page[at : stop.start() if stop else end])
-            at = stop.end() if stop else end
-            pop(len(stack) - 1)
     pop(0)
     return nodes
 
