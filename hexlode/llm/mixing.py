@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 BLOCK = 16
 SLOTS = 4096
 #: Rows of a hash range that are ranked together, about.
-RANGE = 20_000
+RANGE = 4000
 
 
 def parts(weights: Mapping[str | None, float], slots: int = SLOTS) -> dict[str | None, int]:
