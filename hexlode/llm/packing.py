@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 
 SEQUENCE = 2048
 #: Costs of a cut, in tokens of padding.
-SENTENCE, TRUNCATION = 4, 48
+SENTENCE, TRUNCATION = 2, 16
 END = 1
 #: Tokens that a stream gathers before it is packed; what the last window leaves starts the next one.
 CHUNK = 1 << 21
@@ -68,10 +68,10 @@ def default_path() -> str:
 
 
 def candidates(ends: np.ndarray, doc_ends: np.ndarray, total: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places where a window may end, with their penalties: document ends, sentence ends, and within longer runs every size // 16 tokens."""
+    """Places where a window may end, with their penalties: document ends, sentence ends, and within longer runs every size // 64 tokens."""
     at = np.union1d(ends, doc_ends)
     at = np.union1d(at, [total])
-    step = max(1, size // 16)
+    step = max(1, size // 64)
     gaps = np.diff(np.concatenate([[0], at]))
     if len(wide := np.flatnonzero(gaps > step)):
         starts = np.concatenate([[0], at])[wide]
