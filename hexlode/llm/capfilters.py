@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import cut
+from .common import cut, keep, scratch
 from .components import components
 
 COSINE = 0.93
@@ -86,7 +86,7 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i in range(0, len(at), 1024):
                 some = at[i : i + 1024]
                 filters = decoded(_unit([vectors[k] for k in some]))
-                yield pa.RecordBatch.from_arrays([pa.array([nodes[k] for k in some], pa.int64()), pa.array(filters, pa.list_(pa.int64()))], names=["node", "filters"])
+                yield pa.RecordBatch.from_arrays([pa.array([nodes[k] for k in some], pa.int64()), pa.array(filters, pa.list_(pa.int32()))], names=["node", "filters"])
 
 
 def _links(unit: np.ndarray, filters: list[np.ndarray], here: int, cosine: float, left: np.ndarray, right: np.ndarray, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -180,23 +180,24 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, chunk: int = CHU
     """vec_id, n_links, component_id and kept for every row of vectors(vec_id, label, embedding)."""
     x = F.col("embedding")
     sound = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double")) < float("inf"))) & F.exists(x, lambda v: v != 0)
-    rows = vectors.select("vec_id", "label", F.when(F.coalesce(sound & F.col("label").isNotNull() & F.col("vec_id").isNotNull(), F.lit(False)), F.transform(x, lambda v: v.cast("double"))).alias("vector"))
-    classes = cut(rows.where("vector is not null").groupBy("label", "vector").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies")))
-    filters = cut(classes.select("node", "vector").mapInArrow(_decode, "node long, filters array<long>"))
-    label = classes.select("node", "label", F.size("vector").alias("dim"), "copies", "vector").join(filters, "node")
-    held = cut(label)
-    places = held.select("label", "dim", "node", F.explode("filters").alias("filter"))
-    shared = places.groupBy("label", "dim", "filter").agg(F.count("*").alias("n")).where("n > 1")
-    met = places.join(shared, ["label", "dim", "filter"]).withColumn("chunks", F.ceil(F.col("n") / chunk).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    met = met.select("label", "dim", "filter", F.least("chunk", "other").alias("one"), F.greatest("chunk", "other").alias("two"), "node", "chunk")
-    met = met.join(held.select("node", "copies", "vector", "filters"), "node").select("label", "dim", "filter", "one", "two", "node", "copies", "chunk", "vector", "filters")
-    key = ["label", "dim", "filter", "one", "two"]
-    links = cut(met.repartition(*key).sortWithinPartitions(*key).mapInArrow(_compare(cosine), "node long, links long, root long"))
-    sums = links.groupBy("node").agg(F.sum("links").alias("links"))
-    roots = components(links.select(F.col("node").alias("u"), F.col("root").alias("v")).where("u <> v"))
-    least = roots.groupBy("root").agg(F.min("node").alias("component"))
-    found = classes.join(sums, "node", "left").join(roots.join(least, "root").select("node", "component"), "node", "left")
-    found = found.select("label", "vector", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "node").alias("component"))
-    out = rows.join(found, ["label", "vector"], "left").select("vec_id", F.coalesce("links", F.lit(0)).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+    rows = vectors.select("vec_id", "label", F.when(F.coalesce(sound & F.col("label").isNotNull() & F.col("vec_id").isNotNull(), F.lit(False)), x).alias("vector"))
+    with scratch(vectors.sparkSession):
+        classes = cut(rows.where("vector is not null").groupBy("label", "vector").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies")))
+        filters = cut(classes.select("node", "vector").mapInArrow(_decode, "node long, filters array<int>"))
+        label = classes.select("node", "label", F.size("vector").alias("dim"), "copies", "vector").join(filters, "node")
+        held = cut(label)
+        places = held.select("label", "dim", "node", F.explode("filters").alias("filter"))
+        shared = places.groupBy("label", "dim", "filter").agg(F.count("*").alias("n")).where("n > 1")
+        met = places.join(shared, ["label", "dim", "filter"]).withColumn("chunks", F.ceil(F.col("n") / chunk).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+        met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        met = met.select("label", "dim", "filter", F.least("chunk", "other").alias("one"), F.greatest("chunk", "other").alias("two"), "node", "chunk")
+        met = met.join(held.select("node", "copies", "vector", "filters"), "node").select("label", "dim", "filter", "one", "two", "node", "copies", "chunk", "vector", "filters")
+        key = ["label", "dim", "filter", "one", "two"]
+        links = cut(met.repartition(*key).sortWithinPartitions(*key).mapInArrow(_compare(cosine), "node long, links long, root long"))
+        sums = links.groupBy("node").agg(F.sum("links").alias("links"))
+        roots = components(links.select(F.col("node").alias("u"), F.col("root").alias("v")).where("u <> v"))
+        least = roots.groupBy("root").agg(F.min("node").alias("component"))
+        found = classes.join(sums, "node", "left").join(roots.join(least, "root").select("node", "component"), "node", "left")
+        found = found.select("label", "vector", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "node").alias("component"))
+        out = rows.join(found, ["label", "vector"], "left").select("vec_id", F.coalesce("links", F.lit(0)).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
+        return keep(out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False))))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import xxhash
@@ -38,13 +39,40 @@ def fresh_dir(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read back: its lineage is cut, lost executors cost nothing afterwards, and it is computed once (checkpoint() computes twice)."""
+#: Folders of the open scopes, the innermost last.
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What cut() writes within goes at the end; keep() saves a result from that."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for folder in _scopes.pop():
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _written(df: DataFrame, depth: int) -> DataFrame:
     folder = fresh_dir(df.sparkSession, "cut")
+    if len(_scopes) >= depth:
+        _scopes[-depth].append(folder)
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read back: its lineage is cut, lost executors cost nothing afterwards, and it is computed once (checkpoint() computes twice)."""
+    return _written(df, 1)
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """cut() for a scope's result, which goes with the scope around it."""
+    return _written(df, 2)
+
+
 class WordHasher:
     """64-bit hashes of words, with a bounded cache."""
 

@@ -14,9 +14,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import WordHasher
+from .common import WordHasher, cut, scratch
 
 BITS = 20
 #: Labelled rows that a model is fitted on at most, those with the smallest hashes of their doc_id; a bound on the driver's memory.
@@ -91,14 +92,21 @@ def held_out(doc_id: F.Column) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hasher = WordHasher()
+    for b in batches:
+        at = [np.unique(features(hasher, t)).tobytes() for t in b.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(at, pa.binary()), b.column(2)], names=["id", "at", "toxic"])
+
+
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     """A model from the labelled documents that are not held out, max_rows of them at most."""
-    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").alias("_id")).agg(F.avg("toxic").alias("_toxic"))
+    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.avg("toxic").alias("_toxic"))
     known = known.orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
-    found = docs.join(F.broadcast(known), docs["doc_id"] == F.col("_id"))  # max_rows bounds what is broadcast
-    hasher, rows = WordHasher(), {}
-    for doc_id, text, toxic in found.select("_id", docs["text"], "_toxic").toLocalIterator():
-        rows.setdefault(doc_id, (np.unique(features(hasher, text)), int(toxic >= 0.5)))
+    found = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("_id"))  # max_rows bounds what is broadcast
+    with scratch(docs.sparkSession):
+        found = cut(found.select("_id", "text", "_toxic").mapInArrow(_distinct, "id long, at binary, toxic double"))
+        rows = {r["id"]: (np.frombuffer(r["at"], dtype=np.int32), int(r["toxic"] >= 0.5)) for r in found.toLocalIterator()}  # max_rows of them at most
     order = np.random.default_rng(7).permutation(len(rows))
     ordered = [rows[k] for k in sorted(rows)]
     return fit([ordered[i] for i in order])
