@@ -29,7 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .common import WordHasher, cut, mixed, rolled
+from .common import WordHasher, cut, keep, mixed, rolled, scratch
 from .components import components
 
 WORDS = 4
@@ -38,8 +38,10 @@ PERCENT = 85
 HOT = 1_000_000
 #: Elements that a task counts at once, and the least local count that it reports.
 COUNTED, REPORTED = 1 << 22, 4
-#: Members of a list that its others meet in each round; pairs for each list entry at which all are checked.
-PIVOTS, PAIRS = 8, 4
+#: Members of a list that its others meet in the first round (twice as many in each later one); pairs for each list entry at which all are checked.
+PIVOTS, PAIRS = 2, 4
+#: A member's last lists that are compared so that a pair is made in one list rather than in all that its members share.
+SEEN = 4
 #: Rows of 16 bytes up to which a table of nodes is broadcast.
 BROADCAST_ROWS = 1_000_000
 #: Sizes, and parities of 256 bits (s and t), that allow a link.
@@ -106,6 +108,11 @@ def sketch(bitmap: bytes) -> list[int]:
     return np.bitwise_xor.reduce(np.frombuffer(bitmap, dtype=np.int64).reshape(-1, 4), axis=0).tolist()
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if it is counted to be small."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def _signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
 
@@ -244,7 +251,7 @@ class Join:
         return (found["elements"].to_numpy(np.uint64), found["c"].to_numpy(np.int64)), total["square"] / total["n"]
 
     def postings(self) -> DataFrame:
-        """(key, node, n) of all keys with two nodes or more."""
+        """(key, node, n) of all lists of two nodes or more; a key stands for its members."""
         hot, scan = self.hot()
         sizes = {r["n"]: r["count"] for r in self.nodes.where("n <= 40").groupBy("n").count().collect()}  # 40 rows at most
         limit = boundary(sizes, scan)
@@ -253,15 +260,19 @@ class Join:
         def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             return _keys(limit, shared.value)(batches)
 
-        made = cut(self.docs.mapInArrow(keyed, "node long, n int, keys array<long>, frequent array<long>"))
-        plain = made.select("node", "n", F.explode("keys").alias("key"))
-        by_key = W.partitionBy("key")
-        plain = plain.withColumn("a", F.min("node").over(by_key)).withColumn("b", F.max("node").over(by_key)).where("a <> b")
-        often = made.select("node", "n", F.explode("frequent").alias("key")).distinct()
-        # Frequent elements' lists may hold any share of all sets: aggregated, and joined back with their bounded number of keys.
-        heads = often.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("key")
-        often = often.join(F.broadcast(heads), "key")
-        return cut(plain.select("key", "node", "n").union(often.select("key", "node", "n")).distinct())
+        with scratch(self.spark):
+            made = cut(self.docs.mapInArrow(keyed, "node long, n int, keys array<long>, frequent array<long>"))
+            plain = made.select("node", "n", F.explode("keys").alias("key"))
+            member, by_key = F.xxhash64("node"), W.partitionBy("key")
+            # Near copies meet in many lists of the same members; these are one list from here on.
+            lists = [F.min("node").alias("a"), F.max("node").alias("b"), F.bit_xor(member).alias("x"), F.count("*").alias("c")]
+            plain = plain.select("node", "n", *(f.over(by_key).alias(name) for f, name in zip((F.min("node"), F.max("node"), F.bit_xor(member), F.count("*")), "abxc", strict=True))).where("a <> b")
+            often = made.select("node", "n", F.explode("frequent").alias("key"))
+            # Frequent elements' lists may hold any share of all sets: aggregated, and joined back with their bounded number of keys.
+            heads = often.groupBy("key").agg(*lists).where("a <> b")
+            often = often.join(F.broadcast(heads), "key")
+            both = plain.select("node", "n", "x", "c", "a", "b").union(often.select("node", "n", "x", "c", "a", "b"))
+            return keep(both.select(F.xxhash64("x", "c", "a", "b").alias("key"), "node", "n").distinct())
 
     @staticmethod
     def fitting(pairs: DataFrame) -> DataFrame:
@@ -270,57 +281,63 @@ class Join:
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs (u, v) that link."""
-        info = self.nodes.select("node", "n", "bitmap")
-        pairs = pairs.join(info.withColumnsRenamed({"node": "u", "bitmap": "x"}), "u").join(info.withColumnsRenamed({"node": "v", "n": "m", "bitmap": "y"}), "v")
-        left = cut(pairs.select("u", "v", "n", "m", "x", "y").mapInArrow(_by_bitmap, "u long, v long"))
-        wanted = left.select(F.col("u").alias("node")).union(left.select("v")).distinct().join(self.nodes.select("node", "doc_id"), "node").select("node", F.col("doc_id").alias("_id"))
-        wanted = cut(wanted)
-        found = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-        texts = self.docs.join(found, F.col("doc_id") == F.col("_id")).select("text")
-        sets = cut(texts.mapInArrow(_whole_sets, "node long, elements binary").dropDuplicates(["node"]))
-        both = left.join(sets.withColumnsRenamed({"node": "v", "elements": "y"}), "v").join(sets.withColumnsRenamed({"node": "u", "elements": "x"}), "u")
-        return cut(both.select("u", "v", "x", "y").mapInArrow(_by_sets, "u long, v long"))
+        with scratch(self.spark):
+            info = self.nodes.select("node", "n", "bitmap")
+            pairs = pairs.join(info.withColumnsRenamed({"node": "u", "bitmap": "x"}), "u").join(info.withColumnsRenamed({"node": "v", "n": "m", "bitmap": "y"}), "v")
+            left = cut(pairs.select("u", "v", "n", "m", "x", "y").mapInArrow(_by_bitmap, "u long, v long"))
+            wanted = left.select(F.col("u").alias("node")).union(left.select("v")).distinct().join(self.nodes.select("node", "doc_id"), "node").select("node", F.col("doc_id").alias("_id"))
+            wanted = cut(wanted)
+            texts = self.docs.join(_small(wanted), F.col("doc_id") == F.col("_id")).select("text")
+            sets = cut(texts.mapInArrow(_whole_sets, "node long, elements binary").dropDuplicates(["node"]))
+            both = left.join(sets.withColumnsRenamed({"node": "v", "elements": "y"}), "v").join(sets.withColumnsRenamed({"node": "u", "elements": "x"}), "u")
+            return keep(both.select("u", "v", "x", "y").mapInArrow(_by_sets, "u long, v long"))
 
     def links(self) -> DataFrame:
         """Links (u, v) between nodes that have the components of all links."""
         sketches = [f"s{i}" for i in range(4)]
-        postings = cut(self.postings().join(self.nodes.select("node", *sketches), "node"))
+        along = W.partitionBy("node").orderBy("key")
+        before_it = F.array_compact(F.array(*(F.lag("key", i).over(along) for i in range(1, SEEN + 1))))
+        # Two members who met in one of the lists before this one, in the order of keys, needn't meet again.
+        postings = cut(self.postings().join(self.nodes.select("node", *sketches), "node").withColumn("seen", before_it).hint("rebalance", "key"))  # so that partial aggregates by key are small; large lists are split
         entries, rounds, before = postings.count(), 0, float("inf")
         placed, links, checked = postings.withColumn("root", F.col("node")), None, None
         twin = [F.col("node").alias("v"), F.col("n").alias("m"), F.col("root").alias("other"), *(F.col(f"s{i}").alias(f"t{i}") for i in range(4))]
         while True:
-            salts = range(rounds * PIVOTS, (rounds + 1) * PIVOTS)
-            member = lambda i: F.struct(F.xxhash64("node", F.lit(i)).alias("h"), *twin)
+            salts = range(PIVOTS * 2**rounds)
+            member = lambda i: F.struct(F.xxhash64("node", F.lit(i + 100 * rounds)).alias("h"), *twin)
             pivots = placed.groupBy("key").agg(*(F.min(member(i)).alias(f"p{i}") for i in salts)).select("key", F.array_distinct(F.array(*(f"p{i}" for i in salts))).alias("pivots"))
             met = placed.join(pivots, "key").select("node", "n", "root", *sketches, F.explode("pivots").alias("p")).selectExpr("node AS u", "n", "root", *sketches, "p.*")
             pairs = self.fitting(met.where("root <> other"))
             pairs = cut(pairs if checked is None else pairs.join(checked, ["u", "v"], "left_anti"))
             new = self.verified(pairs)
             links, checked = (new, pairs) if links is None else (links.union(new), checked.union(pairs))
-            placed = cut(postings.join(components(links), "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"), *sketches))
-            shares = placed.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("k"), F.sum(F.col("c") * F.col("c")).alias("s"))
-            apart = shares.agg(F.sum((F.col("k") * F.col("k") - F.col("s")) / 2)).first()[0] or 0
+            roots = components(links)
+            placed = cut(placed.drop("root").join(_small(roots), "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"), "seen", *sketches))
+            shares = placed.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("k"), F.sum(F.col("c") * F.col("c")).alias("s")).where("k * k > s")
+            open_lists = cut(shares)
+            apart = open_lists.agg(F.sum((F.col("k") * F.col("k") - F.col("s")) / 2)).first()[0] or 0
+            placed = cut(placed.join(_small(open_lists.select("key")), "key"))
             rounds += 1
-            if apart <= PAIRS * entries or apart > before / 2:
+            if not apart or rounds > 1 and (apart <= PAIRS * entries or apart > before / 2):
                 break
             before = apart
-        ends = shares.where("k * k > s").select("key")
-        left = cut(placed.join(ends, "key"))
-        other = left.select("key", *twin)
-        pairs = self.fitting(left.join(other, (left["key"] == other["key"]) & F.expr(f"root < other AND {FITS}")).selectExpr("node AS u", "n", "v", "m"))
+        left = placed
+        other = left.select("key", F.col("seen").alias("met"), *twin)
+        pairs = self.fitting(left.join(other, (left["key"] == other["key"]) & F.expr(f"root < other AND {FITS} AND NOT arrays_overlap(seen, met)")).selectExpr("node AS u", "n", "v", "m"))
         return links.union(self.verified(cut(pairs.join(checked, ["u", "v"], "left_anti"))))
 
 
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
-    join = Join(docs)
-    roots = components(join.links())
-    placed = join.nodes.join(roots, "node", "left").select("node", "n", "doc_id", F.coalesce("root", "node").alias("root"))
-    least = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    found = placed.join(least, "root").select("node", "component_id")
-    sized = join.members.distinct().join(found, "node").groupBy("doc_id").agg(F.max("n").alias("n_shingles"), F.min("component_id").alias("component_id"))
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
-    return ids.join(sized, "doc_id", "left").select("doc_id", F.coalesce("n_shingles", F.lit(0)).cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    with scratch(docs.sparkSession):
+        join = Join(docs)
+        roots = components(join.links())
+        placed = join.nodes.join(roots, "node", "left").select("node", "n", "doc_id", F.coalesce("root", "node").alias("root"))
+        least = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+        found = placed.join(least, "root").select("node", "component_id")
+        sized = join.members.distinct().join(found, "node").groupBy("doc_id").agg(F.max("n").alias("n_shingles"), F.min("component_id").alias("component_id"))
+        ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
+        return keep(ids.join(sized, "doc_id", "left").select("doc_id", F.coalesce("n_shingles", F.lit(0)).cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
