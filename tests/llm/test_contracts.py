@@ -136,7 +136,7 @@ def test_op10_recall(spark):
     label = [i % 3 for i in range(400)] * 2 + [i % 3 for i in range(50)]
     extra = [(900, 0, None), (901, 0, [0.0] * 64), (902, None, x[0].tolist()), (903, 0, [float("nan")] * 64), (904, 0, [1.0, None] * 32), (905, 0, [float("inf")] * 64), (906, 0, [])]
     df = spark.createDataFrame([(i, lab, v.tolist()) for i, (lab, v) in enumerate(zip(label, x, strict=True))] + extra, "vec_id long, label int, embedding array<float>")
-    got = capfilters.near_duplicates(df, chunk=64).toPandas().set_index("vec_id")
+    got = capfilters.near_duplicates(df, chunk=64).toPandas().set_index("vec_id").sort_index()
     u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
     s = (u @ u.T >= 0.93) & (np.array(label)[:, None] == np.array(label)[None, :])
     np.fill_diagonal(s, False)
