@@ -9,7 +9,7 @@ Equal vectors are gathered first. Filters with one vector are dropped before vec
 CHUNK vectors are split into pairs of chunks, so no task holds a filter's whole group. Found links are summed by vector
 and handed on as a spanning star of each block, never as rows for pairs.
 
-With these parameters a vector exceeds about 80 filters; of random pairs at cosine 0.93, 0.96 and 0.99, over 0.97, 0.98 and 0.99 share one.
+With these parameters a vector exceeds about 80 filters; of 4000 random pairs each at cosine 0.93, 0.96 and 0.99, shares of 0.989, 0.994 and 0.998 have one in common.
 Vectors that are null, zero, or hold null or non-finite parts, null labels and null ids link with nothing. Vectors of
 different lengths never link. Repeated rows count as vectors each. Other columns are never read.
 """
