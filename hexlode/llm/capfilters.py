@@ -1,15 +1,19 @@
 """Near-duplicate vectors by spherical-cap filters from structured random product codes.
 
-A vector is cut into BLOCKS parts, each with a code of CODE random directions; a filter is one direction of each part, so
-there are CODE ** BLOCKS filters. A vector is list-decoded to all filters whose summed product with it, in units of its
-standard deviation, reaches CAP: block by block, with partial sums pruned by the best that later blocks can add. Vectors of
+A vector is turned by a seeded random rotation, so that recall doesn't depend on how its energy is spread, and cut into BLOCKS
+parts, each with a code of CODE random directions at most (fewer in parts of one to four dimensions); a filter is one direction
+of each part. A vector is list-decoded to all filters whose summed product with it, in units of its standard deviation, reaches
+a cap: block by block, with partial sums pruned by the best that later blocks can add. The cap is set for each dimension so that
+of random pairs just at the cosine a share of RECALL has a filter in common. Vectors of
 one label that share a filter are compared in double precision; a pair counts at its first common filter alone.
 
 Equal vectors are gathered first. Filters with one vector are dropped before vectors are sent; filters with more than
 CHUNK vectors are split into pairs of chunks, so no task holds a filter's whole group. Found links are summed by vector
 and handed on as a spanning star of each block, never as rows for pairs.
 
-With these parameters a vector exceeds about 80 filters; of 4000 random pairs each at cosine 0.93, 0.96 and 0.99, shares of 0.989, 0.994 and 0.998 have one in common.
+Of 400 random pairs each at cosine 0.93 and 0.98 these shares have a filter in common: in 8 dimensions 0.983 and 0.988, 16 0.995 and
+0.995, 64 0.985 and 0.995, 256 0.978 and 0.995; in 64 with scales 1/i 0.995 and 0.995, 0.95**i 0.993 and 1.000, the first half alone
+0.993 and 0.995. A vector of 16 dimensions or more exceeds 60 to 140 filters, one of 8 or 12 150 and 340.
 Vectors that are null, zero, or hold null or non-finite parts, null labels and null ids link with nothing. Vectors of
 different lengths never link. Repeated rows count as vectors each. Other columns are never read.
 """
@@ -27,27 +31,57 @@ from .common import cut, keep, scratch
 from .components import components
 
 COSINE = 0.93
-BLOCKS, CODE, CAP = 2, 512, 3.3
+BLOCKS, CODE = 2, 512
+#: The share of random pairs just at the cosine that have a filter in common, and the pairs that set the cap for it.
+RECALL, CALIBRATED = 0.99, 1000
 CHUNK = 2048
 SEED = 20
 #: Pairs of vectors that one task compares at once.
 TILE = 512
 
 
+@lru_cache(maxsize=4)
+def rotation(dim: int, seed: int = SEED) -> np.ndarray:
+    """A random orthogonal matrix."""
+    q, r = np.linalg.qr(np.random.default_rng([seed, dim, 1, 1]).standard_normal((dim, dim)))
+    return q * np.sign(np.diag(r))
+
+
 @lru_cache(maxsize=4)
 def codes(dim: int, blocks: int = BLOCKS, size: int = CODE, seed: int = SEED) -> tuple[tuple[int, int, np.ndarray], ...]:
-    """For each part of a vector its bounds and its directions, scaled so that a random unit vector's summed product has variance 1."""
+    """For each part of a vector its bounds and its directions (with their opposites), scaled so that a random unit vector's summed product has variance 1."""
     bounds = np.linspace(0, dim, min(blocks, dim) + 1).astype(int)
     out = []
     for k, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):
-        c = np.random.default_rng([seed, dim, k]).standard_normal((size, b - a))
+        c = np.random.default_rng([seed, dim, k, 2]).standard_normal((min(size, 4 ** min(int(b - a), 16) // 2) // 2, b - a))
+        c = np.vstack([c, -c])
         out.append((int(a), int(b), c / np.linalg.norm(c, axis=1)[:, None] * np.sqrt(b - a)))
     return tuple(out)
 
 
-def decoded(unit: np.ndarray, cap: float = CAP) -> list[np.ndarray]:
+@lru_cache(maxsize=4096)
+def cap_of(dim: int, cosine: float = COSINE, recall: float = RECALL) -> float:
+    """The greatest cap at which of random pairs at the cosine a share of recall exceeds a common filter."""
+    rng = np.random.default_rng([SEED, dim, 1, 3])
+    u, v = rng.standard_normal((2, CALIBRATED, dim))
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    v -= (u * v).sum(1)[:, None] * u
+    v = u if dim == 1 else cosine * u + np.sqrt(max(0.0, 1 - cosine * cosine)) * v / np.linalg.norm(v, axis=1)[:, None]
+    best = np.empty(CALIBRATED)
+    parts = [[(x[:, a:b] @ c.T).astype(np.float32) for a, b, c in codes(dim)] for x in (u, v)]
+    for r in range(CALIBRATED):
+        sums = [np.zeros(1, dtype=np.float32)] * 2
+        for k in range(len(parts[0])):
+            sums = [np.add.outer(s, p[k][r]).ravel() for s, p in zip(sums, parts, strict=True)]
+        best[r] = np.minimum(*sums).max()
+    return float(np.sort(best)[int((1 - recall) * CALIBRATED)]) - 1e-4
+
+
+def decoded(unit: np.ndarray, cap: float | None = None) -> list[np.ndarray]:
     """For each row of unit vectors the sorted numbers of all filters that it exceeds; rows that exceed none take their best filter."""
     parts = codes(unit.shape[1])
+    cap = cap_of(unit.shape[1]) if cap is None else cap
+    unit = unit @ rotation(unit.shape[1])
     scores = [unit[:, a:b] @ c.T for a, b, c in parts]
     orders = [np.argsort(-s, axis=1) for s in scores]
     out = []
@@ -78,15 +112,18 @@ def _unit(rows: list[np.ndarray]) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1)[:, None]
 
 
-def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        nodes, vectors = batch.column(0).to_pylist(), _rows(batch.column(1))
-        for dim in sorted({len(v) for v in vectors}):
-            at = [i for i, v in enumerate(vectors) if len(v) == dim]
-            for i in range(0, len(at), 1024):
-                some = at[i : i + 1024]
-                filters = decoded(_unit([vectors[k] for k in some]))
-                yield pa.RecordBatch.from_arrays([pa.array([nodes[k] for k in some], pa.int64()), pa.array(filters, pa.list_(pa.int32()))], names=["node", "filters"])
+def _decode(cosine: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, vectors = batch.column(0).to_pylist(), _rows(batch.column(1))
+            for dim in sorted({len(v) for v in vectors}):
+                at = [i for i, v in enumerate(vectors) if len(v) == dim]
+                for i in range(0, len(at), 1024):
+                    some = at[i : i + 1024]
+                    filters = decoded(_unit([vectors[k] for k in some]), cap_of(dim, cosine))
+                    yield pa.RecordBatch.from_arrays([pa.array([nodes[k] for k in some], pa.int64()), pa.array(filters, pa.list_(pa.int32()))], names=["node", "filters"])
+
+    return run
 
 
 def _links(unit: np.ndarray, filters: list[np.ndarray], here: int, cosine: float, left: np.ndarray, right: np.ndarray, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -183,7 +220,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, chunk: int = CHU
     rows = vectors.select("vec_id", "label", F.when(F.coalesce(sound & F.col("label").isNotNull() & F.col("vec_id").isNotNull(), F.lit(False)), x).alias("vector"))
     with scratch(vectors.sparkSession):
         classes = cut(rows.where("vector is not null").groupBy("label", "vector").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies")))
-        filters = cut(classes.select("node", "vector").mapInArrow(_decode, "node long, filters array<int>"))
+        filters = cut(classes.select("node", "vector").mapInArrow(_decode(cosine), "node long, filters array<int>"))
         label = classes.select("node", "label", F.size("vector").alias("dim"), "copies", "vector").join(filters, "node")
         held = cut(label)
         places = held.select("label", "dim", "node", F.explode("filters").alias("filter"))
