@@ -1,13 +1,14 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-The rows of each source, in the order of a hash of their doc_id, are cut into blocks. Weights are rounded to parts of
-SLOTS, so block j of a source with a parts is released at floor(j * SLOTS / a) and due at ceil((j + 1) * SLOTS / a).
-Earliest-deadline-first over SLOTS slots then gives each slot its source, and the slots repeat: at any slot each source has
-had its share within less than one block. Where a source runs out, the others go on with their weights in proportion, as
-a new phase, so all rows are kept.
+The rows of each source, in the order of a hash of their doc_id, are cut into blocks. Each slot takes one block; a source's
+fluid share of the slots so far follows the exact weights of the sources that haven't run out yet. A block is released when its
+source's share reaches it and due when it has passed it; earliest-deadline-first then keeps every source within less than
+one block of its share at every slot, in integer arithmetic. Where a source runs out, the others go on with their weights in
+proportion, so all rows are kept. Any number of sources will do.
 
-Only counts by source meet at the driver; a source has at least one part, so there are SLOTS sources at most. Ranks within
-a source come from counts of hash ranges, so no task holds a source.
+Counts by source meet at the driver, and 8 bytes for each block (16 rows) there and in a broadcast. With slots given, weights are
+rounded to parts of so many slots instead (a source has one part at least), so the schedule repeats and only counts by source are
+held; shares are then off by the rounding. Ranks within a source come from counts of hash ranges, so no task holds a source.
 
 Sources without a weight (a null source, too) get the mean weight of those that have one. Null and empty texts are rows like others; repeated
 rows follow each other. An empty table gives no rows. All columns of the input are kept.
@@ -16,12 +17,18 @@ rows follow each other. An empty table gives no rows. All columns of the input a
 from __future__ import annotations
 
 import heapq
+from array import array
+from bisect import bisect_left
 from collections.abc import Mapping
+from fractions import Fraction
+from math import fsum, lcm
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 BLOCK = 16
 SLOTS = 4096
+#: Blocks of a source whose slots are sent as one row.
+CHUNK = 1024
 #: Rows of a hash range that are ranked together, about.
 RANGE = 4000
 
@@ -82,19 +89,62 @@ def phases(blocks: Mapping[str | None, int], weights: Mapping[str | None, float]
     return out
 
 
-def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, source: str = "source", key: str = "doc_id", block: int = BLOCK, slots: int = SLOTS) -> DataFrame:
+def exact_slots(blocks: Mapping[str | None, int], weights: Mapping[str | None, float]) -> dict[str | None, array]:
+    """The slot of each block of each source, by exact weights.
+
+    At virtual time v a source of weight w has had the share min(w * v, its blocks); slots are the sum of the shares. Between two
+    times at which sources run out, that sum is linear in v.
+    """
+    names = sorted((k for k, n in blocks.items() if n), key=lambda k: (k is None, k))
+    exact = [Fraction(w) if isinstance(w := weights[k], (int, Fraction)) else Fraction(float(w)) for k in names]
+    scale = lcm(*(x.denominator for x in exact))
+    weight, size = [int(x * scale) for x in exact], [blocks[k] for k in names]
+    ended, active = [0], [sum(weight)]  # by the number of sources that have run out: their blocks, the others' weight
+    ends = sorted((Fraction(n, w), i) for i, (n, w) in enumerate(zip(size, weight, strict=True)))
+    for _, i in ends:
+        ended.append(ended[-1] + size[i])
+        active.append(active[-1] - weight[i])
+    near = [float(v * scale) for v, _ in ends]
+
+    def shared(i: int, j: int, up: int) -> int:
+        """The slots at the virtual time j / weight[i], rounded down, or up."""
+        e, w = bisect_left(near, j * scale / weight[i]), weight[i]
+        while e and (v := ends[e - 1][0]).numerator * w >= j * v.denominator:
+            e -= 1
+        while e < len(ends) and (v := ends[e][0]).numerator * w < j * v.denominator:
+            e += 1
+        x = j * active[e]
+        return ended[e] + (-(-x // w) if up else x // w)
+
+    out = [array("q") for _ in names]
+    waiting = [(0, i) for i in range(len(names))]  # release, source
+    ready: list[tuple[int, int]] = []  # deadline, source
+    for t in range(sum(size)):
+        while waiting and waiting[0][0] <= t:
+            _, i = heapq.heappop(waiting)
+            heapq.heappush(ready, (shared(i, len(out[i]) + 1, 1), i))
+        deadline, i = heapq.heappop(ready)
+        if deadline <= t:
+            raise AssertionError("a deadline was missed")
+        out[i].append(t)
+        if len(out[i]) < size[i]:
+            heapq.heappush(waiting, (shared(i, len(out[i]), 0), i))
+    return dict(zip(names, out, strict=True))
+
+
+def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, source: str = "source", key: str = "doc_id", block: int = BLOCK, slots: int | None = None) -> DataFrame:
     """docs with _slot, _block (of its source) and _at (in its block); ordering by _slot and _at gives the mixture.
 
-    weights default to the square roots of the sources' sizes.
+    weights default to the square roots of the sources' sizes; with slots, they are rounded to parts of so many.
     """
     spark = docs.sparkSession
-    counts = docs.groupBy(docs[source].alias("s")).agg(F.count("*").alias("n")).limit(slots + 1).collect()  # slots + 1 sources raise an error
+    counts = docs.groupBy(docs[source].alias("s")).agg(F.count("*").alias("n")).collect()  # a row for each source
     if not counts:
         return docs.select("*", *(F.lit(0).cast("long").alias(c) for c in ("_slot", "_block", "_at")))
     sizes = {r["s"]: r["n"] for r in counts}
     given = {k: w for k, w in (weights or {k: n**0.5 for k, n in sizes.items()}).items() if w > 0}
-    mean = sum(given.values()) / len(given)
-    plan = phases({k: -(-n // block) for k, n in sizes.items()}, {k: given.get(k, mean) for k in sizes}, slots)
+    mean = fsum(given.values()) / len(given)
+    blocks, weight = {k: -(-n // block) for k, n in sizes.items()}, {k: given.get(k, mean) for k in sizes}
     number = {k: i for i, k in enumerate(sizes)}
     kind = docs.schema[source].dataType.simpleString()
     ranges = F.broadcast(spark.createDataFrame([(k, number[k], 1 + n // RANGE) for k, n in sizes.items()], f"__s {kind}, __k int, __ranges long"))
@@ -106,11 +156,17 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, sour
     inside = W.partitionBy("__k", "__range").orderBy("__hash", docs[key])
     ranked = spread.withColumn("__in", F.row_number().over(inside) - 1).join(held, ["__k", "__range"]).withColumn("__rank", F.col("__in") + F.col("__before"))
     ranked = ranked.withColumn("_block", F.floor(F.col("__rank") / block)).withColumn("_at", F.col("__rank") % block)
-    rows = [(number[k], *rest) for k, *rest in plan]
-    cycles = F.broadcast(spark.createDataFrame(rows, "__p int, __start long, __first long, __taken long, __parts long, __cycle array<int>"))
     place = F.col("_block") - F.col("__first")
-    out = ranked.join(cycles, (F.col("__k") == F.col("__p")) & (place >= 0) & (place < F.col("__taken")))
-    slot = F.col("__start") + slots * F.floor(place / F.col("__parts")) + F.get("__cycle", (place % F.col("__parts")).cast("int"))
+    if slots is None:
+        rows = [(number[k], c // CHUNK, c, at[c : c + CHUNK].tolist()) for k, at in exact_slots(blocks, weight).items() for c in range(0, len(at), CHUNK)]
+        table = F.broadcast(spark.createDataFrame(rows, "__p int, __chunk long, __first long, __slots array<long>", verifySchema=False))
+        out = ranked.join(table, (F.col("__k") == F.col("__p")) & (F.floor(F.col("_block") / CHUNK) == F.col("__chunk")))
+        slot = F.get("__slots", place.cast("int"))
+    else:
+        rows = [(number[k], *rest) for k, *rest in phases(blocks, weight, slots)]
+        cycles = F.broadcast(spark.createDataFrame(rows, "__p int, __start long, __first long, __taken long, __parts long, __cycle array<int>"))
+        out = ranked.join(cycles, (F.col("__k") == F.col("__p")) & (place >= 0) & (place < F.col("__taken")))
+        slot = F.col("__start") + slots * F.floor(place / F.col("__parts")) + F.get("__cycle", (place % F.col("__parts")).cast("int"))
     return out.withColumn("_slot", slot).select(*(docs[c] for c in docs.columns), "_slot", "_block", "_at")
 
 

@@ -1,9 +1,11 @@
 """Cases in which an operator once did less than its whole job."""
 
+from fractions import Fraction
+
 import numpy as np
 import pytest
 
-from hexlode.llm import capfilters
+from hexlode.llm import capfilters, mixing
 
 SCALES = {"8": np.ones(8), "16": np.ones(16), "decay": 1 / np.arange(1, 65), "power": 0.95 ** np.arange(64), "half": (np.arange(64) < 32).astype(float), "short": np.ones(2)}
 
@@ -19,3 +21,40 @@ def test_op10_recall_on_any_spread_of_energy(spark, name):
     df = spark.createDataFrame([(i, i % 300, v.tolist()) for i, v in enumerate(x)], "vec_id long, label int, embedding array<float>")
     got = capfilters.near_duplicates(df).toPandas()
     assert got.n_links.max() == 1 and got.n_links.sum() >= 0.95 * len(x)
+
+
+def worst_deviation(blocks, weights, slots):
+    """The greatest distance of a source from its share, over all slots and sources."""
+    order = [k for _, k in sorted((t, k) for k, at in slots.items() for t in at)]
+    assert sorted(t for at in slots.values() for t in at) == list(range(sum(blocks.values()))) and all(list(at) == sorted(at) and len(at) == blocks[k] for k, at in slots.items())
+    got, share, worst, weights = dict.fromkeys(blocks, 0), dict.fromkeys(blocks, Fraction(0)), Fraction(0), {k: Fraction(w) for k, w in weights.items()}
+    for k in order:
+        got[k] += 1
+        rest = Fraction(1)
+        while rest and (active := [x for x in blocks if blocks[x] > share[x]]):
+            total = sum(weights[x] for x in active)
+            step = min(rest, *((blocks[x] - share[x]) * total / weights[x] for x in active))
+            for x in active:
+                share[x] += weights[x] * step / total
+            rest -= step
+        worst = max(worst, *(abs(got[x] - share[x]) for x in blocks))
+    return worst
+
+
+def test_op2_keeps_to_exact_weights():
+    rng = np.random.default_rng(6)
+    for n in (2, 7, 12):
+        blocks = {f"s{i}": int(rng.integers(1, 30)) for i in range(n)}
+        for weights in ({k: float(rng.random()) + 0.001 for k in blocks}, {k: b**0.5 for k, b in blocks.items()}):
+            assert worst_deviation(blocks, weights, mixing.exact_slots(blocks, weights)) < 1
+    blocks = dict.fromkeys(range(200), 2) | {0: 200}
+    weights = {k: Fraction(1, 3) if k == 0 else Fraction(2, 3 * 199) for k in blocks}
+    assert worst_deviation(blocks, weights, mixing.exact_slots(blocks, weights)) < 1
+
+
+def test_op2_takes_any_number_of_sources(spark):
+    docs = spark.range(10_000).selectExpr("id AS doc_id", "concat('s', if(id < 3000, 0, id % 5000)) AS source")
+    got = mixing.mix(docs, {f"s{i}": 1.0 if i else 2500.0 for i in range(5000)}).toPandas()
+    assert len(got) == 10_000 and got._slot.max() + 1 == got._slot.nunique()
+    first = got[(got.source == "s0") & (got._at == 0)]._slot.sort_values().tolist()
+    assert all(abs(j - (t + 1) * 2500 / 7499) < 1 for j, t in enumerate(first[:100], 1))
