@@ -1,7 +1,7 @@
 """The corpus pipeline: each stage's output is written as Parquet and read again as the next one's documents.
 
 Stages: documents that the toxicity model rejects go; lines that are boilerplate of their source go; one document of each
-group of near duplicates stays; sources are interleaved to their target weights; and the result is packed into sequences.
+group of near duplicates stays; sources are interleaved to their target weights; and the result is packed into sequences in that order.
 All stages but the last return the columns of documents, extra ones included, and keep every other document.
 """
 
@@ -34,7 +34,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs)
+    """Files are read by size, so the mixture's order is restored from doc_id and source first."""
+    return packing.pack(mixing.mixed_order(docs.select("doc_id", "source", "text")))
 
 
 STAGES = [("toxicity", toxicity_stage), ("line_dedup", line_dedup_stage), ("ngram_join", ngram_join_stage), ("mixing", mixing_stage), ("packing", packing_stage)]

@@ -4,7 +4,9 @@ from fractions import Fraction
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+import corpus_pipeline
 from hexlode.llm import capfilters, mixing
 
 SCALES = {"8": np.ones(8), "16": np.ones(16), "decay": 1 / np.arange(1, 65), "power": 0.95 ** np.arange(64), "half": (np.arange(64) < 32).astype(float), "short": np.ones(2)}
@@ -58,3 +60,13 @@ def test_op2_takes_any_number_of_sources(spark):
     assert len(got) == 10_000 and got._slot.max() + 1 == got._slot.nunique()
     first = got[(got.source == "s0") & (got._at == 0)]._slot.sort_values().tolist()
     assert all(abs(j - (t + 1) * 2500 / 7499) < 1 for j, t in enumerate(first[:100], 1))
+
+
+def test_pipeline_packs_in_the_mixtures_order(spark, tmp_path):
+    docs = spark.range(2000).selectExpr("id AS doc_id", "concat('s', int(sqrt(id % 25))) AS source", "'' AS text")
+    mixed = mixing.mix(docs).withColumn("text", F.expr("repeat('some words here. ', int(1 + _slot / 4))"))
+    wanted = [r["doc_id"] for r in mixed.orderBy("_slot", "_at").select("doc_id").collect()]
+    # Later files are larger, so they are read first.
+    mixed.repartitionByRange(6, "_slot", "_at").sortWithinPartitions("_slot", "_at").select("doc_id", "source", "text").write.parquet(f"{tmp_path}/mixed")
+    got = corpus_pipeline.packing_stage(spark, spark.read.parquet(f"{tmp_path}/mixed"), "").toPandas().sort_values(["sequence_id", "offset"])
+    assert list(dict.fromkeys(got.doc_id)) == wanted and (got[got.start > 0].doc_id.isin(wanted)).all()
