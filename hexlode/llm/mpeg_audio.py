@@ -145,10 +145,20 @@ def _next_sync(data: bytes, at: int, end: int) -> int:
 
 
 def read_audio(data: bytes) -> dict:
-    """The payload of this package's frames, and what the stream's frames say; broken stretches are skipped and counted."""
+    """The payload of this package's frames, and what the stream's frames say; broken stretches are skipped and counted.
+
+    TAG 128 bytes from the end begins an ID3v1 tag unless frames can be followed over it to the very end.
+    """
     at, texts = _id3v2(data)
-    old_tag = len(data) - at >= 128 and data[-128:-125] == b"TAG"
-    end = len(data) - 128 * old_tag
+    if len(data) - at >= 128 and data[-128:-125] == b"TAG":
+        r, whole = _followed(data, at, len(data), texts)
+        return r if whole else _followed(data, at, len(data) - 128, texts)[0]
+    return _followed(data, at, len(data), texts)[0]
+
+
+def _followed(data: bytes, at: int, end: int, texts: dict[str, str]) -> tuple[dict, bool]:
+    """What the frames up to end say, and whether the last one ends there."""
+    whole = -1
     offsets, parts, rates = [], [], set()
     samples = bad = resyncs = 0
     kind, stated, first = "none", None, None
@@ -162,7 +172,7 @@ def read_audio(data: bytes) -> dict:
             first = f
             if layer == 3 and (found := _table(data[at : at + length], side, crc)):
                 kind, stated = found
-                at += length
+                at = whole = at + length
                 continue
         if crc and layer == 3:
             body = data[at + 6 : at + 6 + side]
@@ -176,12 +186,12 @@ def read_audio(data: bytes) -> dict:
         rates.add(kbps)
         if length == FRAME and crc:
             parts.append(data[at + DATA_AT : at + DATA_AT + UNIT])
-        at += length
+        at = whole = at + length
     return {
         "payload": b"".join(parts), "n_bytes": int(texts[TAG_KEY]) if texts.get(TAG_KEY, "").isdigit() else None, "frames": len(offsets), "samples": samples,
         "sample_rate": first[2] if first else None, "channels": first[3] if first else None, "version": first[5] if first else None, "layer": first[6] if first else None,
-        "kbps": sorted(rates), "table": kind, "stated_frames": stated, "bad_crc": bad, "resyncs": resyncs, "offsets": offsets, "id3v1": old_tag,
-    }
+        "kbps": sorted(rates), "table": kind, "stated_frames": stated, "bad_crc": bad, "resyncs": resyncs, "offsets": offsets, "id3v1": end < len(data),
+    }, whole == end
 
 
 @F.pandas_udf(T.BinaryType())

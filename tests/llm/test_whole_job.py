@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from hexlode.llm import capfilters, mixing
+from hexlode.llm import capfilters, mixing, mpeg_audio
 
 SCALES = {"8": np.ones(8), "16": np.ones(16), "decay": 1 / np.arange(1, 65), "power": 0.95 ** np.arange(64), "half": (np.arange(64) < 32).astype(float), "short": np.ones(2)}
 
@@ -70,3 +70,16 @@ def test_pipeline_packs_in_the_mixtures_order(spark, tmp_path):
     mixed.repartitionByRange(6, "_slot", "_at").sortWithinPartitions("_slot", "_at").select("doc_id", "source", "text").write.parquet(f"{tmp_path}/mixed")
     got = corpus_pipeline.packing_stage(spark, spark.read.parquet(f"{tmp_path}/mixed"), "").toPandas().sort_values(["sequence_id", "offset"])
     assert list(dict.fromkeys(got.doc_id)) == wanted and (got[got.start > 0].doc_id.isin(wanted)).all()
+
+
+@pytest.mark.parametrize("units", [1, 3])
+def test_op8_keeps_a_last_frame_that_holds_tag(units):
+    data = b"x" * (576 * (units - 1) + 475) + b"TAG" + b"y" * 98
+    whole = mpeg_audio.write_audio(data)
+    assert whole[-128:-125] == b"TAG"
+    r = mpeg_audio.read_audio(whole)
+    assert r["payload"] == data and r["frames"] == units and not r["id3v1"] and r["resyncs"] == r["bad_crc"] == 0
+    tagged = mpeg_audio.read_audio(whole + b"TAG" + bytes(125))
+    assert tagged["payload"] == data and tagged["frames"] == units and tagged["id3v1"] and tagged["resyncs"] == 0
+    short = mpeg_audio.read_audio(whole[:-40] + b"TAG" + bytes(125))  # the last frame is cut off in front of a tag
+    assert short["frames"] == units - 1 and short["id3v1"]
