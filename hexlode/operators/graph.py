@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Sequence
+from itertools import count
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
@@ -90,22 +91,25 @@ def proximity(edges: DataFrame, candidates: DataFrame, anchors: DataFrame, max_d
     return joined.select("query_id", "node_id", F.round(F.when(F.col("d").isNull(), 0.0).otherwise(1 / (1 + F.col("d"))), 4).alias("proximity"))
 
 
-def shortest_paths(edges: DataFrame, pairs: DataFrame, weighted: bool = True, rounds: int = 100) -> DataFrame:
+def shortest_paths(edges: DataFrame, pairs: DataFrame, weighted: bool = True, rounds: int | None = None) -> DataFrame:
     """(query_id, path, length, cost, total_weight) for pairs(query_id, source_id, target_id), along edges, at a cost of 1 / max(weight, 0.01) each.
 
     Of paths of one cost that with fewer hops, then the least, is taken; costs are rounded so that sums in another order tie.
+    Rounds go on until nothing is improved, one for each hop at least; more than rounds, if given, raise an error.
     """
     cost = F.round(1 / F.greatest(F.col("weight"), F.lit(0.01)), 9) if weighted else F.lit(1.0)
     steps = settled(edges.select(F.col("source_id").alias("src"), F.col("target_id").alias("dst"), cost.alias("step"), F.col("weight").cast("double").alias("w")))
     best = pairs.select("query_id", F.col("source_id").alias("node_id"), F.struct(F.lit(0.0).alias("cost"), F.lit(0).alias("hops"), F.array("source_id").alias("path"), F.lit(0.0).alias("total")).alias("b")).distinct()
     frontier = best
-    for _ in range(rounds):
+    for done in count():
         grown = frontier.join(steps, F.col("node_id") == F.col("src")).where(~F.array_contains("b.path", F.col("dst")))
         state = F.struct(F.round(F.col("b.cost") + F.col("step"), 9).alias("cost"), (F.col("b.hops") + 1).alias("hops"), F.concat("b.path", F.array("dst")).alias("path"), F.round(F.col("b.total") + F.col("w"), 9).alias("total"))
         found = grown.select("query_id", F.col("dst").alias("node_id"), state.alias("b")).groupBy("query_id", "node_id").agg(F.min("b").alias("n"))
         better = settled(found.join(best, ["query_id", "node_id"], "left").where("b IS NULL OR n < b").select("query_id", "node_id", F.col("n").alias("b")))
         if better.isEmpty():
             break
+        if rounds is not None and done >= rounds:
+            raise RuntimeError(f"paths are still improved after {rounds} rounds")
         best = settled(best.join(better, ["query_id", "node_id"], "left_anti").union(better))
         frontier = better
     ends = pairs.select("query_id", F.col("target_id").alias("node_id"))
