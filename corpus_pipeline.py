@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from hexlode.llm import line_dedup, mixing, ngram_join, packing, toxicity
 from hexlode.llm.common import fresh_dir, table
 
+#: Near duplicates share this part of their runs of so many words.
+WORDS, PERCENT = 5, 80
+
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.rejected_dropped(docs, table(spark, sf_dir, "labels"))
@@ -26,7 +29,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return ngram_join.one_of_each(docs)
+    return ngram_join.one_of_each(docs, WORDS, PERCENT)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 Small (light) sets list all their subsets of the sizes that a partner must share; two light sets link only if they list a
 common one. Large (heavy) sets are found through inverted lists: elements are ordered with frequent ones last, a set enters the
-lists of its first n - ceil(0.85 n) + 1 elements, and two sets that link meet in a list. Light sets near the boundary enter
+lists of its first n - ceil(J n) + 1 elements (J the least Jaccard index, 0.85 by default), and two sets that link meet in a list. Light sets near the boundary enter
 lists too. The boundary is the size at which listing subsets begins to cost more than scanning lists, by the counts of sizes
 and the lengths of lists measured in the corpus.
 
@@ -44,8 +44,6 @@ PIVOTS, PAIRS = 2, 4
 SEEN = 4
 #: Rows of 16 bytes up to which a table of nodes is broadcast.
 BROADCAST_ROWS = 1_000_000
-#: Sizes, and parities of 256 bits (s and t), that allow a link.
-FITS = f"{PERCENT} * greatest(n, m) <= 100 * least(n, m) AND " + " + ".join(f"bit_count(s{i} ^ t{i})" for i in range(4)) + f" <= n + m - 2 * (({PERCENT} * (n + m) + {99 + PERCENT}) div {100 + PERCENT})"
 _SHORT, _SUBSET = np.uint64(0x8CB92BA72F3D8DD7), 0xC2B2AE3D27D4EB4F
 
 
@@ -58,6 +56,12 @@ def shingles(hasher: WordHasher, text: str | None, k: int = WORDS) -> np.ndarray
     return rolled(h, len(h)) ^ _SHORT if len(h) < k else np.unique(rolled(h, k))
 
 
+def fits(percent: int = PERCENT) -> str:
+    """Sizes, and parities of 256 bits (s and t), that allow a link, as SQL."""
+    apart = " + ".join(f"bit_count(s{i} ^ t{i})" for i in range(4))
+    return f"{percent} * greatest(n, m) <= 100 * least(n, m) AND {apart} <= n + m - 2 * (({percent} * (n + m) + {99 + percent}) div {100 + percent})"
+
+
 def needed(a: int, b: int, percent: int = PERCENT) -> int:
     """The least overlap at which sets of a and b elements link."""
     return -(-percent * (a + b) // (100 + percent))
@@ -121,52 +125,56 @@ def _node(s: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).view(np.int64))
 
 
-def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _summaries(words: int):
     """(doc_id, n, node, bitmap, its sketch) of each document with a set; rows without doc_id report local counts of elements."""
-    hasher, seen, held, size = WordHasher(), set(), [], 0
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), *[pa.int64()] * 4)
-    names = ("doc_id", "n", "node", "bitmap", "elements", "counts", "s0", "s1", "s2", "s3")
-    made = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
-
-    def counted() -> pa.RecordBatch:
-        e, c = np.unique(np.concatenate(held), return_counts=True)
-        often = c >= REPORTED
-        out = made([(None, int(c.sum()), int((c * c).sum()), None, _signed(e[often]), c[often], *[None] * 4)])
-        held.clear()
-        return out
-
-    for batch in batches:
-        rows = []
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            s = shingles(hasher, text)
-            if not len(s) or doc_id is None:
-                continue
-            node = _node(s)
-            new = node not in seen
-            bitmap = parity(s) if new else None
-            rows.append((doc_id, len(s), node, bitmap, None, None, *(sketch(bitmap) if new else [None] * 4)))
-            if new:
-                seen.add(node)
-                held.append(s)
-                size += len(s)
-        if rows:
-            yield made(rows)
-        if size >= COUNTED:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, seen, held, size = WordHasher(), set(), [], 0
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), *[pa.int64()] * 4)
+        names = ("doc_id", "n", "node", "bitmap", "elements", "counts", "s0", "s1", "s2", "s3")
+        made = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+        def counted() -> pa.RecordBatch:
+            e, c = np.unique(np.concatenate(held), return_counts=True)
+            often = c >= REPORTED
+            out = made([(None, int(c.sum()), int((c * c).sum()), None, _signed(e[often]), c[often], *[None] * 4)])
+            held.clear()
+            return out
+
+        for batch in batches:
+            rows = []
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                s = shingles(hasher, text, words)
+                if not len(s) or doc_id is None:
+                    continue
+                node = _node(s)
+                new = node not in seen
+                bitmap = parity(s) if new else None
+                rows.append((doc_id, len(s), node, bitmap, None, None, *(sketch(bitmap) if new else [None] * 4)))
+                if new:
+                    seen.add(node)
+                    held.append(s)
+                    size += len(s)
+            if rows:
+                yield made(rows)
+            if size >= COUNTED:
+                yield counted()
+                size = 0
+        if held:
             yield counted()
-            size = 0
-    if held:
-        yield counted()
 
+    return run
 
-def _keys(limit: int, hot: tuple[np.ndarray, np.ndarray]):
+
+def _keys(limit: int, hot: tuple[np.ndarray, np.ndarray], words: int, percent: int):
     """Each set's subset keys and list entries; those of frequent elements apart."""
     often, counts = hot
-    least_listed = -(-PERCENT * (limit + 1) // 100)
+    least_listed = -(-percent * (limit + 1) // 100)
 
     def of(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n, plain, frequent = len(s), [], np.empty(0, dtype=np.uint64)
         if n <= limit:
-            for c in subset_sizes(n):
+            for c in subset_sizes(n, percent):
                 for some in combinations(s.tolist(), c):
                     plain.append(xxhash.xxh3_64_intdigest(np.array(some, dtype=np.uint64).tobytes(), seed=_SUBSET))
         listed = np.empty(0, dtype=np.uint64)
@@ -175,7 +183,7 @@ def _keys(limit: int, hot: tuple[np.ndarray, np.ndarray]):
             at[at == len(often)] = 0
             is_hot = often[at] == s if len(often) else np.zeros(n, dtype=bool)
             h = s[is_hot]
-            k = prefix(n)
+            k = prefix(n, percent)
             listed = mixed(s[~is_hot])
             listed = np.sort(listed)[:k]
             if len(listed) < k:
@@ -187,7 +195,7 @@ def _keys(limit: int, hot: tuple[np.ndarray, np.ndarray]):
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                s = shingles(hasher, text)
+                s = shingles(hasher, text, words)
                 if not len(s) or doc_id is None or (node := _node(s)) in seen:
                     continue
                 seen.add(node)
@@ -198,43 +206,53 @@ def _keys(limit: int, hot: tuple[np.ndarray, np.ndarray]):
     return run
 
 
-def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hasher, seen = WordHasher(), set()
-    for batch in batches:
-        rows = []
-        for (text,) in zip(batch.column(0).to_pylist(), strict=True):
-            s = shingles(hasher, text)
-            if len(s) and (node := _node(s)) not in seen:
-                seen.add(node)
-                rows.append((node, s.tobytes()))
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["node", "elements"])
+def _whole_sets(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, seen = WordHasher(), set()
+        for batch in batches:
+            rows = []
+            for (text,) in zip(batch.column(0).to_pylist(), strict=True):
+                s = shingles(hasher, text, words)
+                if len(s) and (node := _node(s)) not in seen:
+                    seen.add(node)
+                    rows.append((node, s.tobytes()))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["node", "elements"])
+
+    return run
+
 
+def _by_bitmap(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            most = [int(a + b) - 2 * needed(int(a), int(b), percent) for a, b in zip(n, m, strict=True)]
+            keep = [differing(x, y) <= d for x, y, d in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), most, strict=True)]
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-def _by_bitmap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        n, m = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-        most = [int(a + b) - 2 * needed(int(a), int(b)) for a, b in zip(n, m, strict=True)]
-        keep = [differing(x, y) <= d for x, y, d in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), most, strict=True)]
-        yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+    return run
 
 
-def _by_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keep = []
-        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            a, b = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-            keep.append(len(np.intersect1d(a, b, assume_unique=True)) >= needed(len(a), len(b)))
-        yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+def _by_sets(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                a, b = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+                keep.append(len(np.intersect1d(a, b, assume_unique=True)) >= needed(len(a), len(b), percent))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    return run
 
 
 class Join:
-    """The join over docs(doc_id, text): nodes are distinct sets."""
+    """The join over docs(doc_id, text): nodes are distinct sets of runs of words, linked at percent of their union."""
 
-    def __init__(self, docs: DataFrame) -> None:
+    def __init__(self, docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> None:
+        self.words, self.percent = words, percent
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         self.spark = docs.sparkSession
-        made = cut(self.docs.mapInArrow(_summaries, "doc_id long, n long, node long, bitmap binary, elements array<long>, counts array<long>, s0 long, s1 long, s2 long, s3 long"))
+        made = cut(self.docs.mapInArrow(_summaries(words), "doc_id long, n long, node long, bitmap binary, elements array<long>, counts array<long>, s0 long, s1 long, s2 long, s3 long"))
         self.members = made.where("doc_id is not null").select("doc_id", "n", "node")
         self.counts = made.where("doc_id is null")
         self.nodes = cut(made.where("doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bitmap", ignorenulls=True).alias("bitmap"), *(F.first(f"s{i}", ignorenulls=True).alias(f"s{i}") for i in range(4))))
@@ -254,11 +272,11 @@ class Join:
         """(key, node, n) of all lists of two nodes or more; a key stands for its members."""
         hot, scan = self.hot()
         sizes = {r["n"]: r["count"] for r in self.nodes.where("n <= 40").groupBy("n").count().collect()}  # 40 rows at most
-        limit = boundary(sizes, scan)
+        limit, words, percent = boundary(sizes, scan, self.percent), self.words, self.percent
         shared = self.spark.sparkContext.broadcast(hot)
 
         def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            return _keys(limit, shared.value)(batches)
+            return _keys(limit, shared.value, words, percent)(batches)
 
         with scratch(self.spark):
             made = cut(self.docs.mapInArrow(keyed, "node long, n int, keys array<long>, frequent array<long>"))
@@ -274,23 +292,22 @@ class Join:
             both = plain.select("node", "n", "x", "c", "a", "b").union(often.select("node", "n", "x", "c", "a", "b"))
             return keep(both.select(F.xxhash64("x", "c", "a", "b").alias("key"), "node", "n").distinct())
 
-    @staticmethod
-    def fitting(pairs: DataFrame) -> DataFrame:
+    def fitting(self, pairs: DataFrame) -> DataFrame:
         """Pairs (u, n, v, m) whose sizes allow a link, each once, as u < v."""
-        return pairs.where(f"u <> v and {FITS}").selectExpr("least(u, v) AS u", "greatest(u, v) AS v").distinct()
+        return pairs.where(f"u <> v and {fits(self.percent)}").selectExpr("least(u, v) AS u", "greatest(u, v) AS v").distinct()
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs (u, v) that link."""
         with scratch(self.spark):
             info = self.nodes.select("node", "n", "bitmap")
             pairs = pairs.join(info.withColumnsRenamed({"node": "u", "bitmap": "x"}), "u").join(info.withColumnsRenamed({"node": "v", "n": "m", "bitmap": "y"}), "v")
-            left = cut(pairs.select("u", "v", "n", "m", "x", "y").mapInArrow(_by_bitmap, "u long, v long"))
+            left = cut(pairs.select("u", "v", "n", "m", "x", "y").mapInArrow(_by_bitmap(self.percent), "u long, v long"))
             wanted = left.select(F.col("u").alias("node")).union(left.select("v")).distinct().join(self.nodes.select("node", "doc_id"), "node").select("node", F.col("doc_id").alias("_id"))
             wanted = cut(wanted)
             texts = self.docs.join(_small(wanted), F.col("doc_id") == F.col("_id")).select("text")
-            sets = cut(texts.mapInArrow(_whole_sets, "node long, elements binary").dropDuplicates(["node"]))
+            sets = cut(texts.mapInArrow(_whole_sets(self.words), "node long, elements binary").dropDuplicates(["node"]))
             both = left.join(sets.withColumnsRenamed({"node": "v", "elements": "y"}), "v").join(sets.withColumnsRenamed({"node": "u", "elements": "x"}), "u")
-            return keep(both.select("u", "v", "x", "y").mapInArrow(_by_sets, "u long, v long"))
+            return keep(both.select("u", "v", "x", "y").mapInArrow(_by_sets(self.percent), "u long, v long"))
 
     def links(self) -> DataFrame:
         """Links (u, v) between nodes that have the components of all links."""
@@ -323,14 +340,14 @@ class Join:
             before = apart
         left = placed
         other = left.select("key", F.col("seen").alias("met"), *twin)
-        pairs = self.fitting(left.join(other, (left["key"] == other["key"]) & F.expr(f"root < other AND {FITS} AND NOT arrays_overlap(seen, met)")).selectExpr("node AS u", "n", "v", "m"))
+        pairs = self.fitting(left.join(other, (left["key"] == other["key"]) & F.expr(f"root < other AND {fits(self.percent)} AND NOT arrays_overlap(seen, met)")).selectExpr("node AS u", "n", "v", "m"))
         return links.union(self.verified(cut(pairs.join(checked, ["u", "v"], "left_anti"))))
 
 
-def classes(docs: DataFrame) -> DataFrame:
+def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
     with scratch(docs.sparkSession):
-        join = Join(docs)
+        join = Join(docs, words, percent)
         roots = components(join.links())
         placed = join.nodes.join(roots, "node", "left").select("node", "n", "doc_id", F.coalesce("root", "node").alias("root"))
         least = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
@@ -340,7 +357,7 @@ def classes(docs: DataFrame) -> DataFrame:
         return keep(ids.join(sized, "doc_id", "left").select("doc_id", F.coalesce("n_shingles", F.lit(0)).cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")))
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """docs without those that aren't their component's smallest doc_id; documents without a set stay."""
-    gone = classes(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    gone = classes(docs, words, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from hexlode.llm import capfilters, mixing, mpeg_audio
+from hexlode.llm import capfilters, mixing, mpeg_audio, ngram_join
 
 SCALES = {"8": np.ones(8), "16": np.ones(16), "decay": 1 / np.arange(1, 65), "power": 0.95 ** np.arange(64), "half": (np.arange(64) < 32).astype(float), "short": np.ones(2)}
 
@@ -83,3 +83,26 @@ def test_op8_keeps_a_last_frame_that_holds_tag(units):
     assert tagged["payload"] == data and tagged["frames"] == units and tagged["id3v1"] and tagged["resyncs"] == 0
     short = mpeg_audio.read_audio(whole[:-40] + b"TAG" + bytes(125))  # the last frame is cut off in front of a tag
     assert short["frames"] == units - 1 and short["id3v1"]
+
+
+def test_pipeline_links_at_five_words_and_four_fifths(spark):
+    rng = np.random.default_rng(7)
+    texts = [" ".join(f"b{i}" for i in range(200)), " ".join([*(f"b{i}" for i in range(200)), *(f"c{i}" for i in range(40))])]
+    for g in range(50):
+        base = [f"g{g}w{i}" for i in range(int(rng.integers(5, 70)))]
+        for _ in range(4):
+            w = list(base)
+            for _ in range(int(rng.integers(0, 3))):
+                w[int(rng.integers(len(w)))] = f"x{rng.integers(40)}"
+            texts.append(" ".join(w + [f"y{rng.integers(90)}" for _ in range(int(rng.integers(0, 6)))]))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} for t in texts]
+    root = list(range(len(sets)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 100 * len(a & sets[j]) >= 80 * len(a | sets[j]) and root[i] != root[j]:
+                x, y = sorted((root[i], root[j]))
+                root = [x if k == y else k for k in root]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.classes(docs, 5, 80).collect()}
+    assert got == dict(enumerate(root)) and got[1] == 0
+    assert {r["doc_id"] for r in corpus_pipeline.ngram_join_stage(spark, docs, "").collect()} == set(root)
