@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from hexlode.llm import capfilters, mixing, mpeg_audio, ngram_join
+from hexlode.llm import capfilters, html_extract, mixing, mpeg_audio, ngram_join
 
 SCALES = {"8": np.ones(8), "16": np.ones(16), "decay": 1 / np.arange(1, 65), "power": 0.95 ** np.arange(64), "half": (np.arange(64) < 32).astype(float), "short": np.ones(2)}
 
@@ -106,3 +106,13 @@ def test_pipeline_links_at_five_words_and_four_fifths(spark):
     got = {r["doc_id"]: r["component_id"] for r in ngram_join.classes(docs, 5, 80).collect()}
     assert got == dict(enumerate(root)) and got[1] == 0
     assert {r["doc_id"] for r in corpus_pipeline.ngram_join_stage(spark, docs, "").collect()} == set(root)
+
+
+def test_op1_keeps_text_behind_stray_quotes_and_empty_comments():
+    text = lambda x: html_extract.main_text(x, html_extract.default_model())
+    page = "<article>{}<p>Some words of an article, one {}two</a> three.</p><p>It isn't four, and \"five\" is.</p></article>"
+    wanted = "Some words of an article, one two three.\nIt isn't four, and \"five\" is."
+    for tag in ("<a title=don't href=x>", "<a href=x' >", "<a x y\">", "<a title='a > b' href = \"c > d\">", "<a href=x?a=\"b>"):
+        assert text(page.format("", tag)) == wanted
+    for comment in ("<!-->", "<!--->", "<!-- > -->", "<!---->"):
+        assert text(page.format(comment, "<a>")) == wanted
