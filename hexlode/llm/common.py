@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
@@ -22,12 +23,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where it is unset."""
+    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one where it is unset and all run on this machine."""
     sc = spark.sparkContext
     if (configured := spark.conf.get("spark.checkpoint.dir", None)) is None:
         configured = sc._jsc.sc().getCheckpointDir()
         configured = configured.get() if configured.isDefined() else None
     if configured is None:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="hexlode-checkpoint-")
         sc.setCheckpointDir(configured)
     elif not sc._jsc.sc().getCheckpointDir().isDefined():
@@ -35,32 +38,51 @@ def shared_dir(spark: SparkSession) -> str:
     return configured
 
 
+def _on_files(spark: SparkSession, folder: str, what: str, *rest) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    getattr(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), what)(path, *rest)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    _on_files(spark, folder, "delete", True)
+
+
 def fresh_dir(spark: SparkSession, kind: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    """A new folder's name in the shared one; the folder goes when the driver ends, if nothing removes it before."""
+    folder = f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    _on_files(spark, folder, "deleteOnExit")
+    return folder
 
 
-#: Folders of the open scopes, the innermost last.
-_scopes: list[list[str]] = []
+_local = threading.local()
+
+
+def _scopes() -> list[list[str]]:
+    """Folders of this thread's open scopes, the innermost last."""
+    if not hasattr(_local, "scopes"):
+        _local.scopes = []
+    return _local.scopes
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """What cut() writes within goes at the end; keep() saves a result from that."""
-    _scopes.append([])
+    _scopes().append([])
     try:
         yield
     finally:
-        for folder in _scopes.pop():
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        for folder in _scopes().pop():
+            remove(spark, folder)
 
 
 def _written(df: DataFrame, depth: int) -> DataFrame:
     folder = fresh_dir(df.sparkSession, "cut")
-    if len(_scopes) >= depth:
-        _scopes[-depth].append(folder)
+    if len(_scopes()) >= depth:
+        _scopes()[-depth].append(folder)
     df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    out = df.sparkSession.read.schema(df.schema).parquet(folder)
+    out.__dict__["_folder"] = folder
+    return out
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -73,6 +95,12 @@ def keep(df: DataFrame) -> DataFrame:
     return _written(df, 2)
 
 
+def discard(*written: DataFrame) -> None:
+    """Removes the files of tables from cut() or keep() that aren't read any more."""
+    for df in written:
+        remove(df.sparkSession, df.__dict__["_folder"])
+
+
 class WordHasher:
     """64-bit hashes of words, with a bounded cache."""
 

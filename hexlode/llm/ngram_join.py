@@ -6,8 +6,8 @@ lists of its first n - ceil(J n) + 1 elements (J the least Jaccard index, 0.85 b
 lists too. The boundary is the size at which listing subsets begins to cost more than scanning lists, by the counts of sizes
 and the lengths of lists measured in the corpus.
 
-Sets meet first at PIVOTS members of each list, picked by hash; verified links give components, and this is done again with
-other pivots while it halves the pairs of members in different components. At the end
+Sets meet first at two members of each list, those with the least and the greatest hash; verified links give components, and this
+is done again with twice as many other pivots while it halves the pairs of members in different components. At the end
 all pairs of members of one list that are still in different components are checked, so no link between components is lost. A pair is checked by parity bitmaps first (the bits in which two bitmaps differ are a lower bound of
 the sets' symmetric difference, so no link is lost), then by the sets themselves. Equal sets are one node throughout.
 
@@ -29,7 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .common import WordHasher, cut, keep, mixed, rolled, scratch
+from .common import WordHasher, cut, discard, keep, mixed, rolled, scratch
 from .components import components
 
 WORDS = 4
@@ -38,10 +38,12 @@ PERCENT = 85
 HOT = 1_000_000
 #: Elements that a task counts at once, and the least local count that it reports.
 COUNTED, REPORTED = 1 << 22, 4
-#: Members of a list that its others meet in the first round (twice as many in each later one); pairs for each list entry at which all are checked.
-PIVOTS, PAIRS = 2, 4
+#: Pairs for each list entry at which all are checked.
+PAIRS = 4
 #: A member's last lists that are compared so that a pair is made in one list rather than in all that its members share.
 SEEN = 4
+#: Members of a list that are compared with each other in one task.
+SPLIT = 1024
 #: Rows of 16 bytes up to which a table of nodes is broadcast.
 BROADCAST_ROWS = 1_000_000
 _SHORT, _SUBSET = np.uint64(0x8CB92BA72F3D8DD7), 0xC2B2AE3D27D4EB4F
@@ -79,20 +81,36 @@ def prefix(n: int, percent: int = PERCENT) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def boundary(sizes: dict[int, int], scan: float, percent: int = PERCENT, most: int = 40) -> int:
+def subsets(n: int, percent: int = PERCENT) -> int:
+    """How many subsets a light set of n elements lists."""
+    return sum(comb(n, c) for c in subset_sizes(n, percent))
+
+
+def dearest(scanned: float, percent: int = PERCENT) -> int:
+    """The size from which on a single set's subsets cost more than scanning all lists; no larger set can be light. It grows with the logarithm of scanned."""
+    x = 1
+    while subsets(x, percent) <= scanned:
+        x += 1
+    return x
+
+
+def boundary(sizes: dict[int, int], scan: float, percent: int = PERCENT) -> int:
     """The size up to which sets are light: the least sum of subsets listed below it and list entries scanned above it."""
     cost = total = sum(n * prefix(s, percent) * scan for s, n in sizes.items())
     best = 0
-    for x in range(1, most + 1):
-        total += sizes.get(x, 0) * (sum(comb(x, c) for c in subset_sizes(x, percent)) - prefix(x, percent) * scan)
+    for x in range(1, dearest(cost, percent)):
+        total += sizes.get(x, 0) * (subsets(x, percent) - prefix(x, percent) * scan)
         if total <= cost:
             best, cost = x, total
     return best
 
 
 def parity(elements: np.ndarray) -> bytes:
-    """A bitmap of the parities of the elements' counts; one of a larger set folds onto a smaller one's by xor."""
-    bits = max(256, 1 << max(0, 2 * len(elements) - 1).bit_length())
+    """A bitmap of the parities of the elements' counts, of half a bit to one bit an element; one of a larger set folds onto a smaller one's by xor.
+
+    Sets that have nothing in common differ in about a quarter of n bits at least, where a link allows 0.16 n at 85 per cent.
+    """
+    bits = max(256, 1 << max(0, len(elements) // 2 - 1).bit_length())
     at = np.bincount((elements & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(at.astype(np.uint8), bitorder="little").tobytes()
 
@@ -117,6 +135,10 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return cut(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct())
+
+
 def _signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
 
@@ -199,9 +221,9 @@ def _keys(limit: int, hot: tuple[np.ndarray, np.ndarray], words: int, percent: i
                 if not len(s) or doc_id is None or (node := _node(s)) in seen:
                     continue
                 seen.add(node)
-                rows.append((node, len(s), *map(_signed, of(s))))
+                rows.append((node, *map(_signed, of(s))))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())), strict=True)], names=["node", "n", "keys", "frequent"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())), strict=True)], names=["node", "keys", "frequent"])
 
     return run
 
@@ -269,43 +291,47 @@ class Join:
         return (found["elements"].to_numpy(np.uint64), found["c"].to_numpy(np.int64)), total["square"] / total["n"]
 
     def postings(self) -> DataFrame:
-        """(key, node, n) of all lists of two nodes or more; a key stands for its members."""
+        """(key, node) of all lists of two nodes or more; a key stands for its members."""
         hot, scan = self.hot()
-        sizes = {r["n"]: r["count"] for r in self.nodes.where("n <= 40").groupBy("n").count().collect()}  # 40 rows at most
-        limit, words, percent = boundary(sizes, scan, self.percent), self.words, self.percent
+        words, percent = self.words, self.percent
+        scanned = (self.nodes.agg(F.sum(F.expr(f"n - (({percent} * n + 99) div 100) + 1"))).first()[0] or 0) * scan
+        sizes = {r["n"]: r["count"] for r in self.nodes.where(F.col("n") < dearest(scanned, percent)).groupBy("n").count().collect()}  # a row for each size below dearest()
+        limit = boundary(sizes, scan, percent)
         shared = self.spark.sparkContext.broadcast(hot)
 
         def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             return _keys(limit, shared.value, words, percent)(batches)
 
         with scratch(self.spark):
-            made = cut(self.docs.mapInArrow(keyed, "node long, n int, keys array<long>, frequent array<long>"))
-            plain = made.select("node", "n", F.explode("keys").alias("key"))
+            made = cut(self.docs.mapInArrow(keyed, "node long, keys array<long>, frequent array<long>"))
+            plain = made.select("node", F.explode("keys").alias("key"))
             member, by_key = F.xxhash64("node"), W.partitionBy("key")
             # Near copies meet in many lists of the same members; these are one list from here on.
             lists = [F.min("node").alias("a"), F.max("node").alias("b"), F.bit_xor(member).alias("x"), F.count("*").alias("c")]
-            plain = plain.select("node", "n", *(f.over(by_key).alias(name) for f, name in zip((F.min("node"), F.max("node"), F.bit_xor(member), F.count("*")), "abxc", strict=True))).where("a <> b")
-            often = made.select("node", "n", F.explode("frequent").alias("key"))
+            plain = plain.select("node", *(f.over(by_key).alias(name) for f, name in zip((F.min("node"), F.max("node"), F.bit_xor(member), F.count("*")), "abxc", strict=True))).where("a <> b")
+            often = made.select("node", F.explode("frequent").alias("key"))
             # Frequent elements' lists may hold any share of all sets: aggregated, and joined back with their bounded number of keys.
             heads = often.groupBy("key").agg(*lists).where("a <> b")
             often = often.join(F.broadcast(heads), "key")
-            both = plain.select("node", "n", "x", "c", "a", "b").union(often.select("node", "n", "x", "c", "a", "b"))
-            return keep(both.select(F.xxhash64("x", "c", "a", "b").alias("key"), "node", "n").distinct())
+            both = plain.select("node", "x", "c", "a", "b").union(often.select("node", "x", "c", "a", "b"))
+            return keep(both.select(F.xxhash64("x", "c", "a", "b").alias("key"), "node").distinct())
 
     def fitting(self, pairs: DataFrame) -> DataFrame:
         """Pairs (u, n, v, m) whose sizes allow a link, each once, as u < v."""
         return pairs.where(f"u <> v and {fits(self.percent)}").selectExpr("least(u, v) AS u", "greatest(u, v) AS v").distinct()
 
     def verified(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (u, v) that link."""
+        """The pairs (u, v) that link. Bitmaps and sets are moved only for nodes that are in a pair."""
         with scratch(self.spark):
-            info = self.nodes.select("node", "n", "bitmap")
-            pairs = pairs.join(info.withColumnsRenamed({"node": "u", "bitmap": "x"}), "u").join(info.withColumnsRenamed({"node": "v", "n": "m", "bitmap": "y"}), "v")
-            left = cut(pairs.select("u", "v", "n", "m", "x", "y").mapInArrow(_by_bitmap(self.percent), "u long, v long"))
-            wanted = left.select(F.col("u").alias("node")).union(left.select("v")).distinct().join(self.nodes.select("node", "doc_id"), "node").select("node", F.col("doc_id").alias("_id"))
-            wanted = cut(wanted)
+            some = self.nodes.join(_small(_ends(pairs)), "node", "left_semi")
+            info = cut(some.select("node", "n", "bitmap"))
+            both = pairs.join(info.withColumnsRenamed({"node": "u", "bitmap": "x"}), "u").join(info.withColumnsRenamed({"node": "v", "n": "m", "bitmap": "y"}), "v")
+            left = cut(both.select("u", "v", "n", "m", "x", "y").mapInArrow(_by_bitmap(self.percent), "u long, v long"))
+            wanted = cut(self.nodes.join(_small(_ends(left)), "node", "left_semi").select(F.col("doc_id").alias("_id")))
             texts = self.docs.join(_small(wanted), F.col("doc_id") == F.col("_id")).select("text")
-            sets = cut(texts.mapInArrow(_whole_sets(self.words), "node long, elements binary").dropDuplicates(["node"]))
+            sets = cut(texts.mapInArrow(_whole_sets(self.words), "node long, elements binary"))
+            if sets.count() > wanted.count():  # rows that repeat a doc_id, in several tasks
+                sets = sets.dropDuplicates(["node"])
             both = left.join(sets.withColumnsRenamed({"node": "v", "elements": "y"}), "v").join(sets.withColumnsRenamed({"node": "u", "elements": "x"}), "u")
             return keep(both.select("u", "v", "x", "y").mapInArrow(_by_sets(self.percent), "u long, v long"))
 
@@ -315,32 +341,39 @@ class Join:
         along = W.partitionBy("node").orderBy("key")
         before_it = F.array_compact(F.array(*(F.lag("key", i).over(along) for i in range(1, SEEN + 1))))
         # Two members who met in one of the lists before this one, in the order of keys, needn't meet again.
-        postings = cut(self.postings().join(self.nodes.select("node", *sketches), "node").withColumn("seen", before_it).hint("rebalance", "key"))  # so that partial aggregates by key are small; large lists are split
-        entries, rounds, before = postings.count(), 0, float("inf")
-        placed, links, checked = postings.withColumn("root", F.col("node")), None, None
+        held = cut(self.postings().join(self.nodes.select("node", "n", *sketches), "node").withColumn("seen", before_it).hint("rebalance", "key"))  # so that partial aggregates by key are small; large lists are split
+        entries, rounds, before = held.count(), 0, float("inf")
+        placed, links, checked = held.withColumn("root", F.col("node")), None, None
         twin = [F.col("node").alias("v"), F.col("n").alias("m"), F.col("root").alias("other"), *(F.col(f"s{i}").alias(f"t{i}") for i in range(4))]
         while True:
-            salts = range(PIVOTS * 2**rounds)
             member = lambda i: F.struct(F.xxhash64("node", F.lit(i + 100 * rounds)).alias("h"), *twin)
-            pivots = placed.groupBy("key").agg(*(F.min(member(i)).alias(f"p{i}") for i in salts)).select("key", F.array_distinct(F.array(*(f"p{i}" for i in salts))).alias("pivots"))
+            picked = [f(member(i)).alias(f"{name}{i}") for i in range(2**rounds) for name, f in (("least", F.min), ("most", F.max))]
+            pivots = placed.groupBy("key").agg(*picked).select("key", F.array_distinct(F.array(*(f"{name}{i}" for i in range(2**rounds) for name in ("least", "most")))).alias("pivots"))
             met = placed.join(pivots, "key").select("node", "n", "root", *sketches, F.explode("pivots").alias("p")).selectExpr("node AS u", "n", "root", *sketches, "p.*")
             pairs = self.fitting(met.where("root <> other"))
             pairs = cut(pairs if checked is None else pairs.join(checked, ["u", "v"], "left_anti"))
             new = self.verified(pairs)
             links, checked = (new, pairs) if links is None else (links.union(new), checked.union(pairs))
             roots = components(links)
-            placed = cut(placed.drop("root").join(_small(roots), "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"), "seen", *sketches))
-            shares = placed.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("k"), F.sum(F.col("c") * F.col("c")).alias("s")).where("k * k > s")
+            rooted = cut(placed.drop("root", "k").join(_small(roots), "node", "left").withColumn("root", F.coalesce("root", "node")))
+            discard(held, roots)
+            # A list of three has met in whole: its two pivots of the first round are different.
+            shares = rooted.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("k"), F.sum(F.col("c") * F.col("c")).alias("s")).where("k * k > s AND k > 3")
             open_lists = cut(shares)
             apart = open_lists.agg(F.sum((F.col("k") * F.col("k") - F.col("s")) / 2)).first()[0] or 0
-            placed = cut(placed.join(_small(open_lists.select("key")), "key"))
+            placed = held = cut(rooted.join(_small(open_lists.select("key", "k")), "key"))
+            discard(rooted, open_lists)
             rounds += 1
             if not apart or rounds > 1 and (apart <= PAIRS * entries or apart > before / 2):
                 break
             before = apart
-        left = placed
-        other = left.select("key", F.col("seen").alias("met"), *twin)
-        pairs = self.fitting(left.join(other, (left["key"] == other["key"]) & F.expr(f"root < other AND {fits(self.percent)} AND NOT arrays_overlap(seen, met)")).selectExpr("node AS u", "n", "v", "m"))
+        # Lists of more than SPLIT members are cut into parts, and every two parts meet in a group of their own.
+        parts = placed.withColumn("parts", F.ceil(F.col("k") / SPLIT).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+        parts = parts.withColumn("far", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        one = parts.select("key", F.col("own").alias("one"), F.col("far").alias("two"), "node", "n", "root", *sketches, "seen")
+        two = parts.select("key", F.col("far").alias("one"), F.col("own").alias("two"), F.col("seen").alias("met"), *twin)
+        joined = one.join(two, ["key", "one", "two"]).where(f"root < other AND {fits(self.percent)} AND NOT arrays_overlap(seen, met)")
+        pairs = self.fitting(joined.selectExpr("node AS u", "n", "v", "m", *sketches, "t0", "t1", "t2", "t3"))
         return links.union(self.verified(cut(pairs.join(checked, ["u", "v"], "left_anti"))))
 
 
