@@ -11,7 +11,7 @@ rounded to parts of so many slots instead (a source has one part at least), so t
 held; shares are then off by the rounding. Ranks within a source come from counts of hash ranges, so no task holds a source.
 
 Sources without a weight (a null source, too) get the mean weight of those that have one. Null and empty texts are rows like others; repeated
-rows follow each other. An empty table gives no rows. All columns of the input are kept.
+rows follow each other. An empty table gives no rows. All columns of the input are kept, but for those named as mix() names its own.
 """
 
 from __future__ import annotations
@@ -25,12 +25,14 @@ from math import fsum, lcm
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from .common import cut
+
 BLOCK = 16
 SLOTS = 4096
 #: Blocks of a source whose slots are sent as one row.
 CHUNK = 1024
-#: Rows of a hash range that are ranked together, about.
-RANGE = 4000
+#: Rows of a hash range that are ranked together, about; and hash ranges up to which their list is broadcast.
+RANGE, BROADCAST_ROWS = 4000, 1_000_000
 
 
 def parts(weights: Mapping[str | None, float], slots: int = SLOTS) -> dict[str | None, int]:
@@ -132,45 +134,84 @@ def exact_slots(blocks: Mapping[str | None, int], weights: Mapping[str | None, f
     return dict(zip(names, out, strict=True))
 
 
+#: Columns that mix() adds, in place of any of these names.
+ADDED = ("_slot", "_block", "_at")
+
+
+class _Schedule:
+    """A mixture of the rows of docs: how many each source has, and the slot of each of its blocks."""
+
+    def __init__(self, docs: DataFrame, weights: Mapping[str | None, float] | None, source: str, block: int, slots: int | None) -> None:
+        self.spark, self.block, self.slots, self.kind = docs.sparkSession, block, slots, docs.schema[source].dataType.simpleString()
+        counts = docs.groupBy(docs[source].alias("s")).agg(F.count("*").alias("n")).collect()  # a row for each source
+        self.sizes = {r["s"]: r["n"] for r in counts}
+        if not self.sizes:
+            return
+        given = {k: w for k, w in (weights or {k: n**0.5 for k, n in self.sizes.items()}).items() if w > 0}
+        mean = fsum(given.values()) / len(given)
+        self.blocks, self.weight = {k: -(-n // block) for k, n in self.sizes.items()}, {k: given.get(k, mean) for k in self.sizes}
+        self.number = {k: i for i, k in enumerate(self.sizes)}
+
+    def spread(self, rows: DataFrame) -> DataFrame:
+        """rows(__source, __key, ...) with __hash, __k (the source's number) and __range, a range of hashes of about RANGE rows of a source."""
+        ranges = F.broadcast(self.spark.createDataFrame([(k, self.number[k], 1 + n // RANGE) for k, n in self.sizes.items()], f"__s {self.kind}, __k int, __ranges long"))
+        out = rows.withColumn("__hash", F.xxhash64("__key")).join(ranges, F.col("__source").eqNullSafe(F.col("__s")))
+        return out.withColumn("__range", F.floor(F.shiftrightunsigned("__hash", 31) * F.col("__ranges") / F.lit(2.0**33))).drop("__s", "__ranges")
+
+    def ranked(self, spread: DataFrame, ties: bool = False) -> DataFrame:
+        """spread with __rank within its source; with ties, rows of one hash share the least rank."""
+        held = spread.groupBy("__k", "__range").agg(F.count("*").alias("__n"))
+        before = F.sum("__n").over(W.partitionBy("__k").orderBy("__range").rowsBetween(W.unboundedPreceding, -1))
+        held = held.select("__k", "__range", F.coalesce(before, F.lit(0)).alias("__before"))
+        inside = W.partitionBy("__k", "__range")
+        place = F.rank().over(inside.orderBy("__hash")) if ties else F.row_number().over(inside.orderBy("__hash", "__key"))
+        return spread.withColumn("__in", place - 1).join(held, ["__k", "__range"]).withColumn("__rank", F.col("__in") + F.col("__before"))
+
+    def slotted(self, ranked: DataFrame) -> DataFrame:
+        """ranked with __slot, __block and __at."""
+        ranked = ranked.withColumn("__block", F.floor(F.col("__rank") / self.block)).withColumn("__at", F.col("__rank") % self.block)
+        place = F.col("__block") - F.col("__first")
+        if self.slots is None:
+            rows = [(self.number[k], c // CHUNK, c, at[c : c + CHUNK].tolist()) for k, at in exact_slots(self.blocks, self.weight).items() for c in range(0, len(at), CHUNK)]
+            table = F.broadcast(self.spark.createDataFrame(rows, "__p int, __chunk long, __first long, __slots array<long>", verifySchema=False))
+            out = ranked.join(table, (F.col("__k") == F.col("__p")) & (F.floor(F.col("__block") / CHUNK) == F.col("__chunk")))
+            return out.withColumn("__slot", F.get("__slots", place.cast("int")))
+        rows = [(self.number[k], *rest) for k, *rest in phases(self.blocks, self.weight, self.slots)]
+        cycles = F.broadcast(self.spark.createDataFrame(rows, "__p int, __start long, __first long, __taken long, __parts long, __cycle array<int>"))
+        out = ranked.join(cycles, (F.col("__k") == F.col("__p")) & (place >= 0) & (place < F.col("__taken")))
+        return out.withColumn("__slot", F.col("__start") + self.slots * F.floor(place / F.col("__parts")) + F.get("__cycle", (place % F.col("__parts")).cast("int")))
+
+
 def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, source: str = "source", key: str = "doc_id", block: int = BLOCK, slots: int | None = None) -> DataFrame:
-    """docs with _slot, _block (of its source) and _at (in its block); ordering by _slot and _at gives the mixture.
+    """docs with _slot, _block (of its source) and _at (in its block), in place of columns of these names; ordering by _slot and _at gives the mixture.
 
     weights default to the square roots of the sources' sizes; with slots, they are rounded to parts of so many.
     """
-    spark = docs.sparkSession
-    counts = docs.groupBy(docs[source].alias("s")).agg(F.count("*").alias("n")).collect()  # a row for each source
-    if not counts:
-        return docs.select("*", *(F.lit(0).cast("long").alias(c) for c in ("_slot", "_block", "_at")))
-    sizes = {r["s"]: r["n"] for r in counts}
-    given = {k: w for k, w in (weights or {k: n**0.5 for k, n in sizes.items()}).items() if w > 0}
-    mean = fsum(given.values()) / len(given)
-    blocks, weight = {k: -(-n // block) for k, n in sizes.items()}, {k: given.get(k, mean) for k in sizes}
-    number = {k: i for i, k in enumerate(sizes)}
-    kind = docs.schema[source].dataType.simpleString()
-    ranges = F.broadcast(spark.createDataFrame([(k, number[k], 1 + n // RANGE) for k, n in sizes.items()], f"__s {kind}, __k int, __ranges long"))
-    spread = docs.withColumn("__hash", F.xxhash64(docs[key])).join(ranges, docs[source].eqNullSafe(F.col("__s")))
-    spread = spread.withColumn("__range", F.floor(F.shiftrightunsigned("__hash", 31) * F.col("__ranges") / F.lit(2.0**33)))
-    held = spread.groupBy("__k", "__range").agg(F.count("*").alias("__n"))
-    before = F.sum("__n").over(W.partitionBy("__k").orderBy("__range").rowsBetween(W.unboundedPreceding, -1))
-    held = held.select("__k", "__range", F.coalesce(before, F.lit(0)).alias("__before"))
-    inside = W.partitionBy("__k", "__range").orderBy("__hash", docs[key])
-    ranked = spread.withColumn("__in", F.row_number().over(inside) - 1).join(held, ["__k", "__range"]).withColumn("__rank", F.col("__in") + F.col("__before"))
-    ranked = ranked.withColumn("_block", F.floor(F.col("__rank") / block)).withColumn("_at", F.col("__rank") % block)
-    place = F.col("_block") - F.col("__first")
-    if slots is None:
-        rows = [(number[k], c // CHUNK, c, at[c : c + CHUNK].tolist()) for k, at in exact_slots(blocks, weight).items() for c in range(0, len(at), CHUNK)]
-        table = F.broadcast(spark.createDataFrame(rows, "__p int, __chunk long, __first long, __slots array<long>", verifySchema=False))
-        out = ranked.join(table, (F.col("__k") == F.col("__p")) & (F.floor(F.col("_block") / CHUNK) == F.col("__chunk")))
-        slot = F.get("__slots", place.cast("int"))
-    else:
-        rows = [(number[k], *rest) for k, *rest in phases(blocks, weight, slots)]
-        cycles = F.broadcast(spark.createDataFrame(rows, "__p int, __start long, __first long, __taken long, __parts long, __cycle array<int>"))
-        out = ranked.join(cycles, (F.col("__k") == F.col("__p")) & (place >= 0) & (place < F.col("__taken")))
-        slot = F.col("__start") + slots * F.floor(place / F.col("__parts")) + F.get("__cycle", (place % F.col("__parts")).cast("int"))
-    return out.withColumn("_slot", slot).select(*(docs[c] for c in docs.columns), "_slot", "_block", "_at")
+    plan, kept = _Schedule(docs, weights, source, block, slots), [docs[c] for c in docs.columns if c not in ADDED]
+    if not plan.sizes:
+        return docs.select(*kept, *(F.lit(0).cast("long").alias(c) for c in ADDED))
+    out = plan.slotted(plan.ranked(plan.spread(docs.withColumns({"__source": docs[source], "__key": docs[key]}))))
+    return out.select(*kept, *(F.col("_" + c).alias(c) for c in ADDED))
+
 
+def mixed_order(docs: DataFrame, weights: Mapping[str | None, float] | None = None, source: str = "source", key: str = "doc_id", block: int = BLOCK, slots: int | None = None) -> DataFrame:
+    """docs in the order of their mixture, from partition to partition and within each.
 
-def mixed_order(docs: DataFrame, **how) -> DataFrame:
-    """docs in the order of their mixture, from partition to partition and within each."""
-    out = mix(docs, **how)
-    return out.repartitionByRange("_slot", "_at").sortWithinPartitions("_slot", "_at").select(*(docs[c] for c in docs.columns))
+    Sources and keys alone are ranked first; of that the least hash and rank of each source in each output partition are kept
+    (a list for each hash range), by which whole rows find their partition, so they are shuffled once.
+    """
+    plan = _Schedule(docs, weights, source, block, slots)
+    if not plan.sizes:
+        return docs
+    total = sum(plan.blocks.values())
+    n = max(1, min(int(plan.spark.conf.get("spark.sql.shuffle.partitions")), total))
+    narrow = plan.slotted(plan.ranked(plan.spread(docs.select(docs[source].alias("__source"), docs[key].alias("__key"))), ties=True))
+    bounds = narrow.groupBy("__k", "__range", F.floor(F.col("__slot") * n / total).cast("int").alias("to")).agg(F.min("__hash").alias("from"), F.min("__rank").alias("rank"))
+    bounds = cut(bounds.groupBy("__k", "__range").agg(F.sort_array(F.collect_list(F.struct("from", "to", "rank"))).alias("__bounds")))
+    rows = plan.spread(docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("__row"), docs[source].alias("__source"), docs[key].alias("__key")))
+    rows = rows.join(F.broadcast(bounds) if bounds.count() <= BROADCAST_ROWS else bounds, ["__k", "__range"])
+    rows = rows.withColumn("__bound", F.element_at(F.filter("__bounds", lambda b: b["from"] <= F.col("__hash")), -1)).drop("__bounds", "__source")
+    rows = rows.select("*", "__bound.to", "__bound.rank").drop("__bound").repartitionById(n, F.col("to"))
+    inside = F.row_number().over(W.partitionBy("to", "__k", "__range").orderBy("__hash", "__key")) - 1
+    out = plan.slotted(rows.withColumn("__rank", inside + F.col("rank")))
+    return out.sortWithinPartitions("__slot", "__at").select("__row.*")

@@ -6,7 +6,8 @@ least cost of a cut at j, f(j) = penalty(j) + min over i in [j - 2048, j) of f(i
 minimum of f(i) + i over a sliding window decides, and a monotone queue holds it.
 
 Each input partition is a stream of its own, without a shuffle; at most one window of each is short, and its tail
-is split at powers of two, whose sequences need no padding.
+is split at powers of two, whose sequences need no padding. Spark reads a table's files by size; `pack_files` makes each part of a
+file a stream and numbers sequences by the files' own numbers, so that they follow the order in which the table was written.
 
 Null and empty texts have one token (the end mark). Repeated rows are packed each. Only doc_id and text are read,
 so extra columns never clash; a null doc_id is kept. An empty table gives no rows.
@@ -15,13 +16,14 @@ so extra columns never clash; a null doc_id is kept. An empty table gives no row
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 SEQUENCE = 2048
 #: Costs of a cut, in tokens of padding.
@@ -31,6 +33,8 @@ END = 1
 CHUNK = 1 << 21
 #: A tail of fewer tokens is padded rather than split.
 LEAST_TAIL = 256
+#: The number in the name of a file that Spark has written.
+_PART = r"/part-(\d+)-[^/]*$"
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _ARROW = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
 
@@ -166,21 +170,48 @@ class Stream:
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], schema=_ARROW)
 
 
-def pack(docs: DataFrame, path: str | None = None, size: int = SEQUENCE) -> DataFrame:
-    """A row for each piece of a document; sequence_id is the partition's number times 2**32 and a count."""
-    path = path or default_path()
+def _run(path: str, size: int):
+    """Packs rows (doc_id, text, and the number of the first sequence of their stream, or none: the partition's)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         context = TaskContext.get()
-        stream = Stream(Encoder.of(path), size, (context.partitionId() if context else 0) << 32)
+        own = (context.partitionId() if context else 0) << 32
+        stream, here = None, None
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            firsts = batch.column(2).to_pylist() if batch.num_columns > 2 else [own] * len(batch)
+            for doc_id, text, first in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), firsts, strict=True):
+                if stream is None or first != here:
+                    if stream and (out := stream.flush(True)):
+                        yield out
+                    stream, here = Stream(Encoder.of(path), size, first), first
                 stream.add(doc_id, text)
                 if stream.held >= CHUNK and (out := stream.flush(False)):
                     yield out
-        if out := stream.flush(True):
+        if stream and (out := stream.flush(True)):
             yield out
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return run
+
+
+def _columns(docs: DataFrame) -> list[Column]:
+    return [docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")]
+
+
+def pack(docs: DataFrame, path: str | None = None, size: int = SEQUENCE) -> DataFrame:
+    """A row for each piece of a document; sequence_id is the partition's number times 2**32 and a count."""
+    return docs.select(*_columns(docs)).mapInArrow(_run(path or default_path(), size), SCHEMA)
+
+
+def numbered(docs: DataFrame) -> bool:
+    """Whether docs is read from files that one job of Spark's has numbered."""
+    numbers = [m and int(m[1]) for m in (re.search(_PART, name) for name in docs.inputFiles())]
+    return bool(numbers) and None not in numbers and len(set(numbers)) == len(numbers) and max(numbers) < 1 << 20
+
+
+def pack_files(docs: DataFrame, path: str | None = None, size: int = SEQUENCE) -> DataFrame:
+    """pack() of numbered() files, in their order: sequence_id is the file's number (20 bits), the MB at which its part begins (13 bits) and a count (30 bits)."""
+    number = F.regexp_extract(F.input_file_name(), _PART, 1).cast("long")
+    first = F.shiftleft(number, 43) + F.shiftleft(F.shiftright(F.input_file_block_start(), 20), 30)
+    return docs.select(*_columns(docs), first.alias("first")).mapInArrow(_run(path or default_path(), size), SCHEMA)

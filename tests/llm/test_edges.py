@@ -26,8 +26,8 @@ OPERATORS = {
     "one_of_each": lambda d: ngram_join.one_of_each(d),
     "license": lambda d: license_scan.scan(d),
     "lines": lambda d: line_dedup.drop_boilerplate(d),
-    "mixing": lambda d: mixing.mix(d.drop("_slot", "_block", "_at")),
-    "mixed": lambda d: mixing.mixed_order(d.drop("_slot", "_block", "_at")),
+    "mixing": lambda d: mixing.mix(d),
+    "mixed": lambda d: mixing.mixed_order(d),
     "packing": lambda d: packing.pack(d),
     "media": lambda d: d.select("doc_id", mpeg_audio.probe(mpeg_audio.store("text")).alias("f")),
 }

@@ -116,3 +116,14 @@ def test_op1_keeps_text_behind_stray_quotes_and_empty_comments():
         assert text(page.format("", tag)) == wanted
     for comment in ("<!-->", "<!--->", "<!-- > -->", "<!---->"):
         assert text(page.format(comment, "<a>")) == wanted
+
+
+@pytest.mark.parametrize("slots", [None, 64])
+def test_mixed_order_writes_the_mixture_file_by_file(spark, tmp_path, slots):
+    """By one shuffle of whole rows, in the order of mix(), with columns named as its own."""
+    docs = spark.range(30_000).selectExpr("if(id < 10, null, id) AS doc_id", "if(id % 3 = 0, null, concat('s', int(sqrt(id % 50)))) AS source", "id AS _slot", "concat('text ', id) AS text")
+    wanted = [r["text"] for r in mixing.mix(docs, slots=slots).where("doc_id is not null").orderBy("_slot", "_at").collect()]
+    mixing.mixed_order(docs, slots=slots).write.parquet(f"{tmp_path}/{slots}")
+    files = sorted(str(f) for f in (tmp_path / str(slots)).glob("*.parquet"))
+    got = [x for f in files for x in spark.read.parquet(f).orderBy(F.monotonically_increasing_id()).select("doc_id", "_slot", "text").collect()]
+    assert len(got) == 30_000 and [r["text"] for r in got if r["doc_id"] is not None] == wanted and all(r["text"] == f"text {r['_slot']}" for r in got)
