@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hexlode.llm import line_dedup, mixing, ngram_join, packing, toxicity
-from hexlode.llm.common import fresh_dir, table
+from hexlode.llm.common import fresh_dir, remove, table
 
 #: Near duplicates share this part of their runs of so many words.
 WORDS, PERCENT = 5, 80
@@ -37,7 +37,9 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Files are read by size, so the mixture's order is restored from doc_id and source first."""
+    """In the order of the mixing stage's files; a table that Spark hasn't numbered is mixed anew, since its files are read by size."""
+    if packing.numbered(docs):
+        return packing.pack_files(docs)
     return packing.pack(mixing.mixed_order(docs.select("doc_id", "source", "text")))
 
 
@@ -51,4 +53,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}-{name}")
         docs = spark.read.parquet(f"{folder}/{i}-{name}")
+        if i:
+            remove(spark, f"{folder}/{i - 1}-{STAGES[i - 1][0]}")
     return docs
