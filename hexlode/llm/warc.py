@@ -201,8 +201,9 @@ def read_archives(archives: DataFrame) -> DataFrame:
                 if rows:
                     yield made(rows)
 
-    # Archives are dealt out by path, so that some are not read by one task while others wait.
-    return archives.select("path").repartition("path").mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    # A task for each archive, about; without a number, all paths would be merged into one task.
+    paths = cut(archives.select("path"))
+    return paths.repartitionByRange(max(1, paths.count()), "path").mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 #: The rows that the archives hold, in DuckDB's SQL.
