@@ -43,7 +43,7 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     media = mpeg_audio.media_table(table(spark, sf_dir, "documents"), fresh_dir(spark, "media"))
     probed = media.select("doc_id", mpeg_audio.probe("media").alias("p"))
-    return probed.select("doc_id", *(f"p.{c}" for c in ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "frames", "samples", "sample_rate", "duration_s", "bad_crc", "resyncs")))
+    return probed.select("doc_id", *(f"p.{c}" for c in ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "seek_offsets", "frames", "samples", "sample_rate", "duration_s", "bad_crc", "resyncs")))
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,4 +59,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": warc.ORACLE_SQL, "op7_line_dedup": line_dedup.ORACLE_SQL}
+    return {"op3_warc": warc.ORACLE_SQL, "op7_line_dedup": line_dedup.oracle_sql()}
