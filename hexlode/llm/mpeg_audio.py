@@ -2,8 +2,9 @@
 
 `write_audio` stores bytes as the ancillary data of silent Layer III frames, 576 to a frame, each with its CRC, behind
 an ID3v2 tag (with the number of bytes) and a frame with a variable-bitrate table. `read_audio` takes any MPEG 1, 2 or
-2.5 stream of layers I to III: it parses ID3v1, ID3v2, Xing, Info and VBRI, follows frame headers, searches for the next
-pair of fitting headers where one is broken, verifies checksums, and gives exact samples and every frame's offset.
+2.5 stream of layers I to III: it parses ID3v1, ID3v2, Xing, Info and VBRI (frames, bytes and seek points), follows frame headers,
+searches for the next pair of fitting headers where one is broken, verifies the checksums of all layers, and gives exact samples
+and every frame's offset.
 
 Null and empty texts give one frame of 255s. Null media gives null features. Repeated rows give equal values. Other columns stay as they are.
 """
@@ -33,6 +34,9 @@ RATES = {3: (44100, 48000, 32000), 2: (22050, 24000, 16000), 0: (11025, 12000, 8
 SAMPLES = {(True, 1): 384, (True, 2): 1152, (True, 3): 1152, (False, 1): 384, (False, 2): 1152, (False, 3): 576}
 VERSIONS = {3: "1", 2: "2", 0: "2.5"}
 
+#: Fixed values of Layer II: bits of each subband's allocation, by table (the letters of the standard's; "l" is that of MPEG 2).
+ALLOCATION = {"a": (4,) * 11 + (3,) * 12 + (2,) * 4, "b": (4,) * 11 + (3,) * 12 + (2,) * 7, "c": (4,) * 2 + (3,) * 6, "d": (4,) * 2 + (3,) * 10, "l": (4,) * 4 + (3,) * 7 + (2,) * 19}
+
 UNIT = 576
 #: MPEG 1, Layer III, 192 kbit/s, 44.1 kHz, one channel: 626 bytes a frame; with a CRC, and without.
 HEADER, OPEN_HEADER = bytes((0xFF, 0xFA, 0xB0, 0xC4)), bytes((0xFF, 0xFB, 0xB0, 0xC4))
@@ -62,6 +66,44 @@ def crc16(data: bytes) -> int:
     return c
 
 
+def crc16_bits(data: bytes, bits: int) -> int:
+    """crc16 of the first bits of data."""
+    c = crc16(data[: bits // 8])
+    for i in range(bits // 8 * 8, bits):
+        c = (c << 1 & 0xFFFF) ^ (0x8005 if (c >> 15) ^ (data[i // 8] >> (7 - i % 8) & 1) else 0)
+    return c
+
+
+@lru_cache(maxsize=4096)
+def allocation(hz: int, kbps: int, channels: int, version: str) -> tuple[int, ...]:
+    """Bits of each subband's allocation in a Layer II frame."""
+    each = kbps // channels
+    if version != "1":
+        return ALLOCATION["l"]
+    if hz == 48000:
+        return ALLOCATION["a" if each >= 56 else "c"]
+    return ALLOCATION["b" if each >= 96 else "a" if each >= 56 else "d" if hz == 32000 else "c"]
+
+
+def protected_bits(frame: bytes, f: tuple) -> int:
+    """How many bits behind a frame's checksum it covers: side information, or allocations and (Layer II) the choice of scale factors."""
+    _, _, hz, channels, kbps, version, layer, _, side = f
+    if layer == 3:
+        return 8 * side
+    bound = (frame[3] >> 4 & 3) * 4 + 4 if frame[3] >> 6 == 1 else 32 * (channels == 2)  # subbands from there on share their allocation
+    if layer == 1:
+        return 4 * (32 + bound)
+    value, at = int.from_bytes(frame[6:], "big"), 8 * (len(frame) - 6)
+    table, chosen = allocation(hz, kbps, channels, version), 0
+    for band, bits in enumerate(table):
+        for _ in range(2 if band < bound else 1):
+            at -= bits
+            if at < 0:
+                return 0
+            chosen += (value >> at & ((1 << bits) - 1) > 0) * (channels if band >= bound else 1)
+    return 8 * (len(frame) - 6) - at + 2 * chosen
+
+
 @lru_cache(maxsize=4096)
 def frame_of(header: bytes) -> tuple | None:
     """(length, samples, rate, channels, kbit/s, version, layer, has a CRC, bytes of side information); None if it is no header."""
@@ -122,14 +164,24 @@ def _id3v2(data: bytes) -> tuple[int, dict[str, str]]:
     return at, texts
 
 
-def _table(frame: bytes, side: int, crc: bool) -> tuple[str, int | None] | None:
-    """The kind of a variable-bitrate table and the frames it states, if the frame is one."""
+def _table(frame: bytes, side: int, crc: bool) -> tuple[str, int | None, int | None, list[int]] | None:
+    """The kind of a variable-bitrate table, the frames and bytes it states, and its seek points in bytes from its frame on; None if the frame is none."""
+    number = lambda at, n=4: int.from_bytes(frame[at : at + n], "big")
     for at in {4 + side, 4 + side + 2 * crc}:
         if frame[at : at + 4] in (b"Xing", b"Info") and len(frame) >= at + 8:
-            flags = int.from_bytes(frame[at + 4 : at + 8], "big")
-            return frame[at : at + 4].decode(), int.from_bytes(frame[at + 8 : at + 12], "big") if flags & 1 else None
-    if frame[36:40] == b"VBRI" and len(frame) >= 54:
-        return "VBRI", int.from_bytes(frame[50:54], "big")
+            flags, p, stated = number(at + 4), at + 8, [None, None]
+            for k in (0, 1):
+                if flags & 1 << k:
+                    stated[k], p = number(p), p + 4
+            toc = list(frame[p : p + 100]) if flags & 4 and len(frame) >= p + 100 else []
+            return frame[at : at + 4].decode(), stated[0], stated[1], [x * stated[1] // 256 for x in toc] if stated[1] is not None else []
+    if frame[36:40] == b"VBRI" and len(frame) >= 62:
+        points, scale, size, offset, at = number(54, 2), number(56, 2), number(58, 2), 0, 62
+        seek = []
+        for k in range(points if 1 <= size <= 4 and len(frame) >= at + points * size else 0):
+            seek.append(offset)
+            offset += number(at + k * size, size) * scale
+        return "VBRI", number(50), number(46), seek
     return None
 
 
@@ -161,7 +213,7 @@ def _followed(data: bytes, at: int, end: int, texts: dict[str, str]) -> tuple[di
     whole = -1
     offsets, parts, rates = [], [], set()
     samples = bad = resyncs = 0
-    kind, stated, first = "none", None, None
+    kind, stated, size, points, first = "none", None, None, [], None
     while at < end:
         f = frame_of(data[at : at + 4])
         if f is None or at + f[0] > end:
@@ -171,12 +223,13 @@ def _followed(data: bytes, at: int, end: int, texts: dict[str, str]) -> tuple[di
         if first is None:
             first = f
             if layer == 3 and (found := _table(data[at : at + length], side, crc)):
-                kind, stated = found
+                kind, stated, size, points = found
+                points = [at + x for x in points]
                 at = whole = at + length
                 continue
-        if crc and layer == 3:
-            body = data[at + 6 : at + 6 + side]
-            if int.from_bytes(data[at + 4 : at + 6], "big") != crc16(data[at + 2 : at + 4] + body):
+        if crc:
+            bits = protected_bits(data[at : at + (6 if layer == 3 else length)], f)
+            if int.from_bytes(data[at + 4 : at + 6], "big") != crc16_bits(data[at + 2 : at + 4] + data[at + 6 : at + 7 + bits // 8], 16 + bits):
                 bad += 1
                 if (again := _next_sync(data, at, end)) != at:
                     resyncs, at = resyncs + 1, again
@@ -190,7 +243,7 @@ def _followed(data: bytes, at: int, end: int, texts: dict[str, str]) -> tuple[di
     return {
         "payload": b"".join(parts), "n_bytes": int(texts[TAG_KEY]) if texts.get(TAG_KEY, "").isdigit() else None, "frames": len(offsets), "samples": samples,
         "sample_rate": first[2] if first else None, "channels": first[3] if first else None, "version": first[5] if first else None, "layer": first[6] if first else None,
-        "kbps": sorted(rates), "table": kind, "stated_frames": stated, "bad_crc": bad, "resyncs": resyncs, "offsets": offsets, "id3v1": end < len(data),
+        "kbps": sorted(rates), "table": kind, "stated_frames": stated, "stated_bytes": size, "table_points": points, "bad_crc": bad, "resyncs": resyncs, "offsets": offsets, "id3v1": end < len(data),
     }, whole == end
 
 
@@ -214,7 +267,7 @@ def _features(data: bytes | None) -> dict:
     r = read_audio(data)
     payload, rate = r["payload"], r["sample_rate"]
     seek = zlib.crc32(np.array(r["offsets"], dtype="<u8").tobytes())
-    said = f"mpeg{r['version']}-layer{r['layer']};{rate}Hz;channels={r['channels']};kbps={','.join(map(str, r['kbps']))};frames={r['frames']};samples={r['samples']};table={r['table']}:{r['stated_frames']};bad_crc={r['bad_crc']};resyncs={r['resyncs']};seek={seek:08x}"
+    said = f"mpeg{r['version']}-layer{r['layer']};{rate}Hz;channels={r['channels']};kbps={','.join(map(str, r['kbps']))};frames={r['frames']};samples={r['samples']};table={r['table']}:{r['stated_frames']}:{r['stated_bytes']}:{zlib.crc32(np.array(r['table_points'], dtype='<u8').tobytes()):08x};bad_crc={r['bad_crc']};resyncs={r['resyncs']};seek={seek:08x}"
     return {
         "n_bytes": r["n_bytes"], "payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-32:]),
         "media_bytes": len(data), "media_sha256": hashlib.sha256(data).hexdigest(), "frames": r["frames"], "samples": r["samples"], "sample_rate": rate,
