@@ -22,10 +22,10 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines go; n_chars follows where the text has changed."""
-    cleaned = line_dedup.drop_boilerplate(docs)
-    dropped = cleaned["_dropped"]
-    columns = [F.when(dropped > 0, F.length("text").cast("long")).otherwise(cleaned[c]).alias(c) if c == "n_chars" else cleaned[c] for c in docs.columns]
-    return cleaned.select(*columns)
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs["source"], docs["text"])
+    cleaned = line_dedup.drop_boilerplate(rows)
+    new = {"text": F.col("text"), "n_chars": F.when(F.col("_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None}
+    return cleaned.select(*((new[c] if c in new else F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
