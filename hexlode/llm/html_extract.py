@@ -39,7 +39,8 @@ CLOSES = {
     "td": ({"td", "th", "p"}, {"table", "tr"}), "th": ({"td", "th", "p"}, {"table", "tr"}), "tbody": ({"tr", "td", "th", "thead", "tbody", "p"}, {"table"}),
     "tfoot": ({"tr", "td", "th", "thead", "tbody", "p"}, {"table"}), "option": ({"option"}, {"select"}), "body": ({"head"}, set()),
 }
-_TOKEN = re.compile(r"""<!--(?:-?>|.*?(?:-->|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:"[^"]*"|'[^']*'|[^\s"'>][^\s>]*)|[^>])*+)>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
+_MARKUP = re.compile(r"<(?:(!--)|[!?]|(/?)([a-zA-Z][^\s/>]*))")
+_INSIDE = re.compile(r"""=\s*(?:(["'])|[^\s"'>][^\s>]*)|>""")
 _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*)))?""")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
@@ -84,10 +85,61 @@ def _leaf_features(text: str, linked: int) -> tuple[str, ...]:
     )
 
 
+class _Tags:
+    """A page's tags in one forward pass: what earlier searches have found to be missing from a place on is not sought again, so time grows with the page's length alone."""
+
+    def __init__(self, page: str) -> None:
+        self.page = page
+        self.missing = dict.fromkeys("\"'>", len(page))  # a character isn't found from this place on
+        self.dead: set[int] = set()  # places outside of quotes from which no tag ends
+
+    def find(self, c: str, at: int) -> int:
+        if at >= self.missing[c]:
+            return -1
+        if (found := self.page.find(c, at)) < 0:
+            self.missing[c] = at
+        return found
+
+    def end(self, at: int) -> int:
+        """Behind the > that ends the tag whose name ends at at: the first outside of quoted values, or else the first; -1 if there is none."""
+        if (first := self.find(">", at)) < 0:
+            return -1
+        tried, search = [], _INSIDE.search
+        while at not in self.dead and self.find(">", at) >= 0 and (m := search(self.page, at)):
+            if m[0] == ">":
+                return m.end()
+            tried.append(at)
+            close = self.find(m[1], m.end()) if m[1] else -1
+            at = close + 1 if close >= 0 else m.end()
+        self.dead.update(tried)
+        return first + 1
+
+    def __iter__(self) -> Iterator[tuple[int, int, str, bool, str]]:
+        """(start, end, name, whether it is an end tag, attributes); the name is empty for comments and declarations. send() a place to go on from."""
+        at, page = 0, self.page
+        while m := _MARKUP.search(page, at):
+            if m[1]:
+                close = re.compile(r"-?>").match(page, m.end())
+                end = close.end() if close else page.find("-->", m.end()) + 3
+                at = end if end > 2 else len(page)
+                jump = yield m.start(), at, "", False, ""
+            elif m[3] is None:
+                if (end := self.find(">", m.end())) < 0:
+                    return
+                at = end + 1
+                jump = yield m.start(), at, "", False, ""
+            else:
+                if (at := self.end(m.end())) < 0:
+                    return
+                jump = yield m.start(), at, m[3], bool(m[2]), page[m.end() : at - 1]
+            at = jump or at
+
+
 def dom(page: str, cache: dict | None = None) -> list[Node]:
     """The page's nodes, parents before children; the first is the root."""
     cache = {} if cache is None else cache
     nodes, stack = [Node(-1, ("tag:#root",))], [_Open("#root", 0)]
+    standing: Counter[str] = Counter()  # open elements by tag
     runs: list[str] = []
     linked = links = unseen = 0
     at, end = 0, len(page)
@@ -106,7 +158,13 @@ def dom(page: str, cache: dict | None = None) -> list[Node]:
         nonlocal unseen
         flush()
         while len(stack) > n:
-            unseen -= stack.pop().tag in UNSEEN
+            tag = stack.pop().tag
+            standing[tag] -= 1
+            unseen -= tag in UNSEEN
+
+    def push(tag: str, node: int, label: int | None) -> None:
+        stack.append(_Open(tag, node, label))
+        standing[tag] += 1
 
     def words(raw: str) -> None:
         nonlocal linked
@@ -116,70 +174,79 @@ def dom(page: str, cache: dict | None = None) -> list[Node]:
             if links:
                 linked += len(text.strip())
 
-    while at < end:
-        m = _TOKEN.search(page, at)
-        if m is None:
-            rest = page[at:]
-            cut = re.search(r"<[a-zA-Z/!?]", rest)  # a tag that the page's end cuts off is no text
-            words(rest[: cut.start()] if cut else rest)
-            break
-        words(page[at : m.start()])
-        at = m.end()
-        close, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
-        if not tag:
-            continue
-        tag = tag.lower()
+    def one(tag: str, close: bool, attributes: str) -> int | None:
+        """Takes in a tag; the place to go on from, if it isn't the tag's end."""
+        nonlocal at, links, unseen
         if tag in INLINE:
             if tag == "a":
                 links = 0 if close else 1
             elif tag == "br" and not unseen:
                 runs.append(" ")
-            continue
+            return None
         if close:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if standing[tag] else ():
                 if stack[k].tag == tag:
                     if tag in UNSEEN and k == len(stack) - 1:
                         stack.pop()
+                        standing[tag] -= 1
                         unseen -= 1
                     else:
                         pop(k)
                     break
             links = 0 if tag != "p" else links
-            continue
+            return None
         if tag in RAW:
-            stop = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-            at = stop.end() if stop else end
-            continue
+            stop = re.compile(rf"</{tag}\b", re.I).search(page, at)
+            at = page.find(">", stop.end()) + 1 if stop else end
+            at = at or end
+            return at
         if tag in UNSEEN:
-            stack.append(_Open(tag, stack[-1].node, stack[-1].label))
+            push(tag, stack[-1].node, stack[-1].label)
             unseen += 1
-            continue
+            return None
         if tag in CLOSES:
             inside, bound = CLOSES[tag]
-            lowest = None
+            lowest, left = None, sum(standing[t] for t in inside)
             for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in bound:
+                if not left or stack[k].tag in bound:
                     break
                 if stack[k].tag in inside:
-                    lowest = k
+                    lowest, left = k, left - 1
             if lowest is not None:
                 pop(lowest)
         elif stack[-1].tag == "p":
             pop(len(stack) - 1)
         flush()
         if tag in VOID:
-            continue
+            return None
         if (made := cache.get((tag, attributes))) is None:
             if len(cache) > 50_000:
                 cache.clear()
             made = cache[tag, attributes] = _features(tag, attributes)
         found, main = made
         if unseen:
-            stack.append(_Open(tag, stack[-1].node, stack[-1].label))
+            push(tag, stack[-1].node, stack[-1].label)
         else:
             label = int(main) if main is not None else stack[-1].label
             nodes.append(Node(stack[-1].node, found, None, label))
-            stack.append(_Open(tag, len(nodes) - 1, label))
+            push(tag, len(nodes) - 1, label)
+        return None
+
+    tags = iter(_Tags(page))
+    found = next(tags, None)
+    while found:
+        start, stop, tag, close, attributes = found
+        words(page[at:start])
+        at, jump = stop, None
+        if tag:
+            jump = one(tag.lower(), close, attributes)
+        try:
+            found = tags.send(jump)
+        except StopIteration:
+            break
+    rest = page[at:]
+    cut = re.search(r"<[a-zA-Z/!?]", rest)  # a tag that the page's end cuts off is no text
+    words(rest[: cut.start()] if cut else rest)
     pop(0)
     return nodes
 

@@ -30,6 +30,11 @@ OPERATORS = {
     "mixed": lambda d: mixing.mixed_order(d),
     "packing": lambda d: packing.pack(d),
     "media": lambda d: d.select("doc_id", mpeg_audio.probe(mpeg_audio.store("text")).alias("f")),
+    "html": lambda d: html_extract.extract(d.withColumn("html", F.col("text"))),
+    "warc": lambda d: warc.read_archives(warc.write_archives(d.withColumns({"page_id": F.col("doc_id"), "url": F.col("source"), "html": F.col("text")}))),
+    "toxicity": lambda d: toxicity.scores(d, d.selectExpr("doc_id", "doc_id % 2 AS toxic", "'x' AS text", "'x' AS _toxic")),
+    "rejected": lambda d: toxicity.rejected_dropped(d, d.selectExpr("doc_id", "cast(null AS int) AS toxic")),
+    "vectors": lambda d: capfilters.near_duplicates(d.selectExpr("doc_id AS vec_id", "if(doc_id % 3 = 0, null, lang) AS label", "if(doc_id = 4, null, array(float(doc_id % 4), float(length(text)))) AS embedding", "'x' AS node", "'x' AS copies", "'x' AS links", "'x' AS filters", "'x' AS vector")),
 }
 
 
@@ -238,3 +243,33 @@ def test_line_dedup_by_host(spark):
     got = {r["doc_id"]: r for r in line_dedup.drop_boilerplate(df).collect()}
     assert got[0]["text"] == "story 0\n" and got[0]["_dropped"] == 2 and got[100]["text"] == "Menu | Home\nother 0" and got[200]["text"] == "copied page\nwhole"
     assert got[300]["text"] is None and got[301]["text"] == "" and got[301]["_keys"] == 1
+
+
+def test_html_takes_time_in_proportion_to_length():
+    import time
+
+    model, began = html_extract.default_model(), time.perf_counter()
+    n = 60_000
+    for page in ('<a t=" ' * n, '<a t=">' * n, "<!" * n, "<div>" * n + "</x>" * n, "<div>" * n + "<li>" * n, "<p t=\"" + "<p t='>" * n, "<script>" + "</script " * n, '<a t="x" \'' * n):
+        html_extract.main_text(page, model)
+    assert time.perf_counter() - began < 60  # about 3 MB; minutes to hours if any were quadratic
+
+
+def test_html_without_an_article_tag(spark):
+    import re
+
+    model = html_extract.default_model()
+    for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect():
+        wanted = html_extract.main_text(r["html"], model)
+        assert html_extract.main_text(re.sub(r"<(/?)article>", r"<\1div>", r["html"]), model) == wanted
+
+
+def test_packing_has_the_ids_of_tokenizers():
+    """On hostile texts: the rank file's ids against those of the tokenizers file."""
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    whole, encoder = Tokenizer.from_file(path("byte_bpe_50k.json")), packing.Encoder.of(packing.default_path())
+    texts = ["<|endoftext|>", "a<|endoftext|>b <|endoftext|", " " * 5000, "\t\n \r\n" * 300, "a" * 100_000, "e\u0301" * 2000, "\x00\x01\x7f\x80\x9f" * 50, "\u200d\ufeff\u2028\u00a0" * 99, "\U0001f469\u200d\U0001f4bb" * 300, "don't I'LL we'Ve 's", "12345678901234567890" * 50, "\u4e2d\u6587" * 3000, "\u0645\u0631\u062d\u0628\u0627 " * 500, "", " x", "x ", "\ud7ff\ue000\uffff"]
+    for t in texts:
+        assert encoder.ids(t).tolist() == whole.encode(t, add_special_tokens=False).ids
