@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.text import tokens
+from ..shared import settled
 
 K1, B = 1.5, 0.75
 DECIMALS = 6
@@ -25,9 +26,9 @@ class Index:
 
 
 def build(docs: DataFrame, id: str = "node_id", text: str = "text", stem: bool = False, tokenizer: Column | None = None) -> Index:
-    """The index of docs; documents without a token are in none of its tables."""
+    """The index of docs; documents without a token are in none of its tables. Postings are written once, and all else comes from them."""
     found = docs.select(id, F.explode(tokenizer if tokenizer is not None else tokens(F.col(text), stem)).alias("term"))
-    postings = found.groupBy(id, "term").agg(F.count("*").alias("tf"))
+    postings = settled(found.groupBy(id, "term").agg(F.count("*").alias("tf")))
     documents = postings.groupBy(id).agg(F.sum("tf").alias("dl"))
     corpus = documents.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     terms = postings.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(corpus.select("n")))  # the corpus is one row
@@ -38,7 +39,8 @@ def build(docs: DataFrame, id: str = "node_id", text: str = "text", stem: bool =
 def search(index: Index, queries: DataFrame, top_k: int | None = 10, text: str = "text", stem: bool = False, tokenizer: Column | None = None) -> DataFrame:
     """(query_id, id, score, rank) for queries(query_id, text); a token counts as often as the query holds it."""
     wanted = queries.select("query_id", F.explode(tokenizer if tokenizer is not None else tokens(F.col(text), stem)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    hits = wanted.join(index.terms.where("idf > 0"), "term").join(index.postings, "term").join(index.documents, index.id).crossJoin(F.broadcast(index.corpus))
+    known = wanted.join(index.terms.where("idf > 0"), "term")  # query terms alone reach the postings
+    hits = known.join(index.postings, "term").join(index.documents, index.id).crossJoin(F.broadcast(index.corpus))
     term = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scored = hits.groupBy("query_id", index.id).agg(F.round(F.sum(term), DECIMALS).alias("score")).where("score > 0")
     ranked = scored.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), index.id)))

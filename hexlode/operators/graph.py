@@ -1,26 +1,19 @@
 """Graph operators over edges(edge_id, source_id, target_id, type, weight), for batches of starting nodes.
 
-Loops keep a frontier and what was reached; each round is written to the checkpoint folder, so plans stay short and lost
+Loops keep a frontier and what was reached; each round is written to the shared folder, so plans stay short and lost
 executors cost one round at most.
 """
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 from itertools import count
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-BOTH = ("outgoing", "incoming", "both")
-
+from ..shared import settled
 
-def settled(df: DataFrame) -> DataFrame:
-    """df checkpointed in spark.checkpoint.dir, or in a temporary folder where none is set."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="hexlode-graph-"))
-    return df.checkpoint()
+BOTH = ("outgoing", "incoming", "both")
 
 
 def graph_edges(edges: DataFrame, latest: str = "created_at") -> DataFrame:
@@ -134,6 +127,22 @@ def weighted_proximity(edges: DataFrame, candidates: DataFrame, anchors: DataFra
     return joined.select("query_id", "node_id", F.round(F.when(F.col("proximity") == 0, 0.0).otherwise(F.least(F.lit(1.0), F.col("proximity") + F.coalesce("extra", F.lit(0.0)))), 4).alias("proximity"))
 
 
+def kinds(edges: DataFrame) -> DataFrame:
+    """(type, n) after parallel edges are one."""
+    return graph_edges(edges).groupBy("type").agg(F.count("*").alias("n"))
+
+
+def most_connected(nodes: DataFrame, edges: DataFrame, most: int = 10) -> DataFrame:
+    """(node_id, degree) of the most connected nodes(node_id), those without edges included."""
+    return nodes.select("node_id").join(degrees(edges), "node_id", "left").select("node_id", F.coalesce("degree", F.lit(0)).alias("degree")).orderBy(F.desc("degree"), "node_id").limit(most)
+
+
+def average_degree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(avg_degree): edges' ends at nodes by the number of nodes, to three decimals."""
+    known = nodes.select("node_id").join(degrees(edges), "node_id", "left")
+    return known.agg(F.coalesce(F.round(F.try_divide(F.coalesce(F.sum("degree"), F.lit(0)), F.count("*")), 3), F.lit(0.0)).alias("avg_degree"))
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     """(node_id, in_degree, out_degree, degree) of nodes with an edge."""
     ends = edges.select(F.col("source_id").alias("node_id"), F.lit(0).alias("i"), F.lit(1).alias("o")).union(edges.select("target_id", F.lit(1), F.lit(0)))

@@ -1,4 +1,4 @@
-"""Vector search and joins. Similarities are computed in blocks: a row for some hundred vectors, a matrix product for each pair of blocks."""
+"""Vector search and joins. Similarities are computed as matrix products, a task for each pair of groups of vectors."""
 
 from __future__ import annotations
 
@@ -11,70 +11,101 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..functions.text import strip
 from ..functions.vectors import cosine, normalized
 
-#: Vectors of a block.
-BLOCK = 512
+#: Vectors of each side that meet in one task, at most, and bytes of theirs.
+GROUP, GROUP_BYTES = 4096, 64 << 20
 #: Decimals that similarities are rounded to before they are ranked, so that sums in another order rank alike.
 DECIMALS = 6
+#: Left vectors that are multiplied at once.
+TILE = 512
 
 
-def _blocks(vectors: DataFrame, id: str, vector: str, group: str | None, side: str) -> DataFrame:
-    """A row for each block: its ids, its groups' names and its vectors."""
-    group_column = F.col(group).cast("string") if group else F.lit(None).cast("string")
-    rows = vectors.where(F.col(vector).isNotNull()).select(F.col(id).alias("id"), group_column.alias("g"), F.col(vector).cast("array<double>").alias("v"))
-    n = max(1, -(-rows.count() // BLOCK))
-    packed = rows.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).alias("_block")).agg(F.sort_array(F.collect_list(F.struct("id", "g", "v"))).alias("x"))
-    return packed.select(F.col("x.id").alias(f"{side}_ids"), F.col("x.g").alias(f"{side}_groups"), F.col("x.v").alias(f"{side}_vectors"))
-
-
-def _matrix(column: pa.ListScalar) -> np.ndarray:
-    inner = column.values
-    m = inner.flatten().to_numpy(zero_copy_only=False).reshape(len(inner), -1)
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    x = column.combine_chunks()
+    m = x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1) if len(x) else np.empty((0, 1))
     lengths = np.linalg.norm(m, axis=1)
     return m / np.where(lengths > 0, lengths, 1)[:, None]
 
 
+def _best(rows: np.ndarray, columns: np.ndarray, scores: np.ndarray, ids: np.ndarray, keys: np.ndarray | None, k: int) -> np.ndarray:
+    """Places of the k best columns of each row, by score and id; of columns with one key the best alone."""
+    order = np.lexsort((ids[columns], -scores, rows))
+    if keys is not None:
+        at = order[np.lexsort((np.arange(len(order)), keys[columns[order]], rows[order]))]
+        new = np.ones(len(at), dtype=bool)
+        new[1:] = (rows[at][1:] != rows[at][:-1]) | (keys[columns[at]][1:] != keys[columns[at]][:-1])
+        wanted = np.zeros(len(order), dtype=bool)
+        wanted[at[new]] = True
+        order = order[wanted[order]]
+    r = rows[order]
+    return order[np.arange(len(r)) - np.searchsorted(r, r, side="left") < k]
+
+
 def similar(
     left: DataFrame, right: DataFrame, k: int | None, left_id: str, right_id: str, vector: str = "embedding", min_score: float | None = None, strict: bool = False,
-    exclude_self: bool = False, half: bool = False, left_group: str | None = None, right_group: str | None = None, same_group: bool | None = None,
+    exclude_self: bool = False, half: bool = False, left_group: str | None = None, right_group: str | None = None, same_group: bool | None = None, distinct: str | None = None, best_pairs: int | None = None,
 ) -> DataFrame:
     """(left_id, right_id, score, rank): the k most similar rows of right for each row of left, by cosine, ties by id; all with k None.
 
-    min_score is kept from (strict: above). half keeps each unordered pair once; same_group keeps pairs of one group (False: of two).
-    Each pair of blocks keeps its own best k, so what is shuffled is k rows for each left row and block.
+    min_score is kept from (strict: above). half keeps each unordered pair once; same_group keeps pairs of one group (False: of two). With distinct, of right rows
+    with one value of that column the best counts alone. best_pairs keeps that many pairs of each left group, ranked within it.
+
+    Both sides are dealt into groups by hash, and each pair of groups meets in one task, so that a vector is sent once for each group of the other side;
+    a task keeps its own best k of each left row (its best pairs), so what is ranked in the end is bounded by them and not by all pairs.
     """
-    a, b = _blocks(left, left_id, vector, left_group, "a"), _blocks(right, right_id, vector, right_group, "b")
     kinds = dict(left.dtypes)[left_id], dict(right.dtypes)[right_id]
+    names = left_id if left_id != right_id else f"source_{left_id}", right_id if left_id != right_id else f"target_{right_id}"
     least = -np.inf if min_score is None else min_score
 
-    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in range(len(batch)):
-                ids_a, ids_b = batch.column("a_ids")[r].as_py(), batch.column("b_ids")[r].as_py()
-                s = np.round(_matrix(batch.column("a_vectors")[r]) @ _matrix(batch.column("b_vectors")[r]).T, DECIMALS)
-                keep = s > least if strict else s >= least
-                names = np.array(ids_a)[:, None], np.array(ids_b)[None, :]
-                if exclude_self:
-                    keep &= names[0] != names[1]
-                if half:
-                    keep &= names[0] < names[1]
-                if same_group is not None:
-                    equal = np.array(batch.column("a_groups")[r].as_py(), dtype=object)[:, None] == np.array(batch.column("b_groups")[r].as_py(), dtype=object)[None, :]
-                    keep &= equal if same_group else ~equal
-                rows, columns = np.nonzero(keep)
-                scores = s[rows, columns]
-                if k is not None and len(rows):
-                    order = np.lexsort((names[1][0][columns], -scores, rows))
-                    rows, columns, scores = rows[order], columns[order], scores[order]
-                    first = np.searchsorted(rows, rows, side="left")
-                    best = np.arange(len(rows)) - first < k
-                    rows, columns, scores = rows[best], columns[best], scores[best]
-                yield pa.RecordBatch.from_pydict({"l": [ids_a[i] for i in rows], "r": [ids_b[i] for i in columns], "score": scores})
-
-    pairs = a.crossJoin(b).repartition(F.xxhash64("a_ids", "b_ids")).mapInArrow(compared, f"l {kinds[0]}, r {kinds[1]}, score double")
-    pairs = pairs.withColumnsRenamed({"l": left_id if left_id != right_id else f"source_{left_id}", "r": right_id if left_id != right_id else f"target_{right_id}"})
-    names = pairs.columns
-    ranked = pairs.withColumn("rank", F.row_number().over(W.partitionBy(names[0]).orderBy(F.desc("score"), names[1])))
-    return ranked.where(F.col("rank") <= k) if k is not None else ranked
+    def side(df: DataFrame, id: str, group: str | None, key: str | None) -> tuple[DataFrame, int]:
+        columns = [F.col(id).alias("id"), (F.col(group).cast("string") if group else F.lit(None).cast("string")).alias("g"), F.col(vector).cast("array<double>").alias("v")]
+        rows = df.where(F.col(vector).isNotNull()).select(*columns, (F.xxhash64(key) if key else F.lit(0).cast("long")).alias("t"))
+        n, size = rows.agg(F.count("*"), F.max(F.size("v"))).first()
+        return rows, max(1, -(-n // max(1, min(GROUP, GROUP_BYTES // (8 * max(1, size or 1))))))
+
+    (a, na), (b, nb) = side(left, left_id, left_group, None), side(right, right_id, right_group, distinct)
+    own = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    label = [F.col("g").alias("of") if same_group else F.lit(None).cast("string").alias("of")]  # groups that can't pair don't meet
+    a, b = a.select("*", *label, own(na).alias("one"), every(nb).alias("two")), b.select("*", *label, own(nb).alias("two"), every(na).alias("one"))
+
+    def compared(x: pa.Table, y: pa.Table) -> pa.Table:
+        ids_a, ids_b = x.column("id").to_numpy(zero_copy_only=False), y.column("id").to_numpy(zero_copy_only=False)
+        groups = [np.array(t.column("g").to_pylist(), dtype=object) for t in (x, y)]
+        ma, mb, keys = _matrix(x.column("v")), _matrix(y.column("v")), y.column("t").to_numpy() if distinct else None
+        found: list[tuple] = []
+        for at in range(0, len(ma) if len(mb) else 0, TILE):
+            s = np.round(ma[at : at + TILE] @ mb.T, DECIMALS)
+            keep = s > least if strict else s >= least
+            if exclude_self:
+                keep &= ids_a[at : at + TILE, None] != ids_b[None, :]
+            if half:
+                keep &= ids_a[at : at + TILE, None] < ids_b[None, :]
+            if same_group is not None:
+                equal = groups[0][at : at + TILE, None] == groups[1][None, :]
+                keep &= equal if same_group else ~equal
+            rows, columns = np.nonzero(keep)
+            scores = s[rows, columns]
+            if k is not None and len(rows):
+                some = _best(rows, columns, scores, ids_b, keys, k)
+                rows, columns, scores = rows[some], columns[some], scores[some]
+            found.append((rows + at, columns, scores))
+        rows, columns, scores = (np.concatenate(z) for z in zip(*found, strict=True)) if found else (np.empty(0, dtype=int),) * 3
+        if best_pairs is not None and len(rows):
+            _, names_of = np.unique([g or "" for g in groups[0]], return_inverse=True)
+            order = np.lexsort((ids_b[columns], ids_a[rows], -scores, names_of[rows]))
+            g = names_of[rows][order]
+            some = order[np.arange(len(g)) - np.searchsorted(g, g, side="left") < best_pairs]
+            rows, columns, scores = rows[some], columns[some], scores[some]
+        out = [x.column("id").take(pa.array(rows)), y.column("id").take(pa.array(columns)), pa.array(scores, pa.float64()), x.column("g").take(pa.array(rows))]
+        return pa.table(out, names=[*names, "score", "_group"])
+
+    keys = ["of", "one", "two"]
+    pairs = a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInArrow(lambda x, y: compared(x, y), f"`{names[0]}` {kinds[0]}, `{names[1]}` {kinds[1]}, score double, _group string")
+    if best_pairs is not None:
+        ranked = pairs.withColumn("rank", F.row_number().over(W.partitionBy("_group").orderBy(F.desc("score"), *names)))
+        return ranked.where(F.col("rank") <= best_pairs).withColumnRenamed("_group", "group")
+    ranked = pairs.drop("_group").withColumn("rank", F.row_number().over(W.partitionBy(names[0]).orderBy(F.desc("score"), names[1])))
+    return ranked.where(F.col("rank") <= k) if k is not None and distinct is None else ranked
 
 
 def vector_search(
@@ -83,12 +114,13 @@ def vector_search(
     """(query_id, id, score, rank) for queries(query_id, embedding) over vectors(id, embedding, ...).
 
     Filters come before the ranking. With text, rows whose stripped text equals that of a better row go first, by keeping of each text the
-    row with the smallest id: equal texts may differ in their vectors, so all rows are scored and the best of each text is kept.
+    row with the smallest id: equal texts may differ in their vectors, so all rows are scored and each task keeps the best of its top_k texts.
     """
     rows = vectors.where(where) if where is not None else vectors
     if text is None:
         return similar(queries, rows, top_k, "query_id", id, min_score=min_score).select("query_id", id, "score", "rank")
-    found = similar(queries, rows, None, "query_id", id, min_score=min_score).join(rows.select(F.col(id), strip(F.col(text)).alias("_text")), id)
+    rows = rows.withColumn("_text", strip(F.col(text)))
+    found = similar(queries, rows, top_k, "query_id", id, min_score=min_score, distinct="_text").join(rows.select(id, "_text"), id)
     best = F.row_number().over(W.partitionBy("query_id", "_text").orderBy(F.desc("score"), id))
     found = found.withColumn("_best", best).where("_best = 1").drop("rank")
     return found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), id))).where(F.col("rank") <= top_k).select("query_id", id, "score", "rank")
@@ -97,9 +129,10 @@ def vector_search(
 def neighbourhood_average(vectors: DataFrame, k: int = 5, alpha: float = 0.7, id: str = "node_id") -> DataFrame:
     """(id, embedding, raw_embedding): each vector blended with the mean of its k nearest others, and normalised."""
     near = similar(vectors, vectors, k, id, id, exclude_self=True).select(F.col(f"source_{id}").alias(id), F.col(f"target_{id}").alias("_other"))
-    parts = near.join(vectors.select(F.col(id).alias("_other"), F.posexplode("embedding").alias("_at", "_x")), "_other")
-    means = parts.groupBy(id, "_at").agg(F.avg(F.col("_x").cast("double")).alias("_m"))
-    mean = means.groupBy(id).agg(F.transform(F.sort_array(F.collect_list(F.struct("_at", "_m"))), lambda x: x["_m"]).alias("_mean"))
+    # k vectors for each row at most, averaged by place.
+    held = near.join(vectors.select(F.col(id).alias("_other"), F.col("embedding").cast("array<double>").alias("_x")), "_other").groupBy(id).agg(F.collect_list("_x").alias("_all"))
+    total = F.aggregate(F.slice("_all", 2, k), F.get("_all", F.lit(0)), lambda s, x: F.zip_with(s, x, lambda p, q: p + q))
+    mean = held.select(id, F.transform(total, lambda x: x / F.size("_all")).alias("_mean"))
     blended = F.when(F.col("_mean").isNull(), normalized(F.col("embedding"))).otherwise(normalized(F.zip_with("embedding", "_mean", lambda x, m: alpha * x.cast("double") + (1 - alpha) * m)))
     return vectors.join(mean, id, "left").select(id, blended.alias("embedding"), F.col("embedding").alias("raw_embedding"))
 
@@ -110,10 +143,12 @@ def drift(averaged: DataFrame) -> DataFrame:
     return d.agg(F.round(F.avg("d"), 6).alias("mean_drift"), F.min("d").alias("min_drift"), F.max("d").alias("max_drift"), F.count(F.when(F.col("d") > 0.01, 1)).alias("n_moved"))
 
 
-def auto_edges(vectors: DataFrame, threshold: float = 0.7, most: int = 5, id: str = "node_id", allowed: tuple[str, ...] = ("derived_from", "analogous_to"), parent: str | None = None) -> DataFrame:
-    """Edges from each row to its most similar others; chunks of a row are never its targets."""
+def auto_edges(
+    vectors: DataFrame, threshold: float = 0.7, most: int = 5, id: str = "node_id", allowed: tuple[str, ...] = ("derived_from", "analogous_to"), parent: str | None = None, sources: DataFrame | None = None
+) -> DataFrame:
+    """Edges from each row (of sources, if given) to its most similar others; chunks of a row are never its targets."""
     pool = max(most + 6, 10)
-    near = similar(vectors, vectors, pool, id, id, min_score=threshold, exclude_self=True)
+    near = similar(vectors if sources is None else sources, vectors, pool, id, id, min_score=threshold, exclude_self=True)
     source, target = f"source_{id}", f"target_{id}"
     if parent is not None:
         own = vectors.where(F.col(parent).isNotNull()).select(F.col(parent).alias(source), F.col(id).alias(target))

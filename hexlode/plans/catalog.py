@@ -138,10 +138,9 @@ def pairwise_cosine_by_label(read: Read) -> DataFrame:
 @query(f"WITH {UNIT}, s AS (SELECT a.label, a.node_id AS source_id, b.node_id AS target_id, {COS} AS score FROM u a, u b WHERE a.label = b.label AND a.node_id < b.node_id), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, source_id, target_id) AS rank FROM s WHERE score >= 0.2) SELECT * FROM r WHERE rank <= 5")
 def label_top_pairs(read: Read) -> DataFrame:
     v = vectors_of(read)
-    found = vector.similar(v, v, None, "node_id", "node_id", min_score=0.2, half=True, left_group="label", right_group="label", same_group=True).drop("rank")
-    found = found.withColumnsRenamed({"source_node_id": "source_id", "target_node_id": "target_id"}).join(v.select(F.col("node_id").alias("source_id"), "label"), "source_id")
-    place = F.row_number().over(W.partitionBy("label").orderBy(F.desc("score"), "source_id", "target_id"))
-    return found.withColumn("rank", place).where("rank <= 5").select("label", "source_id", "target_id", "score", "rank")
+    found = vector.similar(v, v, None, "node_id", "node_id", min_score=0.2, half=True, left_group="label", right_group="label", same_group=True, best_pairs=5)
+    kind = v.schema["label"].dataType
+    return found.select(F.col("group").cast(kind).alias("label"), F.col("source_node_id").alias("source_id"), F.col("target_node_id").alias("target_id"), "score", "rank")
 
 
 # Texts
