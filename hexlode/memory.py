@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from .functions.filters import exact_filter, metadata_filter
 from .functions.vectors import mock_embed
@@ -32,6 +32,14 @@ def tool_schemas() -> list[dict]:
     return [{"name": name, "parameters": made(fields)} for name, fields in TOOLS.items()]
 
 
+def with_key(metadata: Column, key: str, value: Column) -> Column:
+    """metadata, a JSON object's text, with key set to a string; other values keep their types. What is no object is kept as "value"."""
+    parsed = F.try_parse_json(metadata)
+    plain = F.when(parsed.isNotNull(), F.create_map(F.lit("value"), parsed)).when(metadata.isNotNull(), F.create_map(F.lit("value"), metadata.cast("variant")))
+    held = F.coalesce(parsed.try_cast("map<string,variant>"), plain, F.create_map().cast("map<string,variant>"))
+    return F.to_json(F.map_concat(F.map_filter(held, lambda k, _: k != key), F.create_map(F.lit(key), value.cast("variant"))))
+
+
 class Memory:
     """Nodes and edges of a store; each change makes new tables, and save() publishes them as the next version."""
 
@@ -53,7 +61,7 @@ class Memory:
         now = F.localtimestamp()
         metadata = F.coalesce(F.col("metadata"), F.lit("{}")) if "metadata" in rows.columns else F.lit("{}")
         if "session_id" in rows.columns:
-            metadata = F.when(F.col("session_id").isNotNull(), F.to_json(F.map_concat(F.from_json(metadata, "map<string,string>"), F.create_map(F.lit(SESSION), F.col("session_id").cast("string"))))).otherwise(metadata)
+            metadata = F.when(F.col("session_id").isNotNull(), with_key(metadata, SESSION, F.col("session_id").cast("string"))).otherwise(metadata)
         rows = rows.withColumn("metadata", metadata)
         made = F.sha2(F.concat_ws("\x1f", "text", "metadata"), 256)
         columns = {
@@ -145,7 +153,7 @@ class Memory:
 
     def create_session(self, session_id: str, name: str, metadata: str = "{}") -> DataFrame:
         row = self.spark.createDataFrame([(name, session_id, metadata)], "text string, session_id string, metadata string")
-        return self.store(row.withColumn("metadata", F.to_json(F.map_concat(F.from_json("metadata", "map<string,string>"), F.create_map(F.lit(KIND), F.lit("session_root"))))), chunks=False)
+        return self.store(row.withColumn("metadata", with_key(F.col("metadata"), KIND, F.lit("session_root"))), chunks=False)
 
     def _in_sessions(self) -> DataFrame:
         return ingest.active(self.nodes).withColumn("session_id", F.try_variant_get(F.try_parse_json("metadata"), f"$.{SESSION}", "string")).where("session_id IS NOT NULL")

@@ -1,3 +1,5 @@
+import json
+
 import pytest
 
 from hexlode.memory import Memory, tool_schemas
@@ -49,3 +51,17 @@ def test_auto_edges(spark, memory):
     memory.store_with_auto_edges(spark.createDataFrame([("d", "Dogs bark at cats.")], "node_id string, text string"), threshold=0.99)
     kinds = {(r["source_id"], r["target_id"]) for r in memory.edges.where("type = 'derived_from'").collect()}
     assert ("d", "b") in kinds and ("d", "d_0") not in kinds
+
+
+def test_session_metadata_keeps_types(spark):
+    from pyspark.sql import functions as F
+
+    from hexlode.functions.filters import metadata_filter
+    from hexlode.memory import SESSION, with_key
+
+    rows = [(1, '{"year": 2020, "tags": ["a", "b"], "deep": {"x": null}}'), (2, '{"year": 2018, "sessionId": "old"}'), (3, "[1, 2]"), (4, "no json"), (5, None), (6, "{}")]
+    made = spark.createDataFrame(rows, "i int, metadata string").withColumn("metadata", with_key(F.col("metadata"), SESSION, F.lit("s1")))
+    got = {r["i"]: json.loads(r["metadata"]) for r in made.collect()}
+    assert got[1] == {"year": 2020, "tags": ["a", "b"], "deep": {"x": None}, "sessionId": "s1"} and got[2] == {"year": 2018, "sessionId": "s1"}
+    assert got[3] == {"value": [1, 2], "sessionId": "s1"} and got[4] == {"value": "no json", "sessionId": "s1"} and got[5] == got[6] == {"sessionId": "s1"}
+    assert [r["i"] for r in made.where(metadata_filter({"year": {"$gte": 2019}})).collect()] == [1]
