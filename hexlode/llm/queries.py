@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import capfilters, html_extract, license_scan, line_dedup, mixing, mpeg_audio, ngram_join, packing, toxicity, warc
+from . import capfilters, hamerly, html_extract, license_scan, line_dedup, mixing, mpeg_audio, ngram_join, packing, quality_rules, spelling, toxicity, warc
 from .common import fresh_dir, table
 
 
@@ -54,9 +54,22 @@ def op10_capfilters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capfilters.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_rules.judged(docs, quality_rules.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op13_hamerly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamerly.compress(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_extract, op2_mixing, op3_warc, op4_ngram_join, op5_license_scan, op6_toxicity, op7_line_dedup, op8_mpeg_audio, op9_packing, op10_capfilters)}
+    return {f.__name__: f for f in (op1_html_extract, op2_mixing, op3_warc, op4_ngram_join, op5_license_scan, op6_toxicity, op7_line_dedup, op8_mpeg_audio, op9_packing, op10_capfilters, op11_spelling, op12_quality_rules, op13_hamerly)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": warc.ORACLE_SQL, "op7_line_dedup": line_dedup.oracle_sql()}
+    return {"op3_warc": warc.ORACLE_SQL, "op7_line_dedup": line_dedup.oracle_sql(), "op11_spelling": spelling.ORACLE_SQL, "op13_hamerly": hamerly.ORACLE_SQL}
