@@ -10,7 +10,7 @@ each task and added by Spark, so that the driver sees the codebooks alone: 16 pa
 Rows whose vector is null, or holds null or non-finite components, are dropped. The vectors' length is that of the smallest vec_id whose
 length is a positive multiple of 16; rows of other lengths stay, with a null code and error. Null ids come last, repeated ids are ordered by
 components, and each repeated row may start an entry of its own; with fewer than 64 vectors there are fewer entries. Components beyond a
-long count as the largest long, and errors beyond one are null. Null labels belong together. Only vec_id, label and
+long count as the largest long, and errors beyond one are null, and left out of their label's sum. Null labels belong together. Only vec_id, label and
 the vector are read, so extra columns never clash. An empty table gives no rows.
 """
 

@@ -17,6 +17,7 @@ extra columns never clash. An empty table gives no rows.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -51,30 +52,33 @@ def _without(text: Column, characters: str) -> Column:
     return F.length(F.translate(text, characters, ""))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, also where Spark copies the expression into a filter."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _repeated(words: Column) -> Column:
+    """How many words stand in windows of three that are found twice or more."""
+    counted = lambda places: F.aggregate(F.transform(places, lambda p, i: F.least(F.lit(3), F.coalesce(F.get(places, i + 1) - p, F.lit(3)))), F.lit(0), lambda a, x: a + x)
+    same = lambda rows, i, x: F.coalesce(F.get(rows, i)["h"] == x["h"], F.lit(False))
+    places = lambda rows: F.sort_array(F.transform(F.filter(rows, lambda x, i: same(rows, i - 1, x) | same(rows, i + 1, x)), lambda x: x["i"]))
+    paired = lambda h: F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+    # only texts with a window found twice are sorted
+    found = lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), _let(paired(h), lambda rows: _let(places(rows), counted))).otherwise(F.lit(0))
+    windows = lambda w: F.transform(F.slice(w, F.lit(1), F.size(w) - 2), lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)))
+    return _let(words, lambda w: F.when(F.size(w) > 3, _let(windows(w), found)).otherwise(F.lit(0)))
+
+
 def measured(docs: DataFrame, text: str, *keep: Column) -> DataFrame:
     """keep, and the counts of each text that statistics are made of, in columns of these names; keep's must differ."""
     whole = F.coalesce(docs[text], F.lit(""))
-    found = docs.select(*keep, whole.alias("_text"), F.regexp_extract_all(whole, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)).alias("_words"))
-    lines = F.filter(F.split("_text", "\n"), lambda x: F.btrim(x, F.lit(_SPACE)) != "")
-    windows = F.when(
-        F.size("_words") > 3,
-        F.transform(F.slice("_words", 1, F.size("_words") - 2), lambda x, i: F.xxhash64(x, F.get("_words", i + 1), F.get("_words", i + 2))),
-    ).otherwise(F.array().cast("array<bigint>"))
-    names = [c for c in found.columns if c[0] != "_"]
-    found = found.select(*names, "_text", "_words", lines.alias("_lines"), windows.alias("_windows"))
-    # only texts with a window found twice are sorted
-    twice = F.when(F.size(F.array_distinct("_windows")) < F.size("_windows"), F.sort_array(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).otherwise(F.array().cast("array<struct<h:bigint,i:int>>"))
+    found = docs.select(*keep, whole.alias("_text"), F.regexp_extract_all(whole, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)).alias("_words"), F.filter(F.split(whole, "\n"), lambda x: F.btrim(x, F.lit(_SPACE)) != "").alias("_lines"))
     text_length = F.length("_text")
-    found = found.select(
-        *names, twice.alias("_twice"), F.size("_words").cast("long").alias("n_words"), _without(F.col("_text"), _SPACE).cast("long").alias("word_chars"), (text_length - _without(F.col("_text"), "#*$%&|<>")).cast("long").alias("n_symbols"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"), F.size("_lines").alias("n_lines"), F.size(F.array_distinct("_words")).alias("n_distinct"),
+    return found.select(
+        *(c for c in found.columns if c not in ("_text", "_words", "_lines")), F.size("_words").cast("long").alias("n_words"), _without(F.col("_text"), _SPACE).cast("long").alias("word_chars"), (text_length - _without(F.col("_text"), "#*$%&|<>")).cast("long").alias("n_symbols"),
+        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"), _repeated(F.col("_words")).cast("long").alias("n_repeat_words"), F.size("_lines").alias("n_lines"), F.size(F.array_distinct("_words")).alias("n_distinct"),
         (text_length - _without(F.col("_text"), "0123456789")).alias("n_digits"), (text_length - _without(F.col("_text"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ")).alias("n_capitals"),
     )
-    same = lambda i, x: F.coalesce(F.get("_twice", i)["h"] == x["h"], F.lit(False))
-    places = F.sort_array(F.transform(F.filter("_twice", lambda x, i: same(i - 1, x) | same(i + 1, x)), lambda x: x["i"]))
-    found = found.withColumn("_places", places).drop("_twice")
-    covered = F.aggregate(F.transform("_places", lambda p, i: F.least(F.lit(3), F.coalesce(F.get("_places", i + 1) - p, F.lit(3)))), F.lit(0), lambda a, x: a + x)
-    return found.withColumn("n_repeat_words", covered.cast("long")).drop("_places")
 
 
 def base_failed() -> Column:
@@ -111,7 +115,7 @@ def _labelled(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label:
     known = labels.where(labels[label].isNotNull() & labels["doc_id"].isNotNull()).groupBy(labels["doc_id"].cast("long").alias("id")).agg((F.avg(labels[label]) < 0.5).cast("int").alias("bad"))
     known = known.orderBy(F.xxhash64("id"), "id").limit(max_rows)
     texts = docs.select(docs[doc_id].alias("_id"), docs[text].alias("text")).join(F.broadcast(known), F.col("_id") == F.col("id")).select("id", "bad", "text")  # max_rows bounds what is broadcast
-    # written first: Spark would push the condition below the counts, and count anew for each word
+    # written first: Spark would push the condition below the counts, and count twice
     found = cut(measured(texts, "text", F.col("id"), F.col("bad"))).where(~base_failed())
     one = found.groupBy("id", "bad").agg(F.max(F.struct(*(F.expr(e).cast("double").alias(s) for s, e in STATISTICS.items()))).alias("s"))
     return one.select("bad", (F.pmod(F.xxhash64("id", F.lit("prune")), F.lit(3)) == 0).alias("prune"), "s.*")
