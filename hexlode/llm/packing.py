@@ -40,11 +40,15 @@ _ARROW = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_
 
 
 class Encoder:
-    """Ids of byte_bpe_50k: the rank file holds the vocabulary of the tokenizers file, and gives the same ids several times as fast."""
+    """Ids of byte_bpe_50k: the rank file holds the vocabulary of the tokenizers file, and gives the same ids several times as fast.
+
+    Its pattern gives up on white space of some 800,000 characters in a row; such a text goes through the tokenizers file, which lies beside it.
+    """
 
     _made: dict[str, "Encoder"] = {}
 
     def __init__(self, path: str) -> None:
+        self.slower, self.path = None, path
         import tiktoken
         from public_tokenizers import PATTERN
 
@@ -62,7 +66,14 @@ class Encoder:
         return cls._made[path]
 
     def ids(self, text: str) -> np.ndarray:
-        return self.bpe.encode_to_numpy(text, allowed_special="all")
+        try:
+            return self.bpe.encode_to_numpy(text, allowed_special="all")
+        except ValueError:
+            if self.slower is None:
+                from tokenizers import Tokenizer
+
+                self.slower = Tokenizer.from_file(self.path.removesuffix(".tiktoken") + ".json")
+            return np.array(self.slower.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
 
 def default_path() -> str:
@@ -211,7 +222,8 @@ def numbered(docs: DataFrame) -> bool:
 
 
 def pack_files(docs: DataFrame, path: str | None = None, size: int = SEQUENCE) -> DataFrame:
-    """pack() of numbered() files, in their order: sequence_id is the file's number (20 bits), the MB at which its part begins (13 bits) and a count (30 bits)."""
-    number = F.regexp_extract(F.input_file_name(), _PART, 1).cast("long")
-    first = F.shiftleft(number, 43) + F.shiftleft(F.shiftright(F.input_file_block_start(), 20), 30)
+    """pack() of numbered() files, in their order: sequence_id is the file's number (20 bits), the place where its part begins in units of 4 KiB (21 bits) and a count (22 bits); larger files raise an error."""
+    number, start = F.regexp_extract(F.input_file_name(), _PART, 1).cast("long"), F.input_file_block_start()
+    fits = (number < 1 << 20) & (start < 1 << 33)
+    first = F.when(fits, F.shiftleft(number, 43) + F.shiftleft(F.shiftright(start, 12), 22)).otherwise(F.raise_error("a file of over 8 GB, or a number of over 20 bits").cast("long"))
     return docs.select(*_columns(docs), first.alias("first")).mapInArrow(_run(path or default_path(), size), SCHEMA)

@@ -273,3 +273,38 @@ def test_packing_has_the_ids_of_tokenizers():
     texts = ["<|endoftext|>", "a<|endoftext|>b <|endoftext|", " " * 5000, "\t\n \r\n" * 300, "a" * 100_000, "e\u0301" * 2000, "\x00\x01\x7f\x80\x9f" * 50, "\u200d\ufeff\u2028\u00a0" * 99, "\U0001f469\u200d\U0001f4bb" * 300, "don't I'LL we'Ve 's", "12345678901234567890" * 50, "\u4e2d\u6587" * 3000, "\u0645\u0631\u062d\u0628\u0627 " * 500, "", " x", "x ", "\ud7ff\ue000\uffff"]
     for t in texts:
         assert encoder.ids(t).tolist() == whole.encode(t, add_special_tokens=False).ids
+
+
+def test_packing_of_texts_that_are_one_run(spark):
+    """A million characters of one kind have the ids that the tokenizers file gives."""
+    import zlib
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = [" " * 1_000_000 + "a", "\n" * 1_000_000, "a" * 1_000_000, "e\u0301" * 200_000, "\t \u3000" * 400_000 + "<|endoftext|>"]
+    got = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).toPandas()
+    for i, text in enumerate(texts):
+        ids = np.array([*t.encode(text, add_special_tokens=False).ids, 1], dtype="<u4")
+        pieces = got[got.doc_id == i].sort_values("start")
+        assert pieces.length.sum() == len(ids) == pieces.doc_tokens.iloc[0]
+        assert all(p.ids_crc32 == zlib.crc32(ids[p.start : p.start + p.length].tobytes()) for p in pieces.itertuples())
+
+
+def test_packing_of_many_small_parts(spark, tmp_path):
+    """Parts of files that are smaller than a megabyte have sequences of their own."""
+    rng = np.random.default_rng(8)
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(["one", "two", "three", "four"], 300)) + str(rng.random())) for i in range(3000)], "doc_id long, text string")
+    docs.repartition(2).write.option("parquet.block.size", 65536).parquet(str(tmp_path / "d"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "128k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "4k")
+    try:
+        read = spark.read.parquet(str(tmp_path / "d"))
+        assert read.rdd.getNumPartitions() > 2 and packing.numbered(read)
+        got = packing.pack_files(read).toPandas()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got.doc_id.nunique() == 3000 and got.groupby("sequence_id").length.sum().max() <= 2048
+    assert not got.duplicated(["sequence_id", "offset"]).any()
