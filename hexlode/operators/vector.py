@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..functions.text import strip
 from ..functions.vectors import cosine, normalized
 
-#: Vectors of each side that meet in one task, at most, and bytes of theirs.
-GROUP, GROUP_BYTES = 4096, 64 << 20
+#: Vectors of each side that meet in one task, at most and (to keep all tasks busy) at least, and bytes of theirs.
+GROUP, LEAST_GROUP, GROUP_BYTES = 4096, 256, 64 << 20
 #: Decimals that similarities are rounded to before they are ranked, so that sums in another order rank alike.
 DECIMALS = 6
 #: Left vectors that are multiplied at once.
@@ -20,8 +20,9 @@ TILE = 512
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """Unit vectors, as doubles; all of one length."""
     x = column.combine_chunks()
-    m = x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1) if len(x) else np.empty((0, 1))
+    m = x.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(x), -1) if len(x) else np.empty((0, 1))
     lengths = np.linalg.norm(m, axis=1)
     return m / np.where(lengths > 0, lengths, 1)[:, None]
 
@@ -40,6 +41,71 @@ def _best(rows: np.ndarray, columns: np.ndarray, scores: np.ndarray, ids: np.nda
     return order[np.arange(len(r)) - np.searchsorted(r, r, side="left") < k]
 
 
+def _likely(s: np.ndarray, keep: np.ndarray, k: int) -> np.ndarray:
+    """keep without scores below the k-th best of their row: what is left has the k best and their ties."""
+    if s.shape[1] <= 4 * k:
+        return keep
+    masked = np.where(keep, s, -np.inf)
+    bar = -np.partition(-masked, k - 1, axis=1)[:, k - 1]
+    return keep & (s >= bar[:, None])
+
+
+@dataclass(frozen=True)
+class Meeting:
+    """What is kept of the pairs of two groups; see similar()."""
+
+    k: int | None = None
+    min_score: float | None = None
+    strict: bool = False
+    exclude_self: bool = False
+    half: bool = False
+    same_group: bool | None = None
+    distinct: bool = False
+    best_pairs: int | None = None
+
+    def pairs(self, a: DataFrame, b: DataFrame, keys: list[str], names: tuple[str, str], kinds: tuple[str, str]) -> DataFrame:
+        """(names..., score, _group) of the rows (id, g, v, t) of a and b that have the same keys; v of one key are of one length."""
+        least = -np.inf if self.min_score is None else self.min_score
+
+        def compared(x: pa.Table, y: pa.Table) -> pa.Table:
+            ids_a, ids_b = x.column("id").to_numpy(zero_copy_only=False), y.column("id").to_numpy(zero_copy_only=False)
+            groups = [np.array(t.column("g").to_pylist(), dtype=object) for t in (x, y)]
+            ma, mb, same_text = _matrix(x.column("v")), _matrix(y.column("v")), y.column("t").to_numpy() if self.distinct else None
+            found: list[tuple] = []
+            for at in range(0, len(ma) if len(mb) else 0, TILE):
+                s = np.round(ma[at : at + TILE] @ mb.T, DECIMALS)
+                keep = s > least if self.strict else s >= least
+                if self.exclude_self:
+                    keep &= ids_a[at : at + TILE, None] != ids_b[None, :]
+                if self.half:
+                    keep &= ids_a[at : at + TILE, None] < ids_b[None, :]
+                if self.same_group is not None:
+                    equal = groups[0][at : at + TILE, None] == groups[1][None, :]
+                    keep &= equal if self.same_group else ~equal
+                rows, columns = np.nonzero(keep if self.k is None or self.distinct else _likely(s, keep, self.k))
+                scores = s[rows, columns]
+                if self.k is not None and len(rows):
+                    some = _best(rows, columns, scores, ids_b, same_text, self.k)
+                    rows, columns, scores = rows[some], columns[some], scores[some]
+                found.append((rows + at, columns, scores))
+            rows, columns, scores = (np.concatenate(z) for z in zip(*found, strict=True)) if found else (np.empty(0, dtype=int),) * 3
+            if self.best_pairs is not None and len(rows):
+                place = {g: i for i, g in enumerate(dict.fromkeys(groups[0]))}
+                group_of = np.array([place[g] for g in groups[0]])
+                order = np.lexsort((ids_b[columns], ids_a[rows], -scores, group_of[rows]))
+                g = group_of[rows][order]
+                some = order[np.arange(len(g)) - np.searchsorted(g, g, side="left") < self.best_pairs]
+                rows, columns, scores = rows[some], columns[some], scores[some]
+            out = [x.column("id").take(pa.array(rows)), y.column("id").take(pa.array(columns)), pa.array(scores, pa.float64()), x.column("g").take(pa.array(rows))]
+            return pa.table(out, names=[*names, "score", "_group"])
+
+        return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInArrow(lambda x, y: compared(x, y), f"`{names[0]}` {kinds[0]}, `{names[1]}` {kinds[1]}, score double, _group string")
+
+
+def pair_names(left_id: str, right_id: str) -> tuple[str, str]:
+    return left_id if left_id != right_id else f"source_{left_id}", right_id if left_id != right_id else f"target_{right_id}"
+
+
 def similar(
     left: DataFrame, right: DataFrame, k: int | None, left_id: str, right_id: str, vector: str = "embedding", min_score: float | None = None, strict: bool = False,
     exclude_self: bool = False, half: bool = False, left_group: str | None = None, right_group: str | None = None, same_group: bool | None = None, distinct: str | None = None, best_pairs: int | None = None,
@@ -47,65 +113,41 @@ def similar(
     """(left_id, right_id, score, rank): the k most similar rows of right for each row of left, by cosine, ties by id; all with k None.
 
     min_score is kept from (strict: above). half keeps each unordered pair once; same_group keeps pairs of one group (False: of two). With distinct, of right rows
-    with one value of that column the best counts alone. best_pairs keeps that many pairs of each left group, ranked within it.
+    with one value of that column the best counts alone. best_pairs keeps that many pairs of each left group, ranked within it. Vectors of different lengths,
+    and with same_group null groups, pair with nothing.
 
     Both sides are dealt into groups by hash, and each pair of groups meets in one task, so that a vector is sent once for each group of the other side;
     a task keeps its own best k of each left row (its best pairs), so what is ranked in the end is bounded by them and not by all pairs.
     """
     kinds = dict(left.dtypes)[left_id], dict(right.dtypes)[right_id]
-    names = left_id if left_id != right_id else f"source_{left_id}", right_id if left_id != right_id else f"target_{right_id}"
-    least = -np.inf if min_score is None else min_score
-
-    def side(df: DataFrame, id: str, group: str | None, key: str | None) -> tuple[DataFrame, int]:
-        columns = [F.col(id).alias("id"), (F.col(group).cast("string") if group else F.lit(None).cast("string")).alias("g"), F.col(vector).cast("array<double>").alias("v")]
-        rows = df.where(F.col(vector).isNotNull()).select(*columns, (F.xxhash64(key) if key else F.lit(0).cast("long")).alias("t"))
-        n, size = rows.agg(F.count("*"), F.max(F.size("v"))).first()
-        return rows, max(1, -(-n // max(1, min(GROUP, GROUP_BYTES // (8 * max(1, size or 1))))))
-
-    (a, na), (b, nb) = side(left, left_id, left_group, None), side(right, right_id, right_group, distinct)
+    names = pair_names(left_id, right_id)
+
+    def side(df: DataFrame, id: str, group: str | None, key: str | None) -> tuple[DataFrame, int, int]:
+        columns = [F.col(id).alias("id"), (F.col(group).cast("string") if group else F.lit(None).cast("string")).alias("g"), F.col(vector).alias("v")]
+        rows = df.where(F.col(vector).isNotNull()).select(*columns, (F.xxhash64(key) if key else F.lit(0).cast("long")).alias("t"), F.size(vector).alias("dim"))
+        if same_group is not None:
+            rows = rows.where("g IS NOT NULL")
+        n, size = rows.agg(F.count("*"), F.max("dim")).first()
+        return rows, n, max(1, -(-n // max(1, min(GROUP, GROUP_BYTES // (8 * max(1, size or 1))))))
+
+    (a, _, na), (b, n, nb) = side(left, left_id, left_group, None), side(right, right_id, right_group, distinct)
+    busy = left.sparkSession.sparkContext.defaultParallelism
+    nb = max(nb, min(-(-busy // na), n // LEAST_GROUP))  # a small table keeps all tasks busy too
     own = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     label = [F.col("g").alias("of") if same_group else F.lit(None).cast("string").alias("of")]  # groups that can't pair don't meet
     a, b = a.select("*", *label, own(na).alias("one"), every(nb).alias("two")), b.select("*", *label, own(nb).alias("two"), every(na).alias("one"))
-
-    def compared(x: pa.Table, y: pa.Table) -> pa.Table:
-        ids_a, ids_b = x.column("id").to_numpy(zero_copy_only=False), y.column("id").to_numpy(zero_copy_only=False)
-        groups = [np.array(t.column("g").to_pylist(), dtype=object) for t in (x, y)]
-        ma, mb, keys = _matrix(x.column("v")), _matrix(y.column("v")), y.column("t").to_numpy() if distinct else None
-        found: list[tuple] = []
-        for at in range(0, len(ma) if len(mb) else 0, TILE):
-            s = np.round(ma[at : at + TILE] @ mb.T, DECIMALS)
-            keep = s > least if strict else s >= least
-            if exclude_self:
-                keep &= ids_a[at : at + TILE, None] != ids_b[None, :]
-            if half:
-                keep &= ids_a[at : at + TILE, None] < ids_b[None, :]
-            if same_group is not None:
-                equal = groups[0][at : at + TILE, None] == groups[1][None, :]
-                keep &= equal if same_group else ~equal
-            rows, columns = np.nonzero(keep)
-            scores = s[rows, columns]
-            if k is not None and len(rows):
-                some = _best(rows, columns, scores, ids_b, keys, k)
-                rows, columns, scores = rows[some], columns[some], scores[some]
-            found.append((rows + at, columns, scores))
-        rows, columns, scores = (np.concatenate(z) for z in zip(*found, strict=True)) if found else (np.empty(0, dtype=int),) * 3
-        if best_pairs is not None and len(rows):
-            _, names_of = np.unique([g or "" for g in groups[0]], return_inverse=True)
-            order = np.lexsort((ids_b[columns], ids_a[rows], -scores, names_of[rows]))
-            g = names_of[rows][order]
-            some = order[np.arange(len(g)) - np.searchsorted(g, g, side="left") < best_pairs]
-            rows, columns, scores = rows[some], columns[some], scores[some]
-        out = [x.column("id").take(pa.array(rows)), y.column("id").take(pa.array(columns)), pa.array(scores, pa.float64()), x.column("g").take(pa.array(rows))]
-        return pa.table(out, names=[*names, "score", "_group"])
-
-    keys = ["of", "one", "two"]
-    pairs = a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInArrow(lambda x, y: compared(x, y), f"`{names[0]}` {kinds[0]}, `{names[1]}` {kinds[1]}, score double, _group string")
+    meeting = Meeting(k, min_score, strict, exclude_self, half, same_group, distinct is not None, best_pairs)
+    pairs = meeting.pairs(a, b, ["of", "one", "two", "dim"], names, kinds)
     if best_pairs is not None:
         ranked = pairs.withColumn("rank", F.row_number().over(W.partitionBy("_group").orderBy(F.desc("score"), *names)))
         return ranked.where(F.col("rank") <= best_pairs).withColumnRenamed("_group", "group")
+    return ranked_pairs(pairs, names, k if distinct is None else None)
+
+
+def ranked_pairs(pairs: DataFrame, names: tuple[str, str], k: int | None) -> DataFrame:
     ranked = pairs.drop("_group").withColumn("rank", F.row_number().over(W.partitionBy(names[0]).orderBy(F.desc("score"), names[1])))
-    return ranked.where(F.col("rank") <= k) if k is not None and distinct is None else ranked
+    return ranked.where(F.col("rank") <= k) if k is not None else ranked
 
 
 def vector_search(

@@ -1,6 +1,8 @@
+from concurrent.futures import ThreadPoolExecutor
+
 import pytest
 
-from hexlode.sources.store import Store, stores
+from hexlode.sources.store import Conflict, Store, stores
 from hexlode.streaming.ingest import ingest_stream, token_bucket
 
 
@@ -10,14 +12,54 @@ def test_versions(spark, tmp_path):
     for n in range(1, 6):
         assert s.save(nodes=spark.range(n)) == n
     assert s.versions() == [3, 4, 5] and s.load("nodes").count() == 5 and s.manifest()["stats"] == {"nodes": 5}
-    assert s.update_manifest({"metadata": {"x": 1}})["metadata"] == {"name": "a", "x": 1}
-    s.export(str(tmp_path / "a.zip"))
-    again = Store.import_from(spark, str(tmp_path / "a.zip"), str(tmp_path / "b"))
-    assert again.intact() and again.load("nodes").count() == 5 and len(stores(str(tmp_path))) == 2
-    next((tmp_path / "b" / "v=5" / "nodes").glob("*.parquet")).unlink()
-    assert again.load("nodes").count() == 4
+    assert s.update_manifest({"metadata": {"x": 1}})["metadata"] == {"name": "a", "x": 1} and s.versions() == [3, 4, 5]
+    s.export(str(tmp_path / "out"))
+    again = Store.import_from(spark, str(tmp_path / "out"), str(tmp_path / "b"))
+    assert again.intact() and again.load("nodes").count() == 5 and len(stores(spark, str(tmp_path))) == 3 and again.manifest()["metadata"]["x"] == 1
+    folder = s.manifest()["folder"]
+    next((tmp_path / "a" / folder / "nodes").glob("*.parquet")).unlink()
+    assert s.load("nodes").count() == 4 and not s.intact() and s.intact(4)
     again.delete()
-    assert len(stores(str(tmp_path))) == 1
+    assert len(stores(spark, str(tmp_path))) == 2 and sorted(p.name[:4] for p in (tmp_path / "a").glob("v=*")) == ["v=3-", "v=4-", "v=5-"]
+    with pytest.raises(FileNotFoundError):
+        Store.import_from(spark, str(tmp_path / "none"), str(tmp_path / "c"))
+
+
+def test_of_two_writers_one_fails(spark, tmp_path):
+    one, two = (Store(spark, str(tmp_path / "s")) for _ in range(2))
+    one.save(nodes=spark.range(3))
+    base = one.manifest()["revision"]
+    assert one.save(base, nodes=spark.range(4)) == 2
+    with pytest.raises(Conflict):
+        two.save(base, nodes=spark.range(9))
+    assert two.load("nodes").count() == 4 and len(list((tmp_path / "s").glob("v=*"))) == 2 and two.save(nodes=spark.range(9)) == 3
+    # at one time: as many versions as writers that didn't fail
+    with ThreadPoolExecutor(4) as pool:
+        base = one.manifest()["revision"]
+        done = list(pool.map(lambda i: _tried(Store(spark, str(tmp_path / "s")), base, spark.range(i)), range(4)))
+    assert sum(done) == 1 and one.manifest()["version"] == 4
+
+
+def _tried(store, base, df):
+    try:
+        store.save(base, nodes=df)
+    except Conflict:
+        return False
+    return True
+
+
+def test_altered_contents_are_found(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "s"))
+    for n in (2, 1):
+        s.save(nodes=spark.range(1000).selectExpr(f"id * {n} AS id", "map('k', id) AS m", "array(id) AS v"))
+    assert s.intact()
+    file = next((tmp_path / "s" / s.manifest()["folder"] / "nodes").glob("*.parquet"))
+    data = bytearray(file.read_bytes())
+    middle = len(data) // 2
+    data[middle - 50 : middle] = bytes(50)
+    file.write_bytes(bytes(data))
+    file.with_name(f".{file.name}.crc").unlink(missing_ok=True)
+    assert not s.intact() and s.load("nodes", deep=True).agg({"id": "max"}).first()[0] == 1998
 
 
 def test_ingest_stream(spark, tmp_path):
