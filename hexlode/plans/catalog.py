@@ -11,7 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import filters, text as X, vectors as V
-from ..operators import bm25, evaluate, graph, hybrid, ingest, vector
+from ..operators import bm25, changes, evaluate, forest, graph, hybrid, ingest, ivf, vector
+from ..shared import fresh_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -143,6 +144,33 @@ def label_top_pairs(read: Read) -> DataFrame:
     return found.select(F.col("group").cast(kind).alias("label"), F.col("source_node_id").alias("source_id"), F.col("target_node_id").alias("target_id"), "score", "rank")
 
 
+TOP10 = "r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) AS rank FROM s WHERE score >= 0)"
+
+
+@query(f"WITH {UNIT}, s AS (SELECT a.node_id AS query_id, b.node_id, {COS} AS score FROM u a, u b WHERE a.node_id % 20 = 0), {TOP10} SELECT * FROM r WHERE rank <= 10")
+def ivf_all_cells(read: Read) -> DataFrame:
+    """The inverted file with every cell probed is the exact search."""
+    v = vectors_of(read)
+    return ivf.VectorIndex.create(v.sparkSession, fresh_dir(v.sparkSession, "index"), v).search(searched(v), 10, probes=None)
+
+
+_CHANGED = "SELECT node_id, label, CASE WHEN node_id % 5 = 0 THEN list_reverse(e) ELSE e END AS e, n FROM u WHERE node_id % 7 <> 0"
+
+
+@query(f"WITH {UNIT}, w AS ({_CHANGED}), s AS (SELECT a.node_id AS query_id, b.node_id, {COS} AS score FROM u a, w b WHERE a.node_id % 20 = 0), {TOP10} SELECT r.*, phase FROM r, (VALUES ('deltas'), ('compacted')) p(phase) WHERE rank <= 10")
+def ivf_maintained(read: Read) -> DataFrame:
+    """A third of the vectors added later, a fifth replaced, a seventh deleted: searched with the deltas merged as they are read, and after they are folded in."""
+    v = vectors_of(read)
+    index = ivf.VectorIndex.create(v.sparkSession, fresh_dir(v.sparkSession, "index"), v.where("node_id % 3 <> 0"))
+    index.upsert(v.where("node_id % 3 = 0"))
+    twice = v.where("node_id % 5 = 0").select("node_id", F.explode(F.array(*(F.struct(F.lit(i).alias("turn"), e.alias("embedding")) for i, e in enumerate((F.slice("embedding", 2, 64), F.reverse("embedding")))))).alias("x"))
+    index.upsert(twice.select("node_id", "x.*"), order="turn")
+    index.delete(v.where("node_id % 7 = 0"))
+    before = graph.settled(index.search(searched(v), 10, probes=None).withColumn("phase", F.lit("deltas")))
+    index.compact()
+    return before.union(index.search(searched(v), 10, probes=None).withColumn("phase", F.lit("compacted")))
+
+
 # Texts
 
 BM25 = f"tok AS (SELECT doc_id AS node_id, unnest({TOKENS.format('text')}) AS term FROM documents), tf AS (SELECT node_id, term, count(*) AS tf FROM tok GROUP BY ALL), dl AS (SELECT node_id, sum(tf) AS dl FROM tf GROUP BY ALL), c AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl), df AS (SELECT term, count(*) AS df FROM tf GROUP BY ALL), idf AS (SELECT term, df, ln((n - df + 0.5) / (df + 0.5) + 1) AS idf FROM df, c)"
@@ -377,6 +405,78 @@ def missing_nodes_anti(read: Read) -> DataFrame:
     return ingest.missing_ends(t.select(F.col("node_id").alias("source_id"), (F.col("node_id") + 1).alias("target_id")), t)
 
 
+_THRESHOLDS = (0.45, 0.4, 0.35, 0.3)
+
+
+@query(f"""WITH RECURSIVE {UNIT}, e AS (SELECT a.node_id AS s, b.node_id AS t, {COS} AS w FROM u a, u b WHERE a.node_id < b.node_id AND {COS} >= 0.3), th AS (SELECT unnest({list(_THRESHOLDS)})::DOUBLE AS threshold),
+g AS (SELECT threshold, s, t FROM e, th WHERE w >= threshold UNION ALL SELECT threshold, t, s FROM e, th WHERE w >= threshold), r AS (SELECT threshold, node_id AS a, node_id AS b FROM u, th UNION SELECT r.threshold, r.a, g.t FROM r JOIN g ON g.threshold = r.threshold AND g.s = r.b),
+c AS (SELECT threshold, a, min(b) AS c FROM r GROUP BY ALL), z AS (SELECT threshold, c, count(*) AS n FROM c GROUP BY ALL)
+SELECT threshold, (SELECT count(*) FROM e WHERE w >= z.threshold) AS edges, count(*) AS components, max(n) AS largest FROM z GROUP BY threshold""")
+def threshold_sweep(read: Read) -> DataFrame:
+    """The graph of similar vectors at several thresholds, from one spanning forest."""
+    v = vectors_of(read)
+    found = vector.similar(v, v, None, "node_id", "node_id", min_score=min(_THRESHOLDS), half=True)
+    return forest.sweep(v, graph.settled(found.select(F.col("source_node_id").alias("source_id"), F.col("target_node_id").alias("target_id"), F.col("score").alias("weight"))), _THRESHOLDS)
+
+
+# Changes
+
+
+def _conflicting(read: Read) -> DataFrame:
+    """Changes to every second document, and to some that don't exist, in three turns."""
+    d = read("documents").select("doc_id").where("doc_id % 2 = 0")
+    none = lambda kind: F.lit(None).cast(kind)
+    turn = lambda rows, at, source, n, op=None: rows.select("doc_id", F.lit(at).alias("turn"), source.alias("source"), n.alias("n_chars"), F.lit(op).cast("string").alias("op"))
+    parts = [
+        turn(d.where("doc_id % 4 = 0"), 3, F.lit("third"), none("long")), turn(d, 1, F.lit("first"), F.col("doc_id") * 10), turn(d.where("doc_id % 6 = 0"), 2, F.lit("second"), F.lit(-1).cast("long")),
+        turn(d.where("doc_id % 10 = 0"), 1, none("string"), none("long"), "delete"), turn(d.where("doc_id % 50 = 0").withColumn("doc_id", F.col("doc_id") + 1_000_000_000), 1, F.lit("lost"), none("long")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
+
+
+@query("SELECT doc_id, lang, CASE WHEN doc_id % 2 = 1 THEN source WHEN doc_id % 4 = 0 THEN 'third' WHEN doc_id % 6 = 0 THEN 'second' ELSE 'first' END AS source, CASE WHEN doc_id % 2 = 1 THEN n_chars WHEN doc_id % 6 = 0 THEN -1 ELSE doc_id * 10 END AS n_chars, md5(text) AS text FROM documents WHERE doc_id % 10 <> 0")
+def merge_conflicting(read: Read) -> DataFrame:
+    """Half of the documents merged with conflicting changes, the last of each column counting."""
+    return changes.merge(read("documents"), _conflicting(read), "doc_id", "turn").table.withColumn("text", F.md5("text"))
+
+
+@query("SELECT change, count(*) AS n FROM (SELECT CASE WHEN doc_id % 10 = 0 THEN 'deleted' ELSE 'updated' END AS change FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT 'missing' FROM documents WHERE doc_id % 50 = 0) GROUP BY ALL")
+def merge_changes(read: Read) -> DataFrame:
+    return changes.merge(read("documents"), _conflicting(read), "doc_id", "turn").changes.groupBy("change").agg(F.count("*").alias("n"))
+
+
+def _import_inputs(read: Read) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Conversations as batches: every third one's first turn exists, turns that 5 divides repeat an id, and edges go from turn to turn and past the last."""
+    t = turns(read)
+    nodes = t.select(F.col("conv_id").alias("batch"), F.col("turn").alias("index"), F.when(F.col("turn") % 5 == 4, F.col("node_id") - 1).otherwise(F.col("node_id")).cast("string").alias("node_id"), F.when(F.col("turn") == 6, "").otherwise(F.col("text")).alias("text"))
+    kind = F.when(F.col("turn") % 7 == 5, "unheard_of").when(F.col("turn") % 2 == 0, "related_to").otherwise("led_to")
+    edges = t.select(F.col("conv_id").alias("batch"), F.col("turn").alias("index"), F.col("turn").alias("source"), (F.col("turn") + 1).alias("target"), kind.alias("type"), F.when(F.col("conv_id") % 11 == 0, 1.5).when(F.col("turn") % 2 == 0, 0.5).alias("weight"))
+    return t.where("conv_id % 3 = 0 AND turn = 0").select(F.col("node_id").cast("string").alias("node_id")), nodes, edges
+
+
+_IMPORT = """WITH t AS (SELECT conv_id AS b, turn AS i, text FROM conversations), n AS (SELECT b, i, CASE WHEN b % 3 = 0 AND i = 0 THEN 'exists' WHEN i % 5 = 4 THEN 'repeated' WHEN i = 6 OR length(text) NOT BETWEEN 1 AND 50000 THEN 'text' END AS reason FROM t),
+e AS (SELECT t.b, t.i, CASE WHEN s.reason IS NOT NULL THEN 'no source' WHEN x.i IS NULL OR x.reason IS NOT NULL THEN 'no target' WHEN t.b % 11 = 0 THEN 'weight' WHEN t.i % 7 = 5 THEN 'type' END AS reason FROM t JOIN n s ON s.b = t.b AND s.i = t.i LEFT JOIN n x ON x.b = t.b AND x.i = t.i + 1),
+r AS (SELECT 'node' AS kind, * FROM n UNION ALL SELECT 'edge', * FROM e)"""
+
+
+@query(f"{_IMPORT} SELECT b AS batch, kind, i AS index, coalesce(reason, 'accepted') AS outcome FROM r")
+def import_outcomes(read: Read) -> DataFrame:
+    """What becomes of each node and edge of a batch that refers to its nodes by index."""
+    done = changes.import_batches(*_import_inputs(read))
+    accepted = [df.select("batch", F.lit(kind).alias("kind"), F.col("index").cast("long").alias("index"), F.lit("accepted").alias("outcome")) for df, kind in ((done.nodes, "node"), (done.edges, "edge"))]
+    return done.rejects.withColumnRenamed("reason", "outcome").union(accepted[0]).union(accepted[1])
+
+
+@query(f"{_IMPORT}, bad AS (SELECT DISTINCT b FROM r WHERE reason IS NOT NULL) SELECT kind, CASE WHEN reason IS NOT NULL THEN reason WHEN b IN (SELECT b FROM bad) THEN 'batch' ELSE 'accepted' END AS outcome, count(*) AS n FROM r GROUP BY ALL")
+def import_all_or_nothing(read: Read) -> DataFrame:
+    done = changes.import_batches(*_import_inputs(read), whole=True)
+    accepted = [df.select(F.lit(kind).alias("kind"), F.lit("accepted").alias("outcome")) for df, kind in ((done.nodes, "node"), (done.edges, "edge"))]
+    return done.rejects.select("kind", F.col("reason").alias("outcome")).union(accepted[0]).union(accepted[1]).groupBy("kind", "outcome").agg(F.count("*").alias("n"))
+
+
 # Evaluation
 
 

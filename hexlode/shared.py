@@ -22,11 +22,16 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df computed once: written as Parquet, and read back without its lineage; the files go when the driver ends."""
-    spark = df.sparkSession
-    folder = f"{shared_dir(spark).rstrip('/')}/settled-{uuid.uuid4().hex}"
+def fresh_dir(spark: SparkSession, kind: str) -> str:
+    """A new folder's name in the shared one; the folder goes when the driver ends."""
+    folder = f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return folder
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df computed once: written as Parquet, and read back without its lineage; the files go when the driver ends."""
+    folder = fresh_dir(df.sparkSession, "settled")
     df.write.parquet(folder)
-    return spark.read.schema(df.schema).parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

@@ -57,18 +57,17 @@ class Store:
     def _publish(self, revision: int, manifest: dict) -> None:
         self.folder.write_new(f"manifest-{revision:09d}.json", json.dumps(manifest | {"revision": revision}, indent=1))
 
-    def update_manifest(self, changes: dict) -> dict:
-        """Changes merged into the manifest, dicts within dicts too."""
+    def update_manifest(self, changes: dict, base: int | None = None) -> dict:
+        """Changes merged into the manifest, dicts within dicts too; base as in save()."""
         old = self.manifest()
-        merged = _merged(old, changes)
-        self._publish(old["revision"] + 1, merged)
+        self._publish((old["revision"] if base is None else base) + 1, _merged(old, changes))
         self._drop_old()
         return self.manifest()
 
     # Versions
 
-    def save(self, base: int | None = None, **tables: DataFrame) -> int:
-        """A new version of the tables; old versions beyond KEEP go. base: the revision that the tables were made from; if another one has been published since, Conflict."""
+    def save(self, base: int | None = None, changes: dict | None = None, **tables: DataFrame) -> int:
+        """A new version of the tables, with changes to the manifest; old versions beyond KEEP go. base: the revision that the tables were made from; if another one has been published since, Conflict."""
         old = self.initialize()
         base = old["revision"] if base is None else base
         version = old["version"] + 1
@@ -78,7 +77,7 @@ class Store:
                 df.write.parquet(self.folder.of(f"{folder}/{name}"))
                 self._checks(f"{folder}/{name}", df.schema).write.parquet(self.folder.of(f"{folder}/{_CHECKS}/{name}"))
             counts = {name: self.spark.read.parquet(self.folder.of(f"{folder}/{_CHECKS}/{name}")).agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0] for name in tables}
-            self._publish(base + 1, old | {"version": version, "updated_at": _now(), "stats": counts, "folder": folder})
+            self._publish(base + 1, _merged(old, changes or {}) | {"version": version, "updated_at": _now(), "stats": counts, "folder": folder})
         except BaseException:
             self.folder.delete(folder)
             raise
