@@ -133,8 +133,9 @@ def kinds(edges: DataFrame) -> DataFrame:
 
 
 def most_connected(nodes: DataFrame, edges: DataFrame, most: int = 10) -> DataFrame:
-    """(node_id, degree) of the most connected nodes(node_id), those without edges included."""
-    return nodes.select("node_id").join(degrees(edges), "node_id", "left").select("node_id", F.coalesce("degree", F.lit(0)).alias("degree")).orderBy(F.desc("degree"), "node_id").limit(most)
+    """nodes(node_id, ...) with degree, the most connected first, those without edges included."""
+    known = nodes.join(degrees(edges).select("node_id", "degree"), "node_id", "left")
+    return known.withColumn("degree", F.coalesce("degree", F.lit(0))).orderBy(F.desc("degree"), "node_id").limit(most)
 
 
 def average_degree(nodes: DataFrame, edges: DataFrame) -> DataFrame:

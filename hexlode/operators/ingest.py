@@ -12,6 +12,27 @@ def active(nodes: DataFrame) -> DataFrame:
     return nodes.where("deleted_at IS NULL")
 
 
+def by_id(table: DataFrame, ids: DataFrame, id: str = "node_id") -> DataFrame:
+    """The rows of a table with these ids; deleted ones don't count."""
+    rows = active(table) if "deleted_at" in table.columns else table
+    return rows.join(ids.select(id).distinct(), id, "left_semi")
+
+
+def list_edges(edges: DataFrame, source_id=None, target_id=None, type: str | None = None, skip: int = 0, limit: int = 100) -> DataFrame:
+    """Edges that meet all given predicates, in the order of their ids."""
+    for name, value in (("source_id", source_id), ("target_id", target_id), ("type", type)):
+        edges = edges if value is None else edges.where(F.col(name) == value)
+    return edges.orderBy("edge_id").offset(skip).limit(limit)
+
+
+def with_edges(nodes: DataFrame, edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """A row for each edge at each of these nodes, out and in, with the node's columns and neighbour_id, direction, edge_id, edge_type, weight; one without them for a node that has none."""
+    asked = by_id(nodes, ids)
+    end = lambda at, other, way: edges.select(F.col(at).alias("_at"), F.col(other).alias("neighbour_id"), F.lit(way).alias("direction"), "edge_id", F.col("type").alias("edge_type"), "weight")
+    back = end("target_id", "source_id", "incoming").where("_at <> neighbour_id")
+    return asked.join(end("source_id", "target_id", "outgoing").union(back), asked["node_id"] == F.col("_at"), "left").drop("_at")
+
+
 def valid_text(text: Column) -> Column:
     return F.length(text).between(*TEXT_LENGTH)
 
@@ -77,13 +98,6 @@ def bulk_edges(edges: DataFrame, new: DataFrame, nodes: DataFrame, validate: boo
     return edges.unionByName(new, allowMissingColumns=True)
 
 
-def update_nodes(nodes: DataFrame, changes: DataFrame) -> DataFrame:
-    """Non-null columns of changes(node_id, ...) put in place of those of nodes."""
-    named = [c for c in changes.columns if c != "node_id" and c in nodes.columns]
-    joined = nodes.join(changes.select("node_id", *(F.col(c).alias(f"_new_{c}") for c in named)), "node_id", "left")
-    return joined.select(*(F.coalesce(f"_new_{c}", c).alias(c) if c in named else F.col(c) for c in nodes.columns))
-
-
 def soft_delete(nodes: DataFrame, edges: DataFrame, ids: DataFrame, at: Column | None = None, cascade_chunks: bool = False) -> tuple[DataFrame, DataFrame]:
     """Nodes marked as deleted, and the edges that are left; chunks of a node stay unless cascade_chunks."""
     gone = ids.select("node_id").distinct()

@@ -168,11 +168,16 @@ def vector_search(
     return found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), id))).where(F.col("rank") <= top_k).select("query_id", id, "score", "rank")
 
 
-def neighbourhood_average(vectors: DataFrame, k: int = 5, alpha: float = 0.7, id: str = "node_id") -> DataFrame:
-    """(id, embedding, raw_embedding): each vector blended with the mean of its k nearest others, and normalised."""
-    near = similar(vectors, vectors, k, id, id, exclude_self=True).select(F.col(f"source_{id}").alias(id), F.col(f"target_{id}").alias("_other"))
+def neighbourhood_average(vectors: DataFrame, k: int = 5, alpha: float = 0.7, id: str = "node_id", known: DataFrame | None = None) -> DataFrame:
+    """(id, embedding, raw_embedding): each vector blended with the mean of its k nearest others (of known's, if given), and normalised.
+
+    Of known, raw_embedding is averaged where there is one, and embedding else.
+    """
+    pool = vectors if known is None else known
+    raw = F.coalesce("raw_embedding", "embedding") if known is not None and "raw_embedding" in known.columns else F.col("embedding")
+    near = similar(vectors, pool, k, id, id, exclude_self=True).select(F.col(f"source_{id}").alias(id), F.col(f"target_{id}").alias("_other"))
     # k vectors for each row at most, averaged by place.
-    held = near.join(vectors.select(F.col(id).alias("_other"), F.col("embedding").cast("array<double>").alias("_x")), "_other").groupBy(id).agg(F.collect_list("_x").alias("_all"))
+    held = near.join(pool.select(F.col(id).alias("_other"), raw.cast("array<double>").alias("_x")), "_other").groupBy(id).agg(F.collect_list("_x").alias("_all"))
     total = F.aggregate(F.slice("_all", 2, k), F.get("_all", F.lit(0)), lambda s, x: F.zip_with(s, x, lambda p, q: p + q))
     mean = held.select(id, F.transform(total, lambda x: x / F.size("_all")).alias("_mean"))
     blended = F.when(F.col("_mean").isNull(), normalized(F.col("embedding"))).otherwise(normalized(F.zip_with("embedding", "_mean", lambda x, m: alpha * x.cast("double") + (1 - alpha) * m)))
