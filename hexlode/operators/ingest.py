@@ -15,7 +15,7 @@ def active(nodes: DataFrame) -> DataFrame:
 def by_id(table: DataFrame, ids: DataFrame, id: str = "node_id") -> DataFrame:
     """The rows of a table with these ids; deleted ones don't count."""
     rows = active(table) if "deleted_at" in table.columns else table
-    return rows.join(ids.select(id).distinct(), id, "left_semi")
+    return rows.join(ids.select(id).distinct(), id, "left_semi").select(*table.columns)
 
 
 def list_edges(edges: DataFrame, source_id=None, target_id=None, type: str | None = None, skip: int = 0, limit: int = 100) -> DataFrame:

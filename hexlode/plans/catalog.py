@@ -526,6 +526,107 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, node_i
 SELECT query_id, node_id, round(v, 4) AS vector_score, round(g, 4) AS graph_score, round(c, 4) AS combined_score, rank FROM r WHERE rank <= 10"""
 
 
+# Graphs with branches, ties and pairs that aren't connected: each vector with its three nearest ones, and orders with their customers
+
+
+def _near_graph(read: Read) -> DataFrame:
+    return graph.settled(_similar_edges(read))
+
+
+def _near_starts(read: Read) -> DataFrame:
+    return searched(vectors_of(read)).select("query_id", "node_id")
+
+
+_KNN_W = f"{UNIT}, e AS (SELECT src, dst, w FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY w DESC, dst) AS i FROM (SELECT a.node_id AS src, b.node_id AS dst, {COS} AS w FROM u a, u b WHERE a.node_id <> b.node_id)) WHERE i <= 3)"
+_WAYS = {"outgoing": "SELECT src, dst FROM e", "incoming": "SELECT dst AS src, src AS dst FROM e", "both": "SELECT src, dst FROM e UNION SELECT dst, src FROM e"}
+
+
+def _reach(way: str, starts: str, depth: int) -> str:
+    return f"SELECT node_id AS query_id, node_id, 0 AS depth FROM u WHERE {starts} UNION SELECT query_id, dst, depth + 1 FROM r_{way} JOIN ({_WAYS[way]}) g ON g.src = r_{way}.node_id WHERE depth < {depth}"
+
+
+@query(" UNION ALL ".join(f"SELECT * FROM (WITH RECURSIVE {_KNN_W}, r_{w} AS ({_reach(w, 'node_id % 20 = 0', 3)}) SELECT '{w}' AS way, query_id, node_id, min(depth) AS depth FROM r_{w} GROUP BY query_id, node_id HAVING min(depth) > 0)" for w in _WAYS))
+def bfs_similar(read: Read) -> DataFrame:
+    e, starts = _near_graph(read), _near_starts(read)
+    found = [graph.bfs(e, starts, 3, w).select(F.lit(w).alias("way"), "query_id", "node_id", "depth") for w in _WAYS]
+    return found[0].union(found[1]).union(found[2])
+
+
+@query(f"WITH RECURSIVE {_KNN_W}, r_outgoing AS ({_reach('outgoing', 'node_id % 50 = 0', 3)}), r_incoming AS ({_reach('incoming', 'node_id % 50 = 0', 3)}), d AS (SELECT query_id, node_id, min(depth) AS d FROM (SELECT * FROM r_outgoing UNION ALL SELECT * FROM r_incoming) GROUP BY ALL) SELECT q.node_id AS query_id, u.node_id, coalesce(round(1 / (1 + d), 4), 0.0) AS proximity FROM u q CROSS JOIN u LEFT JOIN d ON d.query_id = q.node_id AND d.node_id = u.node_id WHERE q.node_id % 50 = 0")
+def proximity_similar(read: Read) -> DataFrame:
+    """Of every vector to each fiftieth one."""
+    anchors = vectors_of(read).where("node_id % 50 = 0").select(F.col("node_id").alias("query_id"), "node_id")
+    candidates = vectors_of(read).select("node_id").crossJoin(F.broadcast(anchors.select("query_id")))  # a stated set of queries against all rows
+    return graph.proximity(_near_graph(read), candidates, anchors)
+
+
+@query(f"WITH {_KNN_W}, st AS (SELECT node_id FROM u WHERE node_id % 20 = 0), x AS (SELECT node_id, dst AS neighbour_id, 'outgoing' AS direction, w AS weight FROM st JOIN e ON src = node_id UNION ALL SELECT node_id, src, 'incoming', w FROM st JOIN e ON dst = node_id) SELECT node_id, neighbour_id, max(direction) AS direction, max(weight) AS weight FROM x GROUP BY ALL")
+def neighbors_similar(read: Read) -> DataFrame:
+    """Both ways; of two edges between a pair the outgoing one counts, and they weigh the same."""
+    return graph.neighbours(_near_graph(read), _near_starts(read)).select("node_id", "neighbour_id", "direction", "weight")
+
+
+_ROUNDS = 24
+
+
+def _paths_sql(step: str) -> str:
+    """Relaxations by so many hops, each state with its path."""
+    state = "row(round(cost + {0}, 9), hops + 1, list_append(path, dst), round(total + w, 9))".format(step)
+    first = "s0 AS (SELECT node_id AS q, node_id AS n, row(0.0::DOUBLE, 0, [node_id], 0.0::DOUBLE) AS b FROM u WHERE node_id % 20 = 0)"
+    rounds = ", ".join(f"s{i + 1} AS (SELECT q, n, min(b) AS b FROM (SELECT * FROM s{i} UNION ALL SELECT q, dst, {state} FROM (SELECT q, n, b[1] AS cost, b[2] AS hops, b[3] AS path, b[4] AS total FROM s{i}) z JOIN e ON e.src = z.n WHERE NOT list_contains(path, dst)) GROUP BY q, n)" for i in range(_ROUNDS))
+    return f"WITH {_KNN_W}, {first}, {rounds} SELECT q AS query_id, array_to_string(b[3], ' ') AS path, b[2] AS length, round(b[1], 4) AS cost, round(b[4], 4) AS total_weight FROM s{_ROUNDS} WHERE n = (q * 7 + 3) % (SELECT count(*) FROM u)"
+
+
+def _pairs(read: Read) -> DataFrame:
+    n = vectors_of(read).count()
+    return _near_starts(read).select("query_id", F.col("node_id").alias("source_id"), ((F.col("node_id") * 7 + 3) % n).alias("target_id"))
+
+
+@query(_paths_sql("1.0"))
+def shortest_path_hops_similar(read: Read) -> DataFrame:
+    return graph.shortest_paths(_near_graph(read), _pairs(read), weighted=False).withColumn("path", F.array_join(F.col("path").cast("array<string>"), " "))
+
+
+@query(_paths_sql("round(1 / greatest(w, 0.01), 9)"))
+def shortest_path_weighted_similar(read: Read) -> DataFrame:
+    return graph.shortest_paths(_near_graph(read), _pairs(read)).withColumn("path", F.array_join(F.col("path").cast("array<string>"), " "))
+
+
+def _order_graph(read: Read) -> DataFrame:
+    e = read("orders").select(F.concat(F.lit("o"), "o_orderkey").alias("source_id"), F.concat(F.lit("c"), "o_custkey").alias("target_id"), F.lit("led_to").alias("type"), F.lit(1.0).alias("weight"))
+    return e.withColumn("edge_id", F.col("source_id"))
+
+
+def _some_orders(read: Read) -> DataFrame:
+    return read("orders").where("o_orderkey % 20 = 0").select(F.col("o_orderkey").alias("query_id"), F.concat(F.lit("o"), "o_orderkey").alias("node_id"))
+
+
+@query("SELECT a.o_orderkey AS query_id, 'o' || b.o_orderkey AS node_id, 2 AS depth FROM orders a JOIN orders b ON b.o_custkey = a.o_custkey AND b.o_orderkey <> a.o_orderkey WHERE a.o_orderkey % 20 = 0 UNION ALL SELECT o_orderkey, 'c' || o_custkey, 1 FROM orders WHERE o_orderkey % 20 = 0")
+def bfs_orders(read: Read) -> DataFrame:
+    """From orders to their customers and on to those customers' other orders."""
+    return graph.bfs(_order_graph(read), _some_orders(read), 2).drop("path")
+
+
+@query("SELECT a.o_orderkey AS query_id, least(100, 1 + count(*)) AS size FROM orders a JOIN orders b ON b.o_custkey = a.o_custkey WHERE a.o_orderkey % 20 = 0 GROUP BY ALL")
+def component_orders(read: Read) -> DataFrame:
+    return graph.component(_order_graph(read), _some_orders(read)).groupBy("query_id").agg(F.count("*").alias("size"))
+
+
+@query("SELECT 'c' || c_custkey AS node_id, c_name AS text, 'o' || o_orderkey AS neighbour_id, CASE WHEN o_orderkey IS NOT NULL THEN 'incoming' END AS direction FROM customer LEFT JOIN orders ON o_custkey = c_custkey WHERE c_custkey % 20 = 0")
+def nodes_with_edges(read: Read) -> DataFrame:
+    """Every twentieth customer with the edges at it, and those without any."""
+    nodes = read("customer").select(F.concat(F.lit("c"), "c_custkey").alias("node_id"), F.col("c_name").alias("text"), "c_custkey")
+    return ingest.with_edges(nodes, _order_graph(read), nodes.where("c_custkey % 20 = 0")).select("node_id", "text", "neighbour_id", "direction")
+
+
+@query("SELECT 'o' || o_orderkey AS edge_id, 'c' || o_custkey AS target_id FROM orders WHERE o_custkey = 7 OR o_orderkey % 20 = 0")
+def edges_found(read: Read) -> DataFrame:
+    """Edges by their ids, and those that meet predicates."""
+    e, ids = _order_graph(read), read("orders").where("o_orderkey % 20 = 0").select(F.concat(F.lit("o"), "o_orderkey").alias("edge_id"))
+    listed = ingest.list_edges(e, target_id="c7", type="led_to", limit=1000)
+    return ingest.by_id(e, ids, "edge_id").union(listed).select("edge_id", "target_id").distinct()
+
+
 @query(_HYBRID)
 def hybrid_search(read: Read) -> DataFrame:
     return hybrid.hybrid_search(*_hybrid_inputs(read), parent=None)
