@@ -42,7 +42,8 @@ CLOSES = {
 _MARKUP = re.compile(r"<(?:(!--)|[!?]|(/?)([a-zA-Z][^\s/>]*))")
 _INSIDE = re.compile(r"""=\s*(?:(["'])|[^\s"'>][^\s>]*)|>""")
 _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*)))?""")
-_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
+#: Words of names; numbers and single letters tell nothing.
+_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]{2,}")
 
 
 @dataclass(slots=True)
@@ -67,7 +68,7 @@ def _features(tag: str, attributes: str) -> tuple[tuple[str, ...], str | None]:
         for name, a, b, c in _ATTR.findall(attributes):
             name, value = name.lower(), a or b or c
             if name in ("class", "id", "role", "aria-label", "itemprop"):
-                found += ["word:" + w.lower() for w in _WORD.findall(value)]
+                found += ["word:" + w.lower() for w in _WORD.findall(value) if len(w) > 1]
             elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
                 found.append("hidden")
             elif name == "data-main":
@@ -327,8 +328,9 @@ def train(pages: Iterable[str]) -> Model:
     return Model(edges, likely)
 
 
-#: Usual names of parts of pages, for the labelled pages; other words of class and id say nothing.
+#: Usual names of parts of pages, for the labelled pages; other words of class and id say nothing, nor do those that name layout alone.
 SHELLS = ("main", "content", "post", "article", "entry", "story", "body", "page-content", "main-content", "text")
+PLAIN = ("col", "row", "box", "wrap", "inner", "block", "grid", "cell", "css", "section", "left", "right", "center", "panel", "module")
 BOILERPLATE = {
     "nav": ("nav", "menu", "navbar", "breadcrumb", "breadcrumbs", "navigation", "pagination", "pager", "toc", "topbar"),
     "header": ("header", "masthead", "site-header", "branding", "logo"),
@@ -354,6 +356,12 @@ def labelled_pages(n: int = 1500, seed: int = 11) -> Iterator[str]:
     def link() -> str:
         return f'<a href="/x">{words(r.randint(1, 3))}</a>'
 
+    def named(names: tuple[str, ...]) -> str:
+        """A class or id: one of the names, or one that tells nothing."""
+        random_name = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(1, 3))) + str(r.randint(0, 99))
+        name = r.choice(names) if r.random() < 0.9 else r.choice((random_name, random_name, f"{r.choice(PLAIN)}-{r.randint(1, 12)}", f"{r.choice(PLAIN)} {r.randint(1, 12)}"))
+        return f'{r.choice(("class", "id", "class"))}="{name}{r.choice(("", "", "-1", " box", " wrap", " " + r.choice(PLAIN)))}"'
+
     def block() -> str:
         kind = r.random()
         if kind < 0.62:
@@ -377,7 +385,7 @@ def labelled_pages(n: int = 1500, seed: int = 11) -> Iterator[str]:
         tag = {"nav": "nav", "header": "header", "footer": "footer", "aside": "aside"}.get(kind, "div")
         bare = tag != "div" and r.random() < 0.6
         tag = tag if bare or r.random() < 0.4 else r.choice(("div", "section", "div", "ul") if kind == "nav" else ("div", "section", "div"))
-        attribute = "" if bare else f' {r.choice(("class", "id", "class"))}="{name}{r.choice(("", "", "-1", " box", " wrap"))}"'
+        attribute = "" if bare else f" {named((name,))}"
         if kind in ("nav", "share"):
             inner = "<ul>" + "".join(f"<li>{link()}</li>" for _ in range(r.randint(2, 8))) + "</ul>" if r.random() < 0.7 else " ".join(link() for _ in range(r.randint(2, 6)))
         elif kind == "comments":
@@ -391,7 +399,8 @@ def labelled_pages(n: int = 1500, seed: int = 11) -> Iterator[str]:
         return f'<{tag}{attribute} data-main="0">{inner}</{tag}>'
 
     def form() -> str:
-        return f'<form data-main="0"><label>{words(2)}</label><input name=q><select><option>{words(1)}<option>{words(1)}</select><p>{prose(1, 20)}</p><button>{words(1)}</button></form>'
+        attribute = "" if r.random() < 0.5 else " " + named(("form", "signup", "login", "search"))
+        return f'<form{attribute} data-main="0"><label>{words(2)}</label><input name=q><select><option>{words(1)}<option>{words(1)}</select><p>{prose(1, 20)}</p><button>{words(1)}</button></form>'
 
     kinds = list(BOILERPLATE)
     for _ in range(n):
@@ -411,9 +420,9 @@ def labelled_pages(n: int = 1500, seed: int = 11) -> Iterator[str]:
         elif shell < 0.6:
             body = f'<main data-main="1">{r.choice((body, f"<article>{body}</article>"))}</main>'
         elif shell < 0.85:
-            body = f'<{(k := r.choice(("div", "section", "div")))} {r.choice(("class", "id"))}="{r.choice(SHELLS)}" data-main="1">{body}</{k}>'
+            body = f'<{(k := r.choice(("div", "section", "div")))} {named(SHELLS)} data-main="1">{body}</{k}>'
         else:
-            body = f'<div data-main="1">{body}</div>'
+            body = f'<div{r.choice(("", f" {named(PLAIN)}"))} data-main="1">{body}</div>'
         around = [other(r.choice(kinds)) if r.random() < 0.9 else form() for _ in range(r.randint(0, 5))]
         k = r.randint(0, len(around))
         page = "".join(around[:k]) + body + "".join(around[k:])
