@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -25,9 +26,9 @@ class Index:
         return {"postings": self.postings, "documents": self.documents, "terms": self.terms, "corpus": self.corpus}
 
 
-def build(docs: DataFrame, id: str = "node_id", text: str = "text", stem: bool = False, tokenizer: Column | None = None) -> Index:
-    """The index of docs; documents without a token are in none of its tables. Postings are written once, and all else comes from them."""
-    found = docs.select(id, F.explode(tokenizer if tokenizer is not None else tokens(F.col(text), stem)).alias("term"))
+def build(docs: DataFrame, id: str = "node_id", text: str = "text", stem: bool = False, tokenizer: Callable[[Column], Column] | None = None) -> Index:
+    """The index of docs; tokenizer makes a column of tokens of a text's. Documents without a token are in none of its tables. Postings are written once, and all else comes from them."""
+    found = docs.select(id, F.explode(tokenizer(F.col(text)) if tokenizer else tokens(F.col(text), stem)).alias("term"))
     postings = settled(found.groupBy(id, "term").agg(F.count("*").alias("tf")))
     documents = postings.groupBy(id).agg(F.sum("tf").alias("dl"))
     corpus = documents.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
@@ -36,9 +37,9 @@ def build(docs: DataFrame, id: str = "node_id", text: str = "text", stem: bool =
     return Index(postings, documents, terms, corpus, id)
 
 
-def search(index: Index, queries: DataFrame, top_k: int | None = 10, text: str = "text", stem: bool = False, tokenizer: Column | None = None) -> DataFrame:
+def search(index: Index, queries: DataFrame, top_k: int | None = 10, text: str = "text", stem: bool = False, tokenizer: Callable[[Column], Column] | None = None) -> DataFrame:
     """(query_id, id, score, rank) for queries(query_id, text); a token counts as often as the query holds it."""
-    wanted = queries.select("query_id", F.explode(tokenizer if tokenizer is not None else tokens(F.col(text), stem)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+    wanted = queries.select("query_id", F.explode(tokenizer(F.col(text)) if tokenizer else tokens(F.col(text), stem)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
     known = wanted.join(index.terms.where("idf > 0"), "term")  # query terms alone reach the postings
     hits = known.join(index.postings, "term").join(index.documents, index.id).crossJoin(F.broadcast(index.corpus))
     term = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))

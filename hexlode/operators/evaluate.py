@@ -59,6 +59,36 @@ def weight_ablation(scored: DataFrame, qrels: DataFrame, k: int = 10, weights=WE
     return summary(metrics(ranked, qrels, k, by=("alpha", "beta")), ("alpha", "beta"))
 
 
+def effectiveness(results: DataFrame, qrels: DataFrame, k: int = 10) -> DataFrame:
+    """(mode, precision, recall, mrr, ndcg, coverage, relevant_finds, avg_score, score_variance, queries): each mode's means over the queries with a relevant node, for results(mode, query_id, node_id, score, rank).
+
+    Coverage is the share of a query's relevant nodes that are found; scores' variance is that of the population.
+    """
+    top = results.where(F.col("rank") <= k)
+    measured = metrics(top, qrels, k, by=("mode",), divisor="k")
+    relevant = qrels.select("query_id", "node_id").distinct()
+    found = top.join(relevant, ["query_id", "node_id"], "left_semi").groupBy("mode", "query_id").agg(F.count("*").alias("finds"))
+    scores = top.groupBy("mode", "query_id").agg(F.avg("score").alias("avg_score"), F.var_pop("score").alias("variance"))
+    joined = measured.join(found, ["mode", "query_id"], "left").join(scores, ["mode", "query_id"], "left").join(relevant.groupBy("query_id").agg(F.count("*").alias("relevant")), "query_id")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    means = {"coverage": zero(F.col("finds")) / F.col("relevant"), "relevant_finds": zero(F.col("finds")), "avg_score": zero(F.col("avg_score")), "score_variance": zero(F.col("variance"))}
+    return joined.groupBy("mode").agg(*(F.round(F.avg(c), 6).alias(c) for c in ("precision", "recall", "mrr", "ndcg")), *(F.round(F.avg(c), 6).alias(n) for n, c in means.items()), F.count("*").alias("queries"))
+
+
+def domain_correct(results: DataFrame, domains: DataFrame, wanted: DataFrame, k: int = 10) -> DataFrame:
+    """(mode, query_id, correct): the share of k results that are of the query's domain; domains(node_id, domain), wanted(query_id, domain)."""
+    right = results.where(F.col("rank") <= k).join(domains.select("node_id", F.col("domain").alias("_own")), "node_id").join(wanted.select("query_id", "domain"), "query_id")
+    return right.groupBy("mode", "query_id").agg(F.round(F.count(F.when(F.col("_own") == F.col("domain"), 1)) / k, 4).alias("correct"))
+
+
+def hidden_gems(results: DataFrame, pairs: DataFrame, k: int = 10) -> DataFrame:
+    """pairs(query_id, node_id) with vector_rank and hybrid_rank, and whether hybrid search alone has found the node."""
+    rank = lambda mode: F.min(F.when((F.col("mode") == mode) & (F.col("rank") <= k), F.col("rank"))).alias(f"{mode}_rank")
+    held = results.groupBy("query_id", "node_id").agg(rank("vector"), rank("hybrid"))
+    joined = pairs.join(held, ["query_id", "node_id"], "left")
+    return joined.withColumn("hidden_gem", F.col("hybrid_rank").isNotNull() & F.col("vector_rank").isNull())
+
+
 def divergence(results: DataFrame, a: str, b: str, k: int = 10) -> DataFrame:
     """(query_id, set_diff, top1_changed, promoted, demoted) between two modes' results."""
     one = results.where((F.col("mode") == a) & (F.col("rank") <= k)).select("query_id", "node_id", F.col("rank").alias("r"))

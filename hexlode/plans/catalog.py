@@ -632,25 +632,131 @@ def hybrid_search(read: Read) -> DataFrame:
     return hybrid.hybrid_search(*_hybrid_inputs(read), parent=None)
 
 
-@query()
-def compare_modes_overlap(read: Read) -> DataFrame:
+# Conditions of the ranking: their candidates are searched for once
+
+
+def _conditions_sql(table, anchored: bool = False, where: str = "true", chunk: bool = False, top_k: int = 10, min_score: float = 0.0) -> str:
+    """CTEs up to res(condition, query_id, node_id, v, g, c, rank) for hybrid.search_conditions; with chunk, odd nodes are chunks of the even ones before them."""
+    base = _HYBRID[: _HYBRID.index("k AS (SELECT *, row_number()")].replace("NULL FROM br", "NULL, true FROM br").replace("score AS cs FROM vr", "score AS cs, false AS lex FROM vr").replace("max(cs) AS cs FROM (SELECT query_id, node_id, score", "max(cs) AS cs, bool_or(lex) AS lex FROM (SELECT query_id, node_id, score")
+    if where != "true":
+        base = base.replace("dst IN (SELECT node_id FROM nd)", f"dst IN (SELECT node_id FROM nd WHERE {where})").replace("WHERE score > 0)", f"WHERE score > 0 AND node_id IN (SELECT node_id FROM nd WHERE {where}))").replace("{TOKENS}", "")
+        base = base.replace("SELECT doc_id AS node_id, text,", "SELECT doc_id AS node_id, text, lang,")
+    up = "CASE WHEN node_id % 2 = 1 THEN node_id - 1 ELSE node_id END" if chunk else "node_id"
+    out = []
+    for i, c in enumerate(table):
+        cs = "cs" if c.vector else "NULL"
+        score = f"coalesce({cs}, {'least(0.65, ov)' if c.boost else '0.0'}) + {c.boost} * ov"
+        own = f"SELECT node_id AS query_id, node_id FROM nd WHERE node_id % 20 = 0" if anchored and c.expand else f"SELECT query_id, node_id FROM k{i} WHERE i <= 3"
+        both = f"SELECT DISTINCT query_id, node_id, 0.0 FROM bo{i} WHERE node_id IN (SELECT node_id FROM nd WHERE {where})" if c.expand else "SELECT query_id, node_id, 0.0 FROM nd, qs WHERE false"
+        out.append(f"""p{i} AS (SELECT query_id, {up} AS node_id, max({score}) AS v FROM o {'' if c.vector else 'WHERE lex'} GROUP BY ALL),
+k{i} AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY v DESC, node_id) AS i FROM (SELECT query_id, node_id, round(least(1.0, v), 6) AS v FROM p{i} WHERE node_id IN (SELECT node_id FROM nd))),
+ref{i} AS ({own}),
+bo{i} AS (SELECT query_id, node_id, 0 AS d FROM ref{i} UNION SELECT query_id, dst, d + 1 FROM bo{i} b JOIN (SELECT src, dst FROM e UNION SELECT dst, src FROM e) g ON g.src = b.node_id WHERE d < 2),
+fo{i} AS (SELECT query_id, node_id, 0 AS d FROM ref{i} UNION SELECT query_id, dst, d + 1 FROM fo{i} b JOIN e ON e.src = b.node_id WHERE d < 2),
+ba{i} AS (SELECT query_id, node_id, 0 AS d FROM ref{i} UNION SELECT query_id, src, d + 1 FROM ba{i} b JOIN e ON e.dst = b.node_id WHERE d < 2),
+px{i} AS (SELECT query_id, node_id, round(1 / (1 + min(d)), 4) AS g FROM (SELECT * FROM fo{i} UNION ALL SELECT * FROM ba{i}) GROUP BY ALL),
+f{i} AS (SELECT query_id, node_id, max(v) AS v FROM (SELECT query_id, node_id, v FROM k{i} WHERE i <= {hybrid.pool(top_k, where != "true")[1]} UNION ALL {both}) GROUP BY ALL),
+h{i} AS (SELECT f.query_id, f.node_id, v, coalesce(g, 0) AS g, round({c.alpha}::DOUBLE * v + {c.beta}::DOUBLE * coalesce(g, 0), 6) AS c, regexp_replace(nd.text, '^\\s+|\\s+$', '', 'g') AS t FROM f{i} f JOIN nd USING (node_id) LEFT JOIN px{i} x ON x.query_id = f.query_id AND x.node_id = f.node_id),
+r{i} AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, node_id) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, t ORDER BY c DESC, node_id) AS j FROM h{i}) WHERE j = 1 AND c >= {min_score})""")
+    union = " UNION ALL ".join(f"SELECT '{c.name}' AS condition, query_id, node_id, v, g, c, rank FROM r{i} WHERE rank <= {top_k}" for i, c in enumerate(table))
+    return f"{base}{', '.join(out)}, res AS ({union})"
+
+
+_SCORES = "query_id, node_id, round(v + 1e-9, 4) AS vector_score, round(g, 4) AS graph_score, round(c + 1e-9, 4) AS combined_score, rank"
+_LABELLED = "lab AS (SELECT node_id, label FROM u WHERE node_id IN (SELECT node_id FROM nd)), qrels AS (SELECT a.node_id AS query_id, b.node_id FROM lab a JOIN lab b USING (label) WHERE a.node_id % 20 = 0)"
+
+
+def _judged_sql(source: str, keys: str, k: int, bottom: str = "got") -> str:
+    """CTEs up to ms(keys, query_id, precision, recall, hit, mrr, ndcg) of source(keys, query_id, node_id, rank) against qrels."""
+    return f"""tot AS (SELECT query_id, count(*) AS relevant FROM qrels GROUP BY ALL), sy AS (SELECT DISTINCT {keys} FROM {source}),
+mk AS (SELECT x.*, CASE WHEN q.node_id IS NULL THEN 0 ELSE 1 END AS rel FROM {source} x LEFT JOIN qrels q ON q.query_id = x.query_id AND q.node_id = x.node_id),
+ag AS (SELECT {keys}, query_id, count(*) FILTER (rank <= {k}) AS got, coalesce(sum(rel) FILTER (rank <= {k}), 0) AS hits, min(CASE WHEN rel = 1 THEN rank END) AS first, coalesce(sum(rel / log2(rank + 1)) FILTER (rank <= {k}), 0) AS dcg FROM mk GROUP BY ALL),
+ms AS (SELECT {keys}, query_id, round(coalesce(hits / nullif({bottom}, 0), 0), 6) AS precision, round(coalesce(hits, 0) / relevant, 6) AS recall, round(coalesce(1 / first, 0), 6) AS mrr, round(coalesce(dcg, 0) / list_sum([1 / log2(i + 1) for i in range(1, least({k}, relevant) + 1)]), 6) AS ndcg FROM tot CROSS JOIN sy LEFT JOIN ag USING ({keys}, query_id))"""
+
+
+_MEANS = "round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall, round(avg(mrr), 6) AS mrr, round(avg(ndcg), 6) AS ndcg"
+
+
+def _label_qrels(nodes: DataFrame, queries: DataFrame) -> DataFrame:
+    """Relevant are the rows with the query's label."""
+    labels = nodes.select("node_id", "label")
+    return labels.join(queries.select(F.col("query_id").alias("node_id")), "node_id").select(F.col("node_id").alias("query_id"), "label").join(labels, "label").select("query_id", "node_id")
+
+
+@query(f"{_conditions_sql(hybrid.ABLATION)}, {_LABELLED}, {_judged_sql('res', 'condition', 10)} SELECT condition, {_MEANS}, count(*) AS queries FROM ms GROUP BY ALL")
+def ablation_conditions(read: Read) -> DataFrame:
+    """The conditions of the ablation by their measures, against rows with the query's label."""
     nodes, edges, queries = _hybrid_inputs(read)
-    return hybrid.mode_overlap(hybrid.compare_modes(nodes, edges, queries, queries.select("query_id", F.col("query_id").alias("node_id")), parent=None))
+    ranked = graph.settled(hybrid.search_conditions(nodes, edges, queries, parent=None))
+    return evaluate.summary(evaluate.metrics(ranked, _label_qrels(nodes, queries), by=("condition",)), ("condition",))
 
 
-@query()
-def compare_systems(read: Read) -> DataFrame:
+@query(f"{_conditions_sql([hybrid.Condition()], anchored=True, where='lang = ' + chr(39) + 'en' + chr(39), chunk=True, top_k=5, min_score=0.3)} SELECT {_SCORES} FROM res")
+def hybrid_anchored(read: Read) -> DataFrame:
+    """With anchors, a filter, chunks that are rolled up, and a least score."""
+    nodes, edges, queries = _hybrid_inputs(read)
+    nodes = nodes.withColumns({"metadata": F.to_json(F.struct("lang")), "parent_id": F.when(F.col("node_id") % 2 == 1, F.col("node_id") - 1)})
+    own = queries.select("query_id", F.col("query_id").alias("node_id"))
+    return hybrid.hybrid_search(nodes, edges, queries, 5, anchors=own, min_score=0.3, where=filters.metadata_filter({"lang": "en"}))
+
+
+_MODES = f"""{_conditions_sql([hybrid.Condition()], anchored=True)},
+vm AS (SELECT query_id, node_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) AS rank FROM (SELECT s.src AS query_id, s.dst AS node_id, s.score, row_number() OVER (PARTITION BY s.src, regexp_replace(nd.text, '^\\s+|\\s+$', '', 'g') ORDER BY s.score DESC, s.dst) AS j FROM s JOIN nd ON nd.node_id = s.dst WHERE s.src IN (SELECT query_id FROM qs) AND s.score >= 0) WHERE j = 1),
+gm AS (SELECT query_id, node_id, round(1 / (1 + d), 4) AS score, row_number() OVER (PARTITION BY query_id ORDER BY d, node_id) AS rank FROM (SELECT query_id, node_id, min(d) AS d FROM bo0 GROUP BY ALL) WHERE d > 0 AND node_id IN (SELECT node_id FROM nd)),
+md AS (SELECT 'vector' AS mode, query_id, node_id, score, rank FROM vm WHERE rank <= 10 UNION ALL SELECT 'graph', query_id, node_id, score, rank FROM gm WHERE rank <= 10 UNION ALL SELECT 'hybrid', query_id, node_id, round(c, 4), rank FROM res)"""
+
+
+def _modes(read: Read) -> tuple[DataFrame, DataFrame, DataFrame]:
     nodes, edges, queries = _hybrid_inputs(read)
-    results = graph.settled(hybrid.compare_modes(nodes, edges, queries, queries.select("query_id", F.col("query_id").alias("node_id")), parent=None))
-    return evaluate.compare_systems(results)
+    return nodes, queries, graph.settled(hybrid.compare_modes(nodes, edges, queries, queries.select("query_id", F.col("query_id").alias("node_id")), parent=None))
+
+
+@query(f"{_MODES}, hd AS (SELECT query_id, node_id, bool_or(mode = 'vector') AS v, bool_or(mode = 'graph') AS g, bool_or(mode = 'hybrid') AS h FROM md GROUP BY ALL) SELECT query_id, count(*) FILTER (v AND NOT h) AS vector_only, count(*) FILTER (g AND NOT h) AS graph_only, count(*) FILTER (h AND NOT v AND NOT g) AS hybrid_unique, count(*) FILTER (v AND g AND h) AS all_three, count(*) FILTER (h AND (v OR g)) AS hybrid_shared FROM hd GROUP BY ALL")
+def compare_modes_overlap(read: Read) -> DataFrame:
+    return hybrid.mode_overlap(_modes(read)[2])
+
 
+_POOLED = "qrels AS (SELECT query_id, node_id FROM md GROUP BY ALL HAVING count(DISTINCT mode) >= 2 OR max(score) >= 0.3)"
 
-@query()
+
+@query(f"{_MODES}, {_POOLED}, {_judged_sql('md', 'mode', 10, '10')}, av AS (SELECT mode, {_MEANS} FROM ms GROUP BY ALL) SELECT *, round((ndcg - (SELECT ndcg FROM av WHERE mode = 'vector')) / greatest((SELECT ndcg FROM av WHERE mode = 'vector'), 0.001) * 100, 4) AS ndcg_gain, (SELECT arg_max(mode, ndcg + precision) FROM av) AS winner FROM av")
+def compare_systems(read: Read) -> DataFrame:
+    return evaluate.compare_systems(_modes(read)[2])
+
+
+@query(f"""{_MODES}, {_LABELLED}, {_judged_sql('md', 'mode', 10, '10')}, fd AS (SELECT mode, query_id, count(*) AS finds FROM md JOIN qrels USING (query_id, node_id) GROUP BY ALL), sc AS (SELECT mode, query_id, avg(score) AS a, var_pop(score) AS w FROM md GROUP BY ALL)
+SELECT mode, {_MEANS}, round(avg(coalesce(finds, 0) / relevant), 6) AS coverage, round(avg(coalesce(finds, 0)), 6) AS relevant_finds, round(avg(coalesce(a, 0)), 6) AS avg_score, round(avg(coalesce(w, 0)), 6) AS score_variance, count(*) AS queries FROM ms JOIN tot USING (query_id) LEFT JOIN fd USING (mode, query_id) LEFT JOIN sc USING (mode, query_id) GROUP BY mode""")
+def effectiveness(read: Read) -> DataFrame:
+    nodes, queries, results = _modes(read)
+    return evaluate.effectiveness(results, _label_qrels(nodes, queries))
+
+
+@query(f"{_MODES}, dm AS (SELECT doc_id AS node_id, lang FROM documents) SELECT mode, query_id, round(count(*) FILTER (a.lang = b.lang) / 10, 4) AS correct FROM md JOIN dm a USING (node_id) JOIN dm b ON b.node_id = md.query_id GROUP BY ALL")
+def domain_correct_fraction(read: Read) -> DataFrame:
+    """How many of each mode's results are in the query's language."""
+    nodes, queries, results = _modes(read)
+    domains = nodes.select("node_id", F.col("lang").alias("domain"))
+    return evaluate.domain_correct(results, domains, domains.withColumnRenamed("node_id", "query_id").join(queries.select("query_id"), "query_id", "left_semi"))
+
+
+@query(f"{_MODES}, pr AS (SELECT src AS query_id, dst AS node_id FROM e WHERE src % 20 = 0) SELECT query_id, node_id, max(CASE WHEN mode = 'vector' THEN rank END) AS vector_rank, max(CASE WHEN mode = 'hybrid' THEN rank END) AS hybrid_rank, coalesce(bool_or(mode = 'hybrid') AND NOT bool_or(mode = 'vector'), false) AS hidden_gem FROM pr LEFT JOIN md USING (query_id, node_id) GROUP BY ALL")
+def hidden_gems(read: Read) -> DataFrame:
+    """The ends of each query's edges, and whether hybrid search alone finds them."""
+    nodes, queries, results = _modes(read)
+    pairs = _similar_edges(read).select(F.col("source_id").alias("query_id"), F.col("target_id").alias("node_id")).join(queries.select("query_id"), "query_id", "left_semi")
+    return evaluate.hidden_gems(results, pairs)
+
+
+_WEIGHTED = f"""{_conditions_sql([hybrid.Condition(expand=False)])}, an AS (SELECT query_id, query_id AS node_id, 0 AS d FROM qs), wf AS (SELECT * FROM an UNION SELECT query_id, dst, d + 1 FROM wf JOIN e ON e.src = wf.node_id WHERE d < 3), wb AS (SELECT * FROM an UNION SELECT query_id, src, d + 1 FROM wb JOIN e ON e.dst = wb.node_id WHERE d < 3),
+nr AS (SELECT query_id, node_id, round(1 / (1 + min(d)), 4) AS g FROM (SELECT * FROM wf UNION ALL SELECT * FROM wb) GROUP BY ALL), wt AS (SELECT unnest({[a for a, _ in evaluate.WEIGHTS]})::DOUBLE AS alpha, unnest({[b for _, b in evaluate.WEIGHTS]})::DOUBLE AS beta),
+sc AS (SELECT alpha, beta, k0.query_id, k0.node_id, round(alpha * k0.v + beta * coalesce(nr.g, 0), 6) AS score FROM k0 CROSS JOIN wt LEFT JOIN nr ON nr.query_id = k0.query_id AND nr.node_id = k0.node_id WHERE k0.i <= 100),
+rk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY alpha, beta, query_id ORDER BY score DESC, node_id) AS rank FROM sc) WHERE rank <= 10)"""
+
+
+@query(f"{_WEIGHTED}, {_LABELLED}, {_judged_sql('rk', 'alpha, beta', 10)} SELECT alpha, beta, {_MEANS}, count(*) AS queries FROM ms GROUP BY ALL")
 def weight_ablation(read: Read) -> DataFrame:
     """Of candidates' vector score and proximity to the query's own node, against rows with the query's label."""
     nodes, edges, queries = _hybrid_inputs(read)
     found = graph.settled(hybrid.candidates(nodes, queries, 10, parent=None))
     near = graph.proximity(edges, found, queries.select("query_id", F.col("query_id").alias("node_id")))
-    labels = nodes.select("node_id", "label")
-    qrels = labels.join(queries.select(F.col("query_id").alias("node_id")), "node_id").select(F.col("node_id").alias("query_id"), "label").join(labels, "label").select("query_id", "node_id")
-    return evaluate.weight_ablation(found.join(near, ["query_id", "node_id"]).select("query_id", "node_id", "v", F.col("proximity").alias("g")), qrels)
+    return evaluate.weight_ablation(found.join(near, ["query_id", "node_id"]).select("query_id", "node_id", "v", F.col("proximity").alias("g")), _label_qrels(nodes, queries))
