@@ -290,8 +290,8 @@ class Join:
         found = found.sort_values("elements")
         return (found["elements"].to_numpy(np.uint64), found["c"].to_numpy(np.int64)), total["square"] / total["n"]
 
-    def postings(self) -> DataFrame:
-        """(key, node) of all lists of two nodes or more; a key stands for its members."""
+    def postings(self) -> tuple[DataFrame, DataFrame]:
+        """(key, node) of all lists of three nodes or more, a key standing for its members; and the pairs (u, v) that are lists of two."""
         hot, scan = self.hot()
         words, percent = self.words, self.percent
         scanned = (self.nodes.agg(F.sum(F.expr(f"n - (({percent} * n + 99) div 100) + 1"))).first()[0] or 0) * scan
@@ -313,8 +313,10 @@ class Join:
             # Frequent elements' lists may hold any share of all sets: aggregated, and joined back with their bounded number of keys.
             heads = often.groupBy("key").agg(*lists).where("a <> b")
             often = often.join(F.broadcast(heads), "key")
-            both = plain.select("node", "x", "c", "a", "b").union(often.select("node", "x", "c", "a", "b"))
-            return keep(both.select(F.xxhash64("x", "c", "a", "b").alias("key"), "node").distinct())
+            both = cut(plain.select("node", "x", "c", "a", "b").union(often.select("node", "x", "c", "a", "b")))
+            lists = both.where("c > 2").select(F.xxhash64("x", "c", "a", "b").alias("key"), "node").distinct()
+            # Most lists hold two members, who have met in whole: a row for each, without what longer lists need.
+            return keep(lists), keep(both.where("c = 2 AND node = a").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct())
 
     def fitting(self, pairs: DataFrame) -> DataFrame:
         """Pairs (u, n, v, m) whose sizes allow a link, each once, as u < v."""
@@ -341,16 +343,20 @@ class Join:
         along = W.partitionBy("node").orderBy("key")
         before_it = F.array_compact(F.array(*(F.lag("key", i).over(along) for i in range(1, SEEN + 1))))
         # Two members who met in one of the lists before this one, in the order of keys, needn't meet again.
-        held = cut(self.postings().join(self.nodes.select("node", "n", *sketches), "node").withColumn("seen", before_it).hint("rebalance", "key"))  # so that partial aggregates by key are small; large lists are split
+        lists, two = self.postings()
+        held = cut(lists.join(self.nodes.select("node", "n", *sketches), "node").withColumn("seen", before_it).hint("rebalance", "key"))  # so that partial aggregates by key are small; large lists are split
         entries, rounds, before = held.count(), 0, float("inf")
         placed, links, checked = held.withColumn("root", F.col("node")), None, None
         twin = [F.col("node").alias("v"), F.col("n").alias("m"), F.col("root").alias("other"), *(F.col(f"s{i}").alias(f"t{i}") for i in range(4))]
+        sized = self.nodes.select("node", "n", *sketches)
+        two = two.join(sized.withColumnRenamed("node", "u"), "u").join(sized.select(F.col("node").alias("v"), *twin[1:2], *twin[3:]), "v")
         while True:
             member = lambda i: F.struct(F.xxhash64("node", F.lit(i + 100 * rounds)).alias("h"), *twin)
             picked = [f(member(i)).alias(f"{name}{i}") for i in range(2**rounds) for name, f in (("least", F.min), ("most", F.max))]
             pivots = placed.groupBy("key").agg(*picked).select("key", F.array_distinct(F.array(*(f"{name}{i}" for i in range(2**rounds) for name in ("least", "most")))).alias("pivots"))
             met = placed.join(pivots, "key").select("node", "n", "root", *sketches, F.explode("pivots").alias("p")).selectExpr("node AS u", "n", "root", *sketches, "p.*")
             pairs = self.fitting(met.where("root <> other"))
+            pairs = pairs if checked is not None else pairs.union(self.fitting(two)).distinct()
             pairs = cut(pairs if checked is None else pairs.join(checked, ["u", "v"], "left_anti"))
             new = self.verified(pairs)
             links, checked = (new, pairs) if links is None else (links.union(new), checked.union(pairs))
