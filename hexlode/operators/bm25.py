@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.text import tokens
 from ..shared import settled
+from ..sources.store import Store
 
 K1, B = 1.5, 0.75
 DECIMALS = 6
@@ -48,6 +49,65 @@ def search(index: Index, queries: DataFrame, top_k: int | None = 10, text: str =
     return ranked.where(F.col("rank") <= top_k) if top_k is not None else ranked
 
 
+#: A term's largest impacts that its row holds; searches for more results aren't pruned.
+KNOWN_IMPACTS = 200
+#: Candidates (16 bytes each) up to which they are broadcast to the postings of terms that alone decide nothing.
+BROADCAST_CANDIDATES = 1_000_000
+#: Different query terms up to which they are named in the scan's filter.
+NAMED_TERMS = 5_000
+
+
+class StoredIndex:
+    """An index in a store: postings with their impacts (what a token of the term adds to a score), sorted by term and dealt out by hash within it, so that a search
+    reads the row groups of its own terms and a common term is in many files; and a row for each term with its largest impacts.
+
+    search() prunes by them, without loss: a query's k-th best score is at least the k-th largest impact of any of its terms. Its weakest terms, those whose
+    largest impacts add up to less, can't bring a document in alone; their postings count for documents that another term has found.
+    """
+
+    def __init__(self, store: Store, id: str = "node_id") -> None:
+        self.store, self.id = store, id
+
+    @classmethod
+    def publish(cls, index: Index, store: Store, tokenizer: str = "plain") -> StoredIndex:
+        """The index as the store's next version."""
+        impact = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+        rows = index.postings.join(index.terms.where("idf > 0").select("term", "idf"), "term").join(index.documents, index.id).crossJoin(F.broadcast(index.corpus.select("avgdl")))
+        rows = settled(rows.select("term", index.id, impact.alias("impact")))
+        # the largest of each part of a term first, so that a common term isn't gathered in one task
+        part = F.pmod(F.xxhash64(index.id), F.lit(256))
+        best = rows.withColumn("_part", part).withColumn("_p", F.row_number().over(W.partitionBy("term", "_part").orderBy(F.desc("impact")))).where(F.col("_p") <= KNOWN_IMPACTS)
+        top = best.groupBy("term").agg(F.slice(F.sort_array(F.collect_list("impact"), asc=False), 1, KNOWN_IMPACTS).alias("top"))  # 256 times KNOWN_IMPACTS at most
+        store.initialize()
+        by_term = rows.repartitionByRange("term", F.xxhash64(index.id)).sortWithinPartitions("term", F.desc("impact"))
+        store.save(None, {"metadata": {"tokenizer": tokenizer}}, postings=by_term, terms=index.terms.join(top, "term", "left"), corpus=index.corpus)
+        return cls(store, index.id)
+
+    def search(self, queries: DataFrame, top_k: int = 10, text: str = "text", stem: bool = False, prune: bool = True) -> DataFrame:
+        """As search(), from the stored postings."""
+        wanted = queries.select("query_id", F.explode(tokens(F.col(text), stem)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+        known = wanted.join(self.store.load("terms").where("idf > 0").select("term", "top"), "term")
+        bound = F.col("qtf") * F.get("top", F.lit(0))
+        per_query, rising = W.partitionBy("query_id"), W.partitionBy("query_id").orderBy("bound", "term").rowsBetween(W.unboundedPreceding, W.currentRow)
+        least = F.max(F.col("qtf") * F.get("top", F.lit(top_k - 1))).over(per_query)
+        # a margin for rounding; without k impacts of one term there is no bound
+        weak = F.coalesce(F.sum("bound").over(rising) < least - 2 * 10.0**-DECIMALS, F.lit(False)) if prune and top_k <= KNOWN_IMPACTS else F.lit(False)
+        marked = settled(known.withColumn("bound", bound).withColumn("weak", weak).select("query_id", "term", "qtf", "weak"))
+        named = [r[0] for r in marked.select("term").distinct().limit(NAMED_TERMS + 1).collect()]
+        postings = self.store.load("postings")
+        postings = postings.where(F.col("term").isin(named)) if len(named) <= NAMED_TERMS else postings
+        part = lambda weak: marked.where(F.col("weak") == weak).join(postings, "term").select("query_id", self.id, (F.col("qtf") * F.col("impact")).alias("x"))
+        strong = part(False).groupBy("query_id", self.id).agg(F.sum("x").alias("x"))
+        if not marked.where("weak").isEmpty():
+            strong = settled(strong)
+            pairs = strong.select("query_id", self.id)
+            rest = part(True).join(F.broadcast(pairs) if pairs.count() <= BROADCAST_CANDIDATES else pairs, ["query_id", self.id], "left_semi")
+            strong = strong.union(rest).groupBy("query_id", self.id).agg(F.sum("x").alias("x"))
+        scored = strong.select("query_id", self.id, F.round("x", DECIMALS).alias("score")).where("score > 0")
+        ranked = scored.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), self.id)))
+        return ranked.where(F.col("rank") <= top_k)
+
+
 def save(index: Index, folder: str) -> None:
     for name, df in index.tables().items():
         df.write.mode("overwrite").parquet(f"{folder}/{name}")

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from ..functions import filters, text as X, vectors as V
 from ..operators import bm25, changes, evaluate, forest, graph, hybrid, ingest, ivf, vector
 from ..shared import fresh_dir
+from ..sources.store import Store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -208,6 +209,14 @@ def bm25_topk(read: Read) -> DataFrame:
     return bm25.search(_index(read), _benchmark(read))
 
 
+@query(f"WITH {BM25_TOP} SELECT * FROM top")
+def bm25_stored(read: Read) -> DataFrame:
+    """From an index that is written once, with terms pruned by their largest impacts."""
+    index = _index(read)
+    spark = index.postings.sparkSession
+    return bm25.StoredIndex.publish(index, Store(spark, fresh_dir(spark, "bm25"))).search(_benchmark(read))
+
+
 @query(f"WITH {TURN}, q AS (SELECT p.target_id AS node_id, list_distinct({TOKENS.format('a.text')}) AS q, list_distinct({TOKENS.format('b.text')}) AS t FROM p JOIN t a ON a.node_id = p.source_id JOIN t b ON b.node_id = p.target_id) SELECT node_id, round(CASE WHEN len(q) = 0 THEN 0 ELSE len(list_intersect(q, t)) / len(q) END, 6) AS overlap FROM q")
 def lexical_overlap(read: Read) -> DataFrame:
     """Of each turn with the one before it."""
