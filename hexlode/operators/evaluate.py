@@ -62,7 +62,7 @@ def weight_ablation(scored: DataFrame, qrels: DataFrame, k: int = 10, weights=WE
 def effectiveness(results: DataFrame, qrels: DataFrame, k: int = 10) -> DataFrame:
     """(mode, precision, recall, mrr, ndcg, coverage, relevant_finds, avg_score, score_variance, queries): each mode's means over the queries with a relevant node, for results(mode, query_id, node_id, score, rank).
 
-    Coverage is the share of a query's relevant nodes that are found; scores' variance is that of the population.
+    Coverage is the share of a query's relevant nodes that are found; scores' variance is that of the population; means have four decimals.
     """
     top = results.where(F.col("rank") <= k)
     measured = metrics(top, qrels, k, by=("mode",), divisor="k")
@@ -72,7 +72,7 @@ def effectiveness(results: DataFrame, qrels: DataFrame, k: int = 10) -> DataFram
     joined = measured.join(found, ["mode", "query_id"], "left").join(scores, ["mode", "query_id"], "left").join(relevant.groupBy("query_id").agg(F.count("*").alias("relevant")), "query_id")
     zero = lambda c: F.coalesce(c, F.lit(0))
     means = {"coverage": zero(F.col("finds")) / F.col("relevant"), "relevant_finds": zero(F.col("finds")), "avg_score": zero(F.col("avg_score")), "score_variance": zero(F.col("variance"))}
-    return joined.groupBy("mode").agg(*(F.round(F.avg(c), 6).alias(c) for c in ("precision", "recall", "mrr", "ndcg")), *(F.round(F.avg(c), 6).alias(n) for n, c in means.items()), F.count("*").alias("queries"))
+    return joined.groupBy("mode").agg(*(F.round(F.avg(c), 4).alias(c) for c in ("precision", "recall", "mrr", "ndcg")), *(F.round(F.avg(c), 4).alias(n) for n, c in means.items()), F.count("*").alias("queries"))
 
 
 def domain_correct(results: DataFrame, domains: DataFrame, wanted: DataFrame, k: int = 10) -> DataFrame:

@@ -734,7 +734,7 @@ def compare_systems(read: Read) -> DataFrame:
 
 
 @query(f"""{_MODES}, {_LABELLED}, {_judged_sql('md', 'mode', 10, '10')}, fd AS (SELECT mode, query_id, count(*) AS finds FROM md JOIN qrels USING (query_id, node_id) GROUP BY ALL), sc AS (SELECT mode, query_id, avg(score) AS a, var_pop(score) AS w FROM md GROUP BY ALL)
-SELECT mode, {_MEANS}, round(avg(coalesce(finds, 0) / relevant), 6) AS coverage, round(avg(coalesce(finds, 0)), 6) AS relevant_finds, round(avg(coalesce(a, 0)), 6) AS avg_score, round(avg(coalesce(w, 0)), 6) AS score_variance, count(*) AS queries FROM ms JOIN tot USING (query_id) LEFT JOIN fd USING (mode, query_id) LEFT JOIN sc USING (mode, query_id) GROUP BY mode""")
+SELECT mode, {_MEANS.replace(', 6)', ', 4)')}, round(avg(coalesce(finds, 0) / relevant), 4) AS coverage, round(avg(coalesce(finds, 0)), 4) AS relevant_finds, round(avg(coalesce(a, 0)), 4) AS avg_score, round(avg(coalesce(w, 0)), 4) AS score_variance, count(*) AS queries FROM ms JOIN tot USING (query_id) LEFT JOIN fd USING (mode, query_id) LEFT JOIN sc USING (mode, query_id) GROUP BY mode""")
 def effectiveness(read: Read) -> DataFrame:
     nodes, queries, results = _modes(read)
     return evaluate.effectiveness(results, _label_qrels(nodes, queries))
@@ -748,7 +748,7 @@ def domain_correct_fraction(read: Read) -> DataFrame:
     return evaluate.domain_correct(results, domains, domains.withColumnRenamed("node_id", "query_id").join(queries.select("query_id"), "query_id", "left_semi"))
 
 
-@query(f"{_MODES}, pr AS (SELECT src AS query_id, dst AS node_id FROM e WHERE src % 20 = 0) SELECT query_id, node_id, max(CASE WHEN mode = 'vector' THEN rank END) AS vector_rank, max(CASE WHEN mode = 'hybrid' THEN rank END) AS hybrid_rank, coalesce(bool_or(mode = 'hybrid') AND NOT bool_or(mode = 'vector'), false) AS hidden_gem FROM pr LEFT JOIN md USING (query_id, node_id) GROUP BY ALL")
+@query(f"{_MODES}, pr AS (SELECT src AS query_id, dst AS node_id FROM e WHERE src IN (SELECT query_id FROM qs)) SELECT query_id, node_id, max(CASE WHEN mode = 'vector' THEN rank END) AS vector_rank, max(CASE WHEN mode = 'hybrid' THEN rank END) AS hybrid_rank, coalesce(bool_or(mode = 'hybrid') AND NOT bool_or(mode = 'vector'), false) AS hidden_gem FROM pr LEFT JOIN md USING (query_id, node_id) GROUP BY ALL")
 def hidden_gems(read: Read) -> DataFrame:
     """The ends of each query's edges, and whether hybrid search alone finds them."""
     nodes, queries, results = _modes(read)
