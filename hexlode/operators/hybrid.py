@@ -11,8 +11,9 @@ from dataclasses import dataclass, fields
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions.text import overlap, strip, tokens
+from ..functions.text import strip, tokens
 from ..schema import DEFAULT_ALPHA, DEFAULT_BETA, check_bounds
+from ..shared import settled
 from . import bm25, graph, vector
 
 BOOST = 0.25
@@ -46,17 +47,17 @@ ABLATION = (
 
 
 def _pooled(nodes: DataFrame, queries: DataFrame, top_k: int, where: Column | None, stem: bool, parent: str | None) -> DataFrame:
-    """(query_id, node_id, parent, cosine, lexical, share): the candidates of vectors and of BM25, for any condition; texts are tokenised once for it."""
+    """(query_id, node_id, parent, cosine, lexical, share): the candidates of vectors and of BM25, for any condition; texts are tokenised once for it, and shares are counted where groups of queries meet groups of documents."""
     _, kept = pool(top_k, where is not None)
     rows = nodes.where(where) if where is not None else nodes
     near = vector.vector_search(rows, queries, kept, 0.0).select("query_id", "node_id", F.col("score").alias("cosine"))
-    lexical = bm25.search(bm25.build(nodes, stem=stem), queries, None if where is not None else kept, stem=stem).select("query_id", "node_id", "rank")
-    lexical = lexical.join(rows.select("node_id"), "node_id", "left_semi")
-    lexical = lexical.withColumn("_p", F.row_number().over(W.partitionBy("query_id").orderBy("rank"))).where(F.col("_p") <= kept).select("query_id", "node_id", F.lit(True).alias("lexical"))
-    both = near.join(lexical, ["query_id", "node_id"], "full_outer")
+    index = bm25.build(nodes, stem=stem)
+    lexical = bm25.search(index, queries, kept, stem=stem, among=rows if where is not None else None).select("query_id", "node_id", F.lit(True).alias("lexical"))
     up = F.col(parent).alias("_parent") if parent else F.lit(None).alias("_parent")
-    words = both.join(rows.select("node_id", tokens(F.col("text"), stem).alias("_t"), up), "node_id").join(queries.select("query_id", tokens(F.col("text"), stem).alias("_q")), "query_id")
-    return words.select("query_id", "node_id", "_parent", "cosine", F.coalesce("lexical", F.lit(False)).alias("lexical"), overlap(F.col("_q"), F.col("_t")).alias("share"))
+    both = settled(near.join(lexical, ["query_id", "node_id"], "full_outer").join(rows.select("node_id", F.col("text").isNull().alias("_null"), up), "node_id"))
+    words = both.join(bm25.shares(index, queries, both, stem=stem), ["query_id", "node_id"], "left").join(queries.select("query_id", F.size(F.array_distinct(tokens(F.col("text"), stem))).alias("_n")), "query_id")
+    share = F.when(~F.coalesce(F.col("_n") > 0, F.lit(False)), 0.0).when(~F.col("_null"), F.coalesce("share", F.lit(0.0)))
+    return words.select("query_id", "node_id", "_parent", "cosine", F.coalesce("lexical", F.lit(False)).alias("lexical"), share.alias("share"))
 
 
 def _conditions(rows: DataFrame, table: Sequence[Condition]) -> DataFrame:
@@ -107,7 +108,7 @@ def search_conditions(
     weight = lambda name: F.element_at(F.array(*(F.lit(getattr(c, name)) for c in table)), F.col("query_id._c") + 1)
     scored = fused.withColumn("combined", F.round(weight("alpha") * F.col("v") + weight("beta") * F.col("proximity"), vector.DECIMALS))
     if deduplicate:
-        scored = scored.join(nodes.select("node_id", strip(F.col("text")).alias("_text")), "node_id")
+        scored = scored.join(nodes.select("node_id", F.md5(strip(F.col("text"))).alias("_text")), "node_id")  # equal texts by their digests
         scored = scored.withColumn("_p", F.row_number().over(W.partitionBy("query_id", "_text").orderBy(F.desc("combined"), "node_id"))).where("_p = 1")
     scored = scored.where(F.col("combined") >= min_score).withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("combined"), "node_id"))).where(F.col("rank") <= top_k)
     return scored.select(weight("name").alias("condition"), "query_id.query_id", "node_id", F.round("v", 4).alias("vector_score"), F.round("proximity", 4).alias("graph_score"), F.round("combined", 4).alias("combined_score"), "rank")

@@ -161,7 +161,7 @@ def vector_search(
     rows = vectors.where(where) if where is not None else vectors
     if text is None:
         return similar(queries, rows, top_k, "query_id", id, min_score=min_score).select("query_id", id, "score", "rank")
-    rows = rows.withColumn("_text", strip(F.col(text)))
+    rows = rows.withColumn("_text", F.md5(strip(F.col(text))))  # the text itself isn't sent along with each pair
     found = similar(queries, rows, top_k, "query_id", id, min_score=min_score, distinct="_text").join(rows.select(id, "_text"), id)
     best = F.row_number().over(W.partitionBy("query_id", "_text").orderBy(F.desc("score"), id))
     found = found.withColumn("_best", best).where("_best = 1").drop("rank")
