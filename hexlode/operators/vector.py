@@ -12,11 +12,11 @@ from ..functions.text import strip
 from ..functions.vectors import cosine, normalized
 
 #: Vectors of each side that meet in one task, at most and (to keep all tasks busy) at least, and bytes of theirs.
-GROUP, LEAST_GROUP, GROUP_BYTES = 4096, 256, 64 << 20
+GROUP, LEAST_GROUP, GROUP_BYTES = 16384, 256, 64 << 20
 #: Decimals that similarities are rounded to before they are ranked, so that sums in another order rank alike.
 DECIMALS = 6
-#: Left vectors that are multiplied at once.
-TILE = 512
+#: Left vectors that are multiplied at once; right ones whose k-th best score bounds what the others must reach; pairs that are scored in doubles at once.
+TILE, SAMPLE, PAIRS = 512, 1024, 1 << 17
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -41,13 +41,10 @@ def _best(rows: np.ndarray, columns: np.ndarray, scores: np.ndarray, ids: np.nda
     return order[np.arange(len(r)) - np.searchsorted(r, r, side="left") < k]
 
 
-def _likely(s: np.ndarray, keep: np.ndarray, k: int) -> np.ndarray:
-    """keep without scores below the k-th best of their row: what is left has the k best and their ties."""
-    if s.shape[1] <= 4 * k:
-        return keep
-    masked = np.where(keep, s, -np.inf)
-    bar = -np.partition(-masked, k - 1, axis=1)[:, k - 1]
-    return keep & (s >= bar[:, None])
+def _exact(a: np.ndarray, b: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """The pairs' rounded scores, of doubles."""
+    parts = [np.einsum("ij,ij->i", a[rows[i : i + PAIRS]], b[columns[i : i + PAIRS]]) for i in range(0, len(rows), PAIRS)]
+    return np.round(np.concatenate(parts), DECIMALS) if parts else np.empty(0)
 
 
 @dataclass(frozen=True)
@@ -63,35 +60,63 @@ class Meeting:
     distinct: bool = False
     best_pairs: int | None = None
 
+    def found(self, x: pa.Table, y: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places in x and y, and scores, of the kept pairs. Single-precision products find what may count, by a margin above their error; it is scored again in doubles."""
+        least = -np.inf if self.min_score is None else self.min_score
+        ids_a, ids_b = x.column("id").to_numpy(zero_copy_only=False), y.column("id").to_numpy(zero_copy_only=False)
+        if self.same_group is not None:
+            codes = pa.chunked_array([*x.column("g").chunks, *y.column("g").chunks], pa.string()).combine_chunks().dictionary_encode()
+            codes = (pa.concat_arrays([c.indices for c in codes.chunks]) if isinstance(codes, pa.ChunkedArray) else codes.indices).to_numpy(zero_copy_only=False)
+            groups = codes[: x.num_rows], codes[x.num_rows :]
+        ma, mb, keys = _matrix(x.column("v")), _matrix(y.column("v")), y.column("t").to_numpy() if self.distinct else None
+        if not len(ma) or not len(mb):
+            return (np.empty(0, dtype=int),) * 2 + (np.empty(0),)
+        fa, fb = ma.astype(np.float32), mb.astype(np.float32)
+        margin = 1.2e-7 * (ma.shape[1] + 8) + 2 * 10.0**-DECIMALS
+
+        def allowed(rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+            keep = np.ones(np.broadcast_shapes(rows.shape, columns.shape), dtype=bool)
+            if self.exclude_self:
+                keep &= ids_a[rows] != ids_b[columns]
+            if self.half:
+                keep &= ids_a[rows] < ids_b[columns]
+            if self.same_group is not None:
+                equal = groups[0][rows] == groups[1][columns]
+                keep &= equal if self.same_group else ~equal
+            return keep
+
+        some = np.sort(np.unique(keys, return_index=True)[1])[: max(SAMPLE, 8 * (self.k or 0))] if keys is not None else np.arange(min(len(mb), max(SAMPLE, 8 * (self.k or 0))))
+        out: list[tuple] = []
+        for at in range(0, len(ma), TILE):
+            here = np.arange(at, min(at + TILE, len(ma)))
+            s = fa[here] @ fb.T
+            bar = np.full(len(here), least - margin, dtype=np.float64)
+            if self.k is not None and len(some) >= self.k:
+                shown = np.where(allowed(here[:, None], some[None, :]), s[:, some], np.float32(-np.inf))
+                np.maximum(bar, np.partition(shown, len(some) - self.k, axis=1)[:, len(some) - self.k] - margin, out=bar)
+            rows, columns = np.divmod(np.flatnonzero((s >= bar.astype(np.float32)[:, None] - np.float32(margin / 8)).ravel()), len(mb))
+            rows = rows + at
+            keep = allowed(rows, columns)
+            rows, columns = rows[keep], columns[keep]
+            scores = _exact(ma, mb, rows, columns)
+            keep = scores > least if self.strict else scores >= least
+            rows, columns, scores = rows[keep], columns[keep], scores[keep]
+            if self.k is not None and len(rows):
+                best = _best(rows, columns, scores, ids_b, keys, self.k)
+                rows, columns, scores = rows[best], columns[best], scores[best]
+            out.append((rows, columns, scores))
+        rows, columns, scores = (np.concatenate(z) for z in zip(*out, strict=True))
+        return rows, columns, scores
+
     def pairs(self, a: DataFrame, b: DataFrame, keys: list[str], names: tuple[str, str], kinds: tuple[str, str]) -> DataFrame:
         """(names..., score, _group) of the rows (id, g, v, t) of a and b that have the same keys; v of one key are of one length."""
-        least = -np.inf if self.min_score is None else self.min_score
 
         def compared(x: pa.Table, y: pa.Table) -> pa.Table:
-            ids_a, ids_b = x.column("id").to_numpy(zero_copy_only=False), y.column("id").to_numpy(zero_copy_only=False)
-            groups = [np.array(t.column("g").to_pylist(), dtype=object) for t in (x, y)]
-            ma, mb, same_text = _matrix(x.column("v")), _matrix(y.column("v")), y.column("t").to_numpy() if self.distinct else None
-            found: list[tuple] = []
-            for at in range(0, len(ma) if len(mb) else 0, TILE):
-                s = np.round(ma[at : at + TILE] @ mb.T, DECIMALS)
-                keep = s > least if self.strict else s >= least
-                if self.exclude_self:
-                    keep &= ids_a[at : at + TILE, None] != ids_b[None, :]
-                if self.half:
-                    keep &= ids_a[at : at + TILE, None] < ids_b[None, :]
-                if self.same_group is not None:
-                    equal = groups[0][at : at + TILE, None] == groups[1][None, :]
-                    keep &= equal if self.same_group else ~equal
-                rows, columns = np.nonzero(keep if self.k is None or self.distinct else _likely(s, keep, self.k))
-                scores = s[rows, columns]
-                if self.k is not None and len(rows):
-                    some = _best(rows, columns, scores, ids_b, same_text, self.k)
-                    rows, columns, scores = rows[some], columns[some], scores[some]
-                found.append((rows + at, columns, scores))
-            rows, columns, scores = (np.concatenate(z) for z in zip(*found, strict=True)) if found else (np.empty(0, dtype=int),) * 3
+            rows, columns, scores = self.found(x, y)
             if self.best_pairs is not None and len(rows):
-                place = {g: i for i, g in enumerate(dict.fromkeys(groups[0]))}
-                group_of = np.array([place[g] for g in groups[0]])
+                ids_a, ids_b, of = x.column("id").to_numpy(zero_copy_only=False), y.column("id").to_numpy(zero_copy_only=False), x.column("g").to_pylist()
+                place = {g: i for i, g in enumerate(dict.fromkeys(of))}
+                group_of = np.array([place[g] for g in of])
                 order = np.lexsort((ids_b[columns], ids_a[rows], -scores, group_of[rows]))
                 g = group_of[rows][order]
                 some = order[np.arange(len(g)) - np.searchsorted(g, g, side="left") < self.best_pairs]
@@ -106,21 +131,14 @@ def pair_names(left_id: str, right_id: str) -> tuple[str, str]:
     return left_id if left_id != right_id else f"source_{left_id}", right_id if left_id != right_id else f"target_{right_id}"
 
 
-def similar(
-    left: DataFrame, right: DataFrame, k: int | None, left_id: str, right_id: str, vector: str = "embedding", min_score: float | None = None, strict: bool = False,
-    exclude_self: bool = False, half: bool = False, left_group: str | None = None, right_group: str | None = None, same_group: bool | None = None, distinct: str | None = None, best_pairs: int | None = None,
-) -> DataFrame:
-    """(left_id, right_id, score, rank): the k most similar rows of right for each row of left, by cosine, ties by id; all with k None.
+#: Columns whose values are equal where rows of two sides meet.
+MEET = ["of", "one", "two", "dim"]
 
-    min_score is kept from (strict: above). half keeps each unordered pair once; same_group keeps pairs of one group (False: of two). With distinct, of right rows
-    with one value of that column the best counts alone. best_pairs keeps that many pairs of each left group, ranked within it. Vectors of different lengths,
-    and with same_group null groups, pair with nothing.
 
-    Both sides are dealt into groups by hash, and each pair of groups meets in one task, so that a vector is sent once for each group of the other side;
-    a task keeps its own best k of each left row (its best pairs), so what is ranked in the end is bounded by them and not by all pairs.
-    """
-    kinds = dict(left.dtypes)[left_id], dict(right.dtypes)[right_id]
-    names = pair_names(left_id, right_id)
+def dealt(
+    left: DataFrame, right: DataFrame, left_id: str, right_id: str, vector: str = "embedding", left_group: str | None = None, right_group: str | None = None, same_group: bool | None = None, distinct: str | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Both sides' rows (id, g, v, t), once for each group of the other side, with the columns MEET."""
 
     def side(df: DataFrame, id: str, group: str | None, key: str | None) -> tuple[DataFrame, int, int]:
         columns = [F.col(id).alias("id"), (F.col(group).cast("string") if group else F.lit(None).cast("string")).alias("g"), F.col(vector).alias("v")]
@@ -136,9 +154,26 @@ def similar(
     own = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     label = [F.col("g").alias("of") if same_group else F.lit(None).cast("string").alias("of")]  # groups that can't pair don't meet
-    a, b = a.select("*", *label, own(na).alias("one"), every(nb).alias("two")), b.select("*", *label, own(nb).alias("two"), every(na).alias("one"))
+    return a.select("*", *label, own(na).alias("one"), every(nb).alias("two")), b.select("*", *label, own(nb).alias("two"), every(na).alias("one"))
+
+
+def similar(
+    left: DataFrame, right: DataFrame, k: int | None, left_id: str, right_id: str, vector: str = "embedding", min_score: float | None = None, strict: bool = False,
+    exclude_self: bool = False, half: bool = False, left_group: str | None = None, right_group: str | None = None, same_group: bool | None = None, distinct: str | None = None, best_pairs: int | None = None,
+) -> DataFrame:
+    """(left_id, right_id, score, rank): the k most similar rows of right for each row of left, by cosine, ties by id; all with k None.
+
+    min_score is kept from (strict: above). half keeps each unordered pair once; same_group keeps pairs of one group (False: of two). With distinct, of right rows
+    with one value of that column the best counts alone. best_pairs keeps that many pairs of each left group, ranked within it. Vectors of different lengths,
+    and with same_group null groups, pair with nothing.
+
+    Both sides are dealt into groups by hash, and each pair of groups meets in one task, so that a vector is sent once for each group of the other side;
+    a task keeps its own best k of each left row (its best pairs), so what is ranked in the end is bounded by them and not by all pairs.
+    """
+    kinds, names = (dict(left.dtypes)[left_id], dict(right.dtypes)[right_id]), pair_names(left_id, right_id)
+    a, b = dealt(left, right, left_id, right_id, vector, left_group, right_group, same_group, distinct)
     meeting = Meeting(k, min_score, strict, exclude_self, half, same_group, distinct is not None, best_pairs)
-    pairs = meeting.pairs(a, b, ["of", "one", "two", "dim"], names, kinds)
+    pairs = meeting.pairs(a, b, MEET, names, kinds)
     if best_pairs is not None:
         ranked = pairs.withColumn("rank", F.row_number().over(W.partitionBy("_group").orderBy(F.desc("score"), *names)))
         return ranked.where(F.col("rank") <= best_pairs).withColumnRenamed("_group", "group")

@@ -423,9 +423,7 @@ c AS (SELECT threshold, a, min(b) AS c FROM r GROUP BY ALL), z AS (SELECT thresh
 SELECT threshold, (SELECT count(*) FROM e WHERE w >= z.threshold) AS edges, count(*) AS components, max(n) AS largest FROM z GROUP BY threshold""")
 def threshold_sweep(read: Read) -> DataFrame:
     """The graph of similar vectors at several thresholds, from one spanning forest."""
-    v = vectors_of(read)
-    found = vector.similar(v, v, None, "node_id", "node_id", min_score=min(_THRESHOLDS), half=True)
-    return forest.sweep(v, graph.settled(found.select(F.col("source_node_id").alias("source_id"), F.col("target_node_id").alias("target_id"), F.col("score").alias("weight"))), _THRESHOLDS)
+    return forest.similarity_sweep(vectors_of(read), _THRESHOLDS)
 
 
 # Changes
