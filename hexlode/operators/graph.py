@@ -75,38 +75,74 @@ def component(edges: DataFrame, starts: DataFrame, most: int = 100, depth: int =
     return found.withColumn("_p", F.row_number().over(W.partitionBy("query_id").orderBy("depth", "node_id"))).where(F.col("_p") <= most).select("query_id", "node_id", "depth")
 
 
-def proximity(edges: DataFrame, candidates: DataFrame, anchors: DataFrame, max_depth: int = 3) -> DataFrame:
-    """(query_id, node_id, proximity): 1 for an anchor, else 1 / (1 + d) of the shortest directed path from or to an anchor, 0 beyond max_depth."""
+def _nearest(edges: DataFrame, anchors: DataFrame, max_depth: int) -> DataFrame:
+    """(query_id, node_id, d): the least number of directed steps from or to an anchor, of nodes within max_depth."""
     ways = [bfs(edges, anchors, max_depth, way).select("query_id", "node_id", "depth") for way in ("outgoing", "incoming")]
     seeds = anchors.select("query_id", "node_id", F.lit(0).alias("depth"))
-    nearest = seeds.union(ways[0]).union(ways[1]).groupBy("query_id", "node_id").agg(F.min("depth").alias("d"))
-    joined = candidates.select("query_id", "node_id").distinct().join(nearest, ["query_id", "node_id"], "left")
+    return seeds.union(ways[0]).union(ways[1]).groupBy("query_id", "node_id").agg(F.min("depth").alias("d"))
+
+
+def proximity(edges: DataFrame, candidates: DataFrame, anchors: DataFrame, max_depth: int = 3) -> DataFrame:
+    """(query_id, node_id, proximity): 1 for an anchor, else 1 / (1 + d) of the shortest directed path from or to an anchor, 0 beyond max_depth."""
+    joined = candidates.select("query_id", "node_id").distinct().join(_nearest(edges, anchors, max_depth), ["query_id", "node_id"], "left")
     return joined.select("query_id", "node_id", F.round(F.when(F.col("d").isNull(), 0.0).otherwise(1 / (1 + F.col("d"))), 4).alias("proximity"))
 
 
+def proximity_of_all(edges: DataFrame, nodes: DataFrame, anchors: DataFrame, max_depth: int = 3) -> DataFrame:
+    """proximity() of every one of nodes(node_id) for every query of anchors: each node holds its few near queries, and all pairs are made last, without a shuffle of theirs."""
+    near = _nearest(edges, anchors, max_depth).groupBy("node_id").agg(F.map_from_entries(F.collect_list(F.struct("query_id", F.round(1 / (1 + F.col("d")), 4).alias("p")))).alias("near"))
+    rows = nodes.select("node_id").distinct().join(near, "node_id", "left").repartition(4 * nodes.sparkSession.sparkContext.defaultParallelism, "node_id")
+    pairs = rows.crossJoin(F.broadcast(anchors.select("query_id").distinct()))  # the queries' ids alone
+    return pairs.select("query_id", "node_id", F.coalesce(F.try_element_at("near", F.col("query_id")), F.lit(0.0)).alias("proximity"))
+
+
+def _whole(one: DataFrame, other: DataFrame) -> DataFrame:
+    """(query_id, _t, b): paths through the nodes that states of the first side in one and of the second in other share."""
+    f = one.where("side = 0").select("query_id", "_t", "node_id", F.col("b").alias("f"))
+    g = other.where("side = 1").select("query_id", "_t", "node_id", F.col("b").alias("g"))
+    add = lambda c: F.round(F.col(f"f.{c}") + F.col(f"g.{c}"), 9).alias(c)
+    path = F.concat("f.path", F.slice("g.path", 2, F.size("g.path"))).alias("path")
+    return f.join(g, ["query_id", "_t", "node_id"]).select("query_id", "_t", F.struct(add("cost"), (F.col("f.hops") + F.col("g.hops")).alias("hops"), path, add("total")).alias("b"))
+
+
 def shortest_paths(edges: DataFrame, pairs: DataFrame, weighted: bool = True, rounds: int | None = None) -> DataFrame:
     """(query_id, path, length, cost, total_weight) for pairs(query_id, source_id, target_id), along edges, at a cost of 1 / max(weight, 0.01) each.
 
     Of paths of one cost that with fewer hops, then the least, is taken; costs are rounded so that sums in another order tie.
-    Rounds go on until nothing is improved, one for each hop at least; more than rounds, if given, raise an error.
+    A pair is searched from both ends, a hop a round, the end with far more nodes waiting. After i and j hops the best path of up to i + j is known; a longer one goes through nodes that
+    were reached or improved in the last hop of either end, so that a pair is done when either has none, and a node goes no further whose cost and the other
+    end's least are beyond the best path. More rounds than given, if so, raise an error.
     """
     cost = F.round(1 / F.greatest(F.col("weight"), F.lit(0.01)), 9) if weighted else F.lit(1.0)
     steps = settled(edges.select(F.col("source_id").alias("src"), F.col("target_id").alias("dst"), cost.alias("step"), F.col("weight").cast("double").alias("w")))
-    best = pairs.select("query_id", F.col("source_id").alias("node_id"), F.struct(F.lit(0.0).alias("cost"), F.lit(0).alias("hops"), F.array("source_id").alias("path"), F.lit(0.0).alias("total")).alias("b")).distinct()
-    frontier = best
+    least = steps.agg(F.min("step")).first()[0] or 0.0
+    both = steps.select(F.lit(0).alias("side"), F.col("src").alias("node_id"), F.col("dst").alias("to"), "step", "w").union(steps.select(F.lit(1), "dst", "src", "step", "w"))
+    key, state = ["query_id", "_t"], ["query_id", "_t", "side", "node_id"]
+    asked = pairs.select("query_id", F.col("target_id").alias("_t"), F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("source_id").alias("node_id")), F.struct(F.lit(1).alias("side"), F.col("target_id").alias("node_id")))).alias("x"))
+    zero = F.struct(F.lit(0.0).alias("cost"), F.lit(0).alias("hops"), F.array("node_id").alias("path"), F.lit(0.0).alias("total"))
+    best = settled(asked.select(*key, "x.*").distinct().select(*state, zero.alias("b")))
+    frontier, result = best, settled(_whole(best, best))
     for done in count():
-        grown = frontier.join(steps, F.col("node_id") == F.col("src")).where(~F.array_contains("b.path", F.col("dst")))
-        state = F.struct(F.round(F.col("b.cost") + F.col("step"), 9).alias("cost"), (F.col("b.hops") + 1).alias("hops"), F.concat("b.path", F.array("dst")).alias("path"), F.round(F.col("b.total") + F.col("w"), 9).alias("total"))
-        found = grown.select("query_id", F.col("dst").alias("node_id"), state.alias("b")).groupBy("query_id", "node_id").agg(F.min("b").alias("n"))
-        better = settled(found.join(best, ["query_id", "node_id"], "left").where("b IS NULL OR n < b").select("query_id", "node_id", F.col("n").alias("b")))
-        if better.isEmpty():
+        here = lambda side, x: F.when(F.col("side") == side, x)
+        waiting = frontier.groupBy(*key).agg(F.count(here(0, 1)).alias("nf"), F.count(here(1, 1)).alias("ng"), F.min(here(0, F.col("b.cost"))).alias("cf"), F.min(here(1, F.col("b.cost"))).alias("cg")).where("nf > 0 AND ng > 0")
+        known = waiting.join(result.select(*key, F.col("b.cost").alias("bound")), key, "left")
+        ahead = F.col("b.cost") + here(0, F.col("cg")).otherwise(F.col("cf")) + least
+        live = frontier.join(known, key).where(F.col("bound").isNull() | (ahead <= F.col("bound") + 1e-6))
+        live = settled(live.select(*state, "b", here(0, F.col("nf") <= 2 * F.col("ng")).otherwise(F.col("ng") <= 2 * F.col("nf")).alias("goes")))
+        if live.isEmpty():
             break
-        if rounds is not None and done >= rounds:
+        grown = live.where("goes").join(both, ["side", "node_id"]).where(~F.array_contains("b.path", F.col("to")))
+        path = here(0, F.concat("b.path", F.array("to"))).otherwise(F.concat(F.array("to"), F.col("b.path")))
+        new = F.struct(F.round(F.col("b.cost") + F.col("step"), 9).alias("cost"), (F.col("b.hops") + 1).alias("hops"), path.alias("path"), F.round(F.col("b.total") + F.col("w"), 9).alias("total"))
+        found = grown.select(*key, "side", F.col("to").alias("node_id"), new.alias("b")).groupBy(*state).agg(F.min("b").alias("n"))
+        better = settled(found.join(best, state, "left").where("b IS NULL OR n < b").select(*state, F.col("n").alias("b")))
+        if rounds is not None and done >= rounds and not better.isEmpty():
             raise RuntimeError(f"paths are still improved after {rounds} rounds")
-        best = settled(best.join(better, ["query_id", "node_id"], "left_anti").union(better))
-        frontier = better
-    ends = pairs.select("query_id", F.col("target_id").alias("node_id"))
-    return best.join(ends, ["query_id", "node_id"]).select("query_id", "b.path", F.col("b.hops").alias("length"), F.round("b.cost", 4).alias("cost"), F.round("b.total", 4).alias("total_weight"))
+        best = settled(best.join(live.select(*key).distinct(), key, "left_semi").join(better, state, "left_anti").union(better))
+        result = settled(result.union(_whole(better, best)).union(_whole(best, better)).groupBy(*key).agg(F.min("b").alias("b")))
+        frontier = better.union(live.where("NOT goes").select(*state, "b"))
+    ends = pairs.select("query_id", F.col("target_id").alias("_t"))
+    return result.join(ends, key).select("query_id", "b.path", F.col("b.hops").alias("length"), F.round("b.cost", 4).alias("cost"), F.round("b.total", 4).alias("total_weight"))
 
 
 def path_edges(paths: DataFrame, edges: DataFrame) -> DataFrame:

@@ -563,8 +563,7 @@ def bfs_similar(read: Read) -> DataFrame:
 def proximity_similar(read: Read) -> DataFrame:
     """Of every vector to each fiftieth one."""
     anchors = vectors_of(read).where("node_id % 50 = 0").select(F.col("node_id").alias("query_id"), "node_id")
-    candidates = vectors_of(read).select("node_id").crossJoin(F.broadcast(anchors.select("query_id")))  # a stated set of queries against all rows
-    return graph.proximity(_near_graph(read), candidates, anchors)
+    return graph.proximity_of_all(_near_graph(read), vectors_of(read), anchors)
 
 
 @query(f"WITH {_KNN_W}, st AS (SELECT node_id FROM u WHERE node_id % 20 = 0), x AS (SELECT node_id, dst AS neighbour_id, 'outgoing' AS direction, w AS weight FROM st JOIN e ON src = node_id UNION ALL SELECT node_id, src, 'incoming', w FROM st JOIN e ON dst = node_id) SELECT node_id, neighbour_id, max(direction) AS direction, max(weight) AS weight FROM x GROUP BY ALL")
