@@ -189,8 +189,7 @@ def _benchmark(read: Read) -> DataFrame:
 
 
 def _qrels(read: Read) -> DataFrame:
-    b = F.broadcast(read("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("_passage")))  # a benchmark's few hundred items
-    return read("documents").join(b, F.col("text").contains(F.col("_passage"))).select("query_id", F.col("doc_id").alias("node_id"))
+    return evaluate.holding(read("documents").withColumnRenamed("doc_id", "node_id"), _benchmark(read))
 
 
 @query(f"WITH {BM25} SELECT term, df, round(idf, 6) AS idf FROM idf")
