@@ -2,14 +2,15 @@
 
 Small (light) sets list all their subsets of the sizes that a partner must share; two light sets link only if they list a
 common one. Large (heavy) sets are found through inverted lists: elements are ordered with frequent ones last, a set enters the
-lists of its first n - ceil(J n) + 1 elements (J the least Jaccard index, 0.85 by default), and two sets that link meet in a list. Light sets near the boundary enter
+lists of its first n - ceil(J n) + l elements (J the least Jaccard index, 0.85 by default; l = 1 + n / 50, rounded down), and two sets that link meet in as many lists as
+the l of the smaller one says. A set that is in fewer lists of others than the l of its smallest partner links with nothing and leaves all lists. Light sets near the boundary enter
 lists too. The boundary is the size at which listing subsets begins to cost more than scanning lists, by the counts of sizes
 and the lengths of lists measured in the corpus.
 
 Sets meet first at two members of each list, those with the least and the greatest hash; verified links give components, and this
-is done again with twice as many other pivots while it halves the pairs of members in different components. At the end
+is done again with eight other pivots while that leaves a fifth fewer pairs of members in different components. At the end
 all pairs of members of one list that are still in different components are checked, so no link between components is lost. A pair is checked by parity bitmaps first (the bits in which two bitmaps differ are a lower bound of
-the sets' symmetric difference, so no link is lost), then by the sets themselves. Equal sets are one node throughout.
+the sets' symmetric difference, so no link is lost), those that are left by bitmaps of eight times as many bits, then by the sets themselves. Equal sets are one node throughout.
 
 Frequent elements are those seen often enough that a million of them at most can exist; any order gives the same links, so
 their counts need not be exact. Words and sets are compared by 64-bit hashes.
@@ -38,14 +39,20 @@ PERCENT = 85
 HOT = 1_000_000
 #: Elements that a task counts at once, and the least local count that it reports.
 COUNTED, REPORTED = 1 << 22, 4
-#: Pairs for each list entry at which all are checked.
-PAIRS = 4
+#: A set meets its partners in one list more for each so many of its elements.
+MORE = 50
+#: Pivots of each kind in a list after the first round, and the percentage of pairs in different components that a round must leave at most for another one.
+PIVOTS, LEFT = 4, 80
 #: A member's last lists that are compared so that a pair is made in one list rather than in all that its members share.
 SEEN = 4
 #: Members of a list that are compared with each other in one task.
 SPLIT = 1024
 #: Rows of 16 bytes up to which a table of nodes is broadcast.
 BROADCAST_ROWS = 1_000_000
+#: The bits of the second bitmaps, of those of the first.
+FINER = 8
+#: The columns of a set's bitmap folded to 256 bits.
+SKETCH = [f"s{i}" for i in range(4)]
 _SHORT, _SUBSET = np.uint64(0x8CB92BA72F3D8DD7), 0xC2B2AE3D27D4EB4F
 
 
@@ -77,8 +84,14 @@ def subset_sizes(n: int, percent: int = PERCENT) -> list[int]:
     return sorted({c for b in partners(n, percent) if (c := needed(n, b, percent)) <= min(n, b)})
 
 
+def meetings(n: int) -> int:
+    """In how many lists a set of n elements meets each of its partners that are no smaller."""
+    return 1 + n // MORE
+
+
 def prefix(n: int, percent: int = PERCENT) -> int:
-    return n - -(-percent * n // 100) + 1
+    """How many lists a set enters: of the elements it shares with a partner, the first meetings() ones are among its first so many."""
+    return min(n, n - -(-percent * n // 100) + meetings(n))
 
 
 def subsets(n: int, percent: int = PERCENT) -> int:
@@ -105,12 +118,12 @@ def boundary(sizes: dict[int, int], scan: float, percent: int = PERCENT) -> int:
     return best
 
 
-def parity(elements: np.ndarray) -> bytes:
-    """A bitmap of the parities of the elements' counts, of half a bit to one bit an element; one of a larger set folds onto a smaller one's by xor.
+def parity(elements: np.ndarray, finer: int = 1) -> bytes:
+    """A bitmap of the parities of the elements' counts, of half a bit to one bit an element, or finer times that; one of a larger set folds onto a smaller one's by xor.
 
     Sets that have nothing in common differ in about a quarter of n bits at least, where a link allows 0.16 n at 85 per cent.
     """
-    bits = max(256, 1 << max(0, len(elements) // 2 - 1).bit_length())
+    bits = finer * max(256, 1 << max(0, len(elements) // 2 - 1).bit_length())
     at = np.bincount((elements & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(at.astype(np.uint8), bitorder="little").tobytes()
 
@@ -237,9 +250,9 @@ def _whole_sets(words: int):
                 s = shingles(hasher, text, words)
                 if len(s) and (node := _node(s)) not in seen:
                     seen.add(node)
-                    rows.append((node, s.tobytes()))
+                    rows.append((node, len(s), parity(s, FINER), s.tobytes()))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["node", "elements"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["node", "n", "bitmap", "elements"])
 
     return run
 
@@ -291,10 +304,10 @@ class Join:
         return (found["elements"].to_numpy(np.uint64), found["c"].to_numpy(np.int64)), total["square"] / total["n"]
 
     def postings(self) -> DataFrame:
-        """(key, node) of all lists of two nodes or more; a key stands for its members."""
+        """(key, node, n, sketch, seen) of all lists of two nodes or more, without nodes that are in too few; a key stands for its members."""
         hot, scan = self.hot()
         words, percent = self.words, self.percent
-        scanned = (self.nodes.agg(F.sum(F.expr(f"n - (({percent} * n + 99) div 100) + 1"))).first()[0] or 0) * scan
+        scanned = (self.nodes.agg(F.sum(F.expr(f"least(n, n - (({percent} * n + 99) div 100) + 1 + n div {MORE})"))).first()[0] or 0) * scan
         sizes = {r["n"]: r["count"] for r in self.nodes.where(F.col("n") < dearest(scanned, percent)).groupBy("n").count().collect()}  # a row for each size below dearest()
         limit = boundary(sizes, scan, percent)
         shared = self.spark.sparkContext.broadcast(hot)
@@ -314,42 +327,50 @@ class Join:
             heads = often.groupBy("key").agg(*lists).where("a <> b")
             often = often.join(F.broadcast(heads), "key")
             both = plain.select("node", "x", "c", "a", "b").union(often.select("node", "x", "c", "a", "b"))
-            return keep(both.select(F.xxhash64("x", "c", "a", "b").alias("key"), "node").distinct())
+            entries = both.select(F.xxhash64("x", "c", "a", "b").alias("key"), "node").groupBy("key", "node").agg(F.count("*").alias("times"))
+            # Two members who met in one of the lists before this one, in the order of keys, needn't meet again.
+            of, along = W.partitionBy("node"), W.partitionBy("node").orderBy("key")
+            before_it = F.array_compact(F.array(*(F.lag("key", i).over(along) for i in range(1, SEEN + 1))))
+            entries = entries.join(self.nodes.select("node", "n", *SKETCH), "node").withColumns({"times": F.sum("times").over(of), "seen": before_it})
+            entries = entries.where(f"n <= {limit} or times >= 1 + (({percent} * n + 99) div 100) div {MORE}")
+            return keep(entries.drop("times").hint("rebalance", "key"))  # so that partial aggregates by key are small; large lists are split
 
     def fitting(self, pairs: DataFrame) -> DataFrame:
         """Pairs (u, n, v, m) whose sizes allow a link, each once, as u < v."""
         return pairs.where(f"u <> v and {fits(self.percent)}").selectExpr("least(u, v) AS u", "greatest(u, v) AS v").distinct()
 
+    def _alike(self, pairs: DataFrame, info: DataFrame) -> DataFrame:
+        """The pairs (u, v) that the bitmaps in info(node, n, bitmap) leave."""
+        both = pairs.join(info.select(F.col("node").alias("u"), "n", F.col("bitmap").alias("x")), "u").join(info.select(F.col("node").alias("v"), F.col("n").alias("m"), F.col("bitmap").alias("y")), "v")
+        return both.select("u", "v", "n", "m", "x", "y").mapInArrow(_by_bitmap(self.percent), "u long, v long")
+
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs (u, v) that link. Bitmaps and sets are moved only for nodes that are in a pair."""
         with scratch(self.spark):
             some = self.nodes.join(_small(_ends(pairs)), "node", "left_semi")
             info = cut(some.select("node", "n", "bitmap"))
-            both = pairs.join(info.withColumnsRenamed({"node": "u", "bitmap": "x"}), "u").join(info.withColumnsRenamed({"node": "v", "n": "m", "bitmap": "y"}), "v")
-            left = cut(both.select("u", "v", "n", "m", "x", "y").mapInArrow(_by_bitmap(self.percent), "u long, v long"))
+            left = cut(self._alike(pairs, info))
             wanted = cut(self.nodes.join(_small(_ends(left)), "node", "left_semi").select(F.col("doc_id").alias("_id")))
             texts = self.docs.join(_small(wanted), F.col("doc_id") == F.col("_id")).select("text")
-            sets = cut(texts.mapInArrow(_whole_sets(self.words), "node long, elements binary"))
+            sets = cut(texts.mapInArrow(_whole_sets(self.words), "node long, n long, bitmap binary, elements binary"))
             if sets.count() > wanted.count():  # rows that repeat a doc_id, in several tasks
                 sets = sets.dropDuplicates(["node"])
+            left, sets = cut(self._alike(left, sets)), sets.select("node", "elements")
             both = left.join(sets.withColumnsRenamed({"node": "v", "elements": "y"}), "v").join(sets.withColumnsRenamed({"node": "u", "elements": "x"}), "u")
             return keep(both.select("u", "v", "x", "y").mapInArrow(_by_sets(self.percent), "u long, v long"))
 
     def links(self) -> DataFrame:
         """Links (u, v) between nodes that have the components of all links."""
-        sketches = [f"s{i}" for i in range(4)]
-        along = W.partitionBy("node").orderBy("key")
-        before_it = F.array_compact(F.array(*(F.lag("key", i).over(along) for i in range(1, SEEN + 1))))
-        # Two members who met in one of the lists before this one, in the order of keys, needn't meet again.
-        held = cut(self.postings().join(self.nodes.select("node", "n", *sketches), "node").withColumn("seen", before_it).hint("rebalance", "key"))  # so that partial aggregates by key are small; large lists are split
+        held = self.postings()
         entries, rounds, before = held.count(), 0, float("inf")
         placed, links, checked = held.withColumn("root", F.col("node")), None, None
         twin = [F.col("node").alias("v"), F.col("n").alias("m"), F.col("root").alias("other"), *(F.col(f"s{i}").alias(f"t{i}") for i in range(4))]
         while True:
             member = lambda i: F.struct(F.xxhash64("node", F.lit(i + 100 * rounds)).alias("h"), *twin)
-            picked = [f(member(i)).alias(f"{name}{i}") for i in range(2**rounds) for name, f in (("least", F.min), ("most", F.max))]
-            pivots = placed.groupBy("key").agg(*picked).select("key", F.array_distinct(F.array(*(f"{name}{i}" for i in range(2**rounds) for name in ("least", "most")))).alias("pivots"))
-            met = placed.join(pivots, "key").select("node", "n", "root", *sketches, F.explode("pivots").alias("p")).selectExpr("node AS u", "n", "root", *sketches, "p.*")
+            some = range(PIVOTS if rounds else 1)
+            picked = [f(member(i)).alias(f"{name}{i}") for i in some for name, f in (("least", F.min), ("most", F.max))]
+            pivots = placed.groupBy("key").agg(*picked).select("key", F.array_distinct(F.array(*(f"{name}{i}" for i in some for name in ("least", "most")))).alias("pivots"))
+            met = placed.join(pivots, "key").select("node", "n", "root", *SKETCH, F.explode("pivots").alias("p")).selectExpr("node AS u", "n", "root", *SKETCH, "p.*")
             pairs = self.fitting(met.where("root <> other"))
             pairs = cut(pairs if checked is None else pairs.join(checked, ["u", "v"], "left_anti"))
             new = self.verified(pairs)
@@ -364,16 +385,19 @@ class Join:
             placed = held = cut(rooted.join(_small(open_lists.select("key", "k")), "key"))
             discard(rooted, open_lists)
             rounds += 1
-            if not apart or rounds > 1 and (apart <= PAIRS * entries or apart > before / 2):
+            if apart <= entries or 100 * apart > LEFT * before:
                 break
             before = apart
-        # Lists of more than SPLIT members are cut into parts, and every two parts meet in a group of their own.
-        parts = placed.withColumn("parts", F.ceil(F.col("k") / SPLIT).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+        # Lists are dealt once, and each meets itself; those of more than SPLIT members are cut into parts, and every two parts meet in a group of their own.
+        other, apart_and_fit = [F.col("seen").alias("met"), *twin], f"root < other AND {fits(self.percent)} AND NOT arrays_overlap(seen, met)"
+        short = placed.where(F.col("k") <= SPLIT).select("key", "node", "n", "root", *SKETCH, "seen").repartition("key")
+        joined = short.join(short.select("key", *other), "key").where(apart_and_fit)
+        parts = placed.where(F.col("k") > SPLIT).withColumn("parts", F.ceil(F.col("k") / SPLIT).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
         parts = parts.withColumn("far", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        one = parts.select("key", F.col("own").alias("one"), F.col("far").alias("two"), "node", "n", "root", *sketches, "seen")
-        two = parts.select("key", F.col("far").alias("one"), F.col("own").alias("two"), F.col("seen").alias("met"), *twin)
-        joined = one.join(two, ["key", "one", "two"]).where(f"root < other AND {fits(self.percent)} AND NOT arrays_overlap(seen, met)")
-        pairs = self.fitting(joined.selectExpr("node AS u", "n", "v", "m", *sketches, "t0", "t1", "t2", "t3"))
+        one = parts.select("key", F.col("own").alias("one"), F.col("far").alias("two"), "node", "n", "root", *SKETCH, "seen")
+        two = parts.select("key", F.col("far").alias("one"), F.col("own").alias("two"), *other)
+        joined = joined.drop("key").union(one.join(two, ["key", "one", "two"]).where(apart_and_fit).drop("key", "one", "two"))
+        pairs = self.fitting(joined.selectExpr("node AS u", "n", "v", "m", *SKETCH, "t0", "t1", "t2", "t3"))
         return links.union(self.verified(cut(pairs.join(checked, ["u", "v"], "left_anti"))))
 
 
