@@ -8,7 +8,7 @@ lists too. The boundary is the size at which listing subsets begins to cost more
 and the lengths of lists measured in the corpus.
 
 Sets meet first at two members of each list, those with the least and the greatest hash; verified links give components, and this
-is done again with eight other pivots while that leaves a fifth fewer pairs of members in different components. At the end
+is done again with eight other pivots while that leaves a tenth fewer pairs of members in different components. At the end
 all pairs of members of one list that are still in different components are checked, so no link between components is lost. A pair is checked by parity bitmaps first (the bits in which two bitmaps differ are a lower bound of
 the sets' symmetric difference, so no link is lost), those that are left by bitmaps of eight times as many bits, then by the sets themselves. Equal sets are one node throughout.
 
@@ -42,7 +42,7 @@ COUNTED, REPORTED = 1 << 22, 4
 #: A set meets its partners in one list more for each so many of its elements.
 MORE = 50
 #: Pivots of each kind in a list after the first round, and the percentage of pairs in different components that a round must leave at most for another one.
-PIVOTS, LEFT = 4, 80
+PIVOTS, LEFT = 4, 90
 #: A member's last lists that are compared so that a pair is made in one list rather than in all that its members share.
 SEEN = 4
 #: Members of a list that are compared with each other in one task.
