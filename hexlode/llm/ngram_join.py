@@ -148,6 +148,23 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def _marked(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """df with __maybe, which is false only where column isn't in ids(__id); 64 bits in each of BROADCAST_ROWS rows at most are broadcast, however many ids there are."""
+    at = lambda c: F.pmod(F.xxhash64(c.cast("long")), F.lit(64 * BROADCAST_ROWS))
+    bits = ids.select(at(F.col("__id")).alias("h")).groupBy(F.expr("h div 64").alias("__word")).agg(F.expr("bit_or(shiftleft(1L, cast(h % 64 as int)))").alias("__bits"))
+    both = df.withColumn("__at", at(df[column])).join(F.broadcast(bits), F.expr("__at div 64 = __word"), "left")
+    return both.withColumn("__maybe", F.expr("coalesce(getbit(__bits, cast(__at % 64 as int)) = 1, false)")).drop("__at", "__word", "__bits")
+
+
+def among(df: DataFrame, column: str, ids: DataFrame, how: str = "left_semi") -> DataFrame:
+    """The rows of df whose column is in ids(__id), or with left_anti all others. Whole rows are shuffled only where column may be in ids and these are too many to be broadcast."""
+    if ids.count() <= BROADCAST_ROWS:
+        return df.join(F.broadcast(ids), df[column] == F.col("__id"), how)
+    marked = _marked(df, column, ids)
+    found = marked.where("__maybe").join(ids, marked[column] == F.col("__id"), how)
+    return (found if how == "left_semi" else found.union(marked.where("not __maybe"))).drop("__maybe")
+
+
 def _ends(pairs: DataFrame) -> DataFrame:
     return cut(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct())
 
@@ -350,8 +367,8 @@ class Join:
             some = self.nodes.join(_small(_ends(pairs)), "node", "left_semi")
             info = cut(some.select("node", "n", "bitmap"))
             left = cut(self._alike(pairs, info))
-            wanted = cut(self.nodes.join(_small(_ends(left)), "node", "left_semi").select(F.col("doc_id").alias("_id")))
-            texts = self.docs.join(_small(wanted), F.col("doc_id") == F.col("_id")).select("text")
+            wanted = cut(self.nodes.join(_small(_ends(left)), "node", "left_semi").select(F.col("doc_id").alias("__id")))
+            texts = among(self.docs, "doc_id", wanted).select("text")
             sets = cut(texts.mapInArrow(_whole_sets(self.words), "node long, n long, bitmap binary, elements binary"))
             if sets.count() > wanted.count():  # rows that repeat a doc_id, in several tasks
                 sets = sets.dropDuplicates(["node"])
@@ -416,5 +433,5 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Data
 
 def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """docs without those that aren't their component's smallest doc_id; documents without a set stay."""
-    gone = classes(docs, words, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+    gone = classes(docs, words, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct()
+    return among(docs, "doc_id", gone, "left_anti")

@@ -64,3 +64,37 @@ def test_near_copies_are_not_compared_all_with_all(spark, monkeypatch):
     monkeypatch.setattr(ngram_join.Join, "verified", verified)
     assert set(found(spark, texts).values()) == {0}
     assert sum(counted) < 20 * len(texts)
+
+
+def test_texts_are_not_shuffled_to_drop_copies(spark):
+    docs = spark.createDataFrame([(i, f"s{i % 3}", f"a b c d e f g h {i // 2}") for i in range(20)], "doc_id long, source string, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        left = ngram_join.one_of_each(docs)
+        assert "SortMergeJoin" not in left._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r["doc_id"] for r in left.collect()) == list(range(0, 20, 2))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_rows_are_found_by_more_ids_than_are_broadcast(spark, monkeypatch):
+    docs = spark.range(20000).selectExpr("IF(id % 1000 = 7, NULL, id) AS doc_id", "'x' AS text").union(spark.sql("SELECT 5L, 'y'"))
+    ids = spark.range(0, 20000, 10).select((F.col("id") + 5).alias("__id"))
+    for most in (1, 1000):
+        monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", most)
+        marked = ngram_join._marked(docs, "doc_id", ids)
+        assert marked.where("__maybe").count() < (20002 if most == 1 else 3000)
+        assert ngram_join.among(docs, "doc_id", ids).count() == 2001
+        rest = ngram_join.among(docs, "doc_id", ids, "left_anti")
+        assert rest.columns == docs.columns and rest.count() == 18000 and rest.where("doc_id IS NULL").count() == 20 and rest.where("doc_id % 10 = 5").isEmpty()
+
+
+def test_copies_go_when_their_ids_are_too_many_to_be_broadcast(spark, monkeypatch):
+    texts = [" ".join([*(f"t{i // 3}w{j}" for j in range(80)), *[f"end{i}"] * (i % 3)]) for i in range(60)]
+    docs = spark.createDataFrame([*enumerate(texts), (None, texts[0]), (60, None), (1, texts[1])], "doc_id long, text string")
+    kept = lambda: sorted((str(r["doc_id"]) for r in ngram_join.one_of_each(docs).collect()))
+    want = sorted(map(str, [*range(0, 60, 3), 60, None]))
+    assert kept() == want
+    monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", 4)
+    assert kept() == want
