@@ -1,9 +1,10 @@
-"""Retrieval quality over ranked(query_id, node_id, rank, ...) and qrels(query_id, node_id); all measures for all queries in one plan."""
+"""Retrieval quality over ranked(query_id, node_id, rank, ...) and qrels(query_id, node_id), or a Relevance; all measures for all queries in one plan."""
 
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -61,12 +62,43 @@ def holding(nodes: DataFrame, passages: DataFrame) -> DataFrame:
     return found.join(F.broadcast(ids), "place").select("query_id", "node_id")
 
 
-def metrics(ranked: DataFrame, qrels: DataFrame, k: int = 10, by: tuple[str, ...] = (), divisor: str = "retrieved") -> DataFrame:
-    """(by..., query_id, precision, recall, hit, mrr, ndcg) for every query with a relevant node; divisor "k" divides by k always."""
-    keys = [*by, "query_id"]
+@dataclass(frozen=True)
+class Relevance:
+    """Which nodes are relevant to which queries, without the pairs where these are too many: the number of each query's, and rel, 1 or 0, for the rows of ranked(query_id, node_id, ...)."""
+
+    totals: DataFrame  # query_id, relevant
+    marked: Callable[[DataFrame], DataFrame]
+
+
+def by_pairs(qrels: DataFrame) -> Relevance:
     wanted = qrels.select("query_id", "node_id").distinct()
     totals = wanted.groupBy("query_id").agg(F.count("*").alias("relevant"))
-    marked = ranked.join(wanted.withColumn("rel", F.lit(1)), ["query_id", "node_id"], "left").withColumn("rel", F.coalesce("rel", F.lit(0)))
+    return Relevance(totals, lambda ranked: ranked.join(wanted.withColumn("rel", F.lit(1)), ["query_id", "node_id"], "left").withColumn("rel", F.coalesce("rel", F.lit(0))))
+
+
+def by_label(nodes: DataFrame, queries: DataFrame, label: str = "label") -> Relevance:
+    """Relevant to a row of queries(query_id, label) are the rows of nodes(node_id, label) with an equal label; null labels equal nothing, and rows of one id have all their labels.
+
+    Pairs grow with the square of the table, so none is made: nodes are counted by their labels, and a ranked row's two labels are compared.
+    """
+    sets = lambda df, id, name: df.where(F.col(label).isNotNull()).groupBy(id).agg(F.sort_array(F.collect_set(label)).alias(name))
+    held, asked = sets(nodes, "node_id", "_held"), sets(queries, "query_id", "_asked")
+    counts = held.groupBy("_held").agg(F.count("*").alias("n")).withColumn("_label", F.explode("_held"))
+    met = asked.select("_asked").distinct().withColumn("_label", F.explode("_asked")).join(counts, "_label").select("_asked", "_held", "n").distinct()
+    totals = asked.join(met.groupBy("_asked").agg(F.sum("n").alias("relevant")), "_asked").select("query_id", "relevant")
+
+    def marked(ranked: DataFrame) -> DataFrame:
+        known = ranked.join(asked, "query_id", "left").join(held, "node_id", "left")
+        return known.withColumn("rel", F.coalesce(F.arrays_overlap("_asked", "_held").cast("int"), F.lit(0))).drop("_asked", "_held")
+
+    return Relevance(totals, marked)
+
+
+def metrics(ranked: DataFrame, qrels: DataFrame | Relevance, k: int = 10, by: tuple[str, ...] = (), divisor: str = "retrieved") -> DataFrame:
+    """(by..., query_id, precision, recall, hit, mrr, ndcg) for every query with a relevant node; divisor "k" divides by k always."""
+    keys = [*by, "query_id"]
+    judged = qrels if isinstance(qrels, Relevance) else by_pairs(qrels)
+    totals, marked = judged.totals, judged.marked(ranked)
     within = (F.col("rank") <= k) & (F.col("rel") == 1)
     sums = marked.groupBy(*keys).agg(
         F.count(F.when(F.col("rank") <= k, 1)).alias("got"), F.count(F.when(within, 1)).alias("hits"), F.min(F.when(F.col("rel") == 1, F.col("rank"))).alias("first"), F.sum(F.when(within, 1 / F.log2(F.col("rank") + 1)).otherwise(0.0)).alias("dcg")
@@ -101,7 +133,7 @@ def compare_systems(results: DataFrame, k: int = 10) -> DataFrame:
     return means.crossJoin(F.broadcast(best)).select("mode", "precision", "recall", "mrr", "ndcg", F.round(gain, 4).alias("ndcg_gain"), "winner")
 
 
-def weight_ablation(scored: DataFrame, qrels: DataFrame, k: int = 10, weights=WEIGHTS) -> DataFrame:
+def weight_ablation(scored: DataFrame, qrels: DataFrame | Relevance, k: int = 10, weights=WEIGHTS) -> DataFrame:
     """Mean measures for each pair of weights over scored(query_id, node_id, v, g): one plan for all pairs."""
     from pyspark.sql import Window as W
 
@@ -111,17 +143,17 @@ def weight_ablation(scored: DataFrame, qrels: DataFrame, k: int = 10, weights=WE
     return summary(metrics(ranked, qrels, k, by=("alpha", "beta")), ("alpha", "beta"))
 
 
-def effectiveness(results: DataFrame, qrels: DataFrame, k: int = 10) -> DataFrame:
+def effectiveness(results: DataFrame, qrels: DataFrame | Relevance, k: int = 10) -> DataFrame:
     """(mode, precision, recall, mrr, ndcg, coverage, relevant_finds, avg_score, score_variance, queries): each mode's means over the queries with a relevant node, for results(mode, query_id, node_id, score, rank).
 
     Coverage is the share of a query's relevant nodes that are found; scores' variance is that of the population; means have four decimals.
     """
     top = results.where(F.col("rank") <= k)
-    measured = metrics(top, qrels, k, by=("mode",), divisor="k")
-    relevant = qrels.select("query_id", "node_id").distinct()
-    found = top.join(relevant, ["query_id", "node_id"], "left_semi").groupBy("mode", "query_id").agg(F.count("*").alias("finds"))
+    judged = qrels if isinstance(qrels, Relevance) else by_pairs(qrels)
+    measured = metrics(top, judged, k, by=("mode",), divisor="k")
+    found = judged.marked(top).where("rel = 1").groupBy("mode", "query_id").agg(F.count("*").alias("finds"))
     scores = top.groupBy("mode", "query_id").agg(F.avg("score").alias("avg_score"), F.var_pop("score").alias("variance"))
-    joined = measured.join(found, ["mode", "query_id"], "left").join(scores, ["mode", "query_id"], "left").join(relevant.groupBy("query_id").agg(F.count("*").alias("relevant")), "query_id")
+    joined = measured.join(found, ["mode", "query_id"], "left").join(scores, ["mode", "query_id"], "left").join(judged.totals, "query_id")
     zero = lambda c: F.coalesce(c, F.lit(0))
     means = {"coverage": zero(F.col("finds")) / F.col("relevant"), "relevant_finds": zero(F.col("finds")), "avg_score": zero(F.col("avg_score")), "score_variance": zero(F.col("variance"))}
     return joined.groupBy("mode").agg(*(F.round(F.avg(c), 4).alias(c) for c in ("precision", "recall", "mrr", "ndcg")), *(F.round(F.avg(c), 4).alias(n) for n, c in means.items()), F.count("*").alias("queries"))

@@ -108,7 +108,8 @@ def search_conditions(
     weight = lambda name: F.element_at(F.array(*(F.lit(getattr(c, name)) for c in table)), F.col("query_id._c") + 1)
     scored = fused.withColumn("combined", F.round(weight("alpha") * F.col("v") + weight("beta") * F.col("proximity"), vector.DECIMALS))
     if deduplicate:
-        scored = scored.join(nodes.select("node_id", F.md5(strip(F.col("text"))).alias("_text")), "node_id")  # equal texts by their digests
+        # equal texts by their digests, which are written, as a join would make them anew for each candidate
+        scored = scored.join(settled(nodes.select("node_id", F.md5(strip(F.col("text"))).alias("_text"))), "node_id")
         scored = scored.withColumn("_p", F.row_number().over(W.partitionBy("query_id", "_text").orderBy(F.desc("combined"), "node_id"))).where("_p = 1")
     scored = scored.where(F.col("combined") >= min_score).withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("combined"), "node_id"))).where(F.col("rank") <= top_k)
     return scored.select(weight("name").alias("condition"), "query_id.query_id", "node_id", F.round("v", 4).alias("vector_score"), F.round("proximity", 4).alias("graph_score"), F.round("combined", 4).alias("combined_score"), "rank")

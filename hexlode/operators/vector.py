@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.text import strip
 from ..functions.vectors import cosine, normalized
+from ..shared import settled
 
 #: Vectors of each side that meet in one task, at most and (to keep all tasks busy) at least, and bytes of theirs.
 GROUP, LEAST_GROUP, GROUP_BYTES = 16384, 256, 64 << 20
@@ -196,7 +197,7 @@ def vector_search(
     rows = vectors.where(where) if where is not None else vectors
     if text is None:
         return similar(queries, rows, top_k, "query_id", id, min_score=min_score).select("query_id", id, "score", "rank")
-    rows = rows.withColumn("_text", F.md5(strip(F.col(text))))  # the text itself isn't sent along with each pair
+    rows = settled(rows.select(id, "embedding", F.md5(strip(F.col(text))).alias("_text")))  # the text itself isn't sent along with each pair, and its digest is made once
     found = similar(queries, rows, top_k, "query_id", id, min_score=min_score, distinct="_text").join(rows.select(id, "_text"), id)
     best = F.row_number().over(W.partitionBy("query_id", "_text").orderBy(F.desc("score"), id))
     found = found.withColumn("_best", best).where("_best = 1").drop("rank")

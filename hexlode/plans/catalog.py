@@ -506,7 +506,8 @@ def _similar_edges(read: Read) -> DataFrame:
 
 
 def _hybrid_inputs(read: Read) -> tuple[DataFrame, DataFrame, DataFrame]:
-    nodes = documents_with_vectors(read)
+    """Nodes are written once, since a search reads them many times and each join of theirs would shuffle all texts."""
+    nodes = graph.settled(documents_with_vectors(read))
     return nodes, graph.settled(_similar_edges(read)), searched(nodes).select("query_id", "text", "embedding")
 
 
@@ -682,10 +683,10 @@ ms AS (SELECT {keys}, query_id, round(coalesce(hits / nullif({bottom}, 0), 0), 6
 _MEANS = "round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall, round(avg(mrr), 6) AS mrr, round(avg(ndcg), 6) AS ndcg"
 
 
-def _label_qrels(nodes: DataFrame, queries: DataFrame) -> DataFrame:
+def _label_qrels(nodes: DataFrame, queries: DataFrame) -> evaluate.Relevance:
     """Relevant are the rows with the query's label."""
     labels = nodes.select("node_id", "label")
-    return labels.join(queries.select(F.col("query_id").alias("node_id")), "node_id").select(F.col("node_id").alias("query_id"), "label").join(labels, "label").select("query_id", "node_id")
+    return evaluate.by_label(labels, labels.withColumnRenamed("node_id", "query_id").join(queries.select("query_id"), "query_id", "left_semi"))
 
 
 @query(f"{_conditions_sql(hybrid.ABLATION)}, {_LABELLED}, {_judged_sql('res', 'condition', 10)} SELECT condition, {_MEANS}, count(*) AS queries FROM ms GROUP BY ALL")
