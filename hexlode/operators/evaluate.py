@@ -10,6 +10,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..shared import settled
+
 #: Bits that a passage's anchor is hashed to.
 ANCHOR_BITS = 20
 #: The weights of an ablation.
@@ -140,7 +142,7 @@ def weight_ablation(scored: DataFrame, qrels: DataFrame | Relevance, k: int = 10
     grid = F.explode(F.array(*(F.struct(F.lit(a).alias("alpha"), F.lit(b).alias("beta")) for a, b in weights)))
     rows = scored.select("query_id", "node_id", "v", "g", grid.alias("w")).select("query_id", "node_id", "w.*", F.round(F.col("w.alpha") * F.col("v") + F.col("w.beta") * F.col("g"), 6).alias("score"))
     ranked = rows.withColumn("rank", F.row_number().over(W.partitionBy("alpha", "beta", "query_id").orderBy(F.desc("score"), "node_id"))).where(F.col("rank") <= k)
-    return summary(metrics(ranked, qrels, k, by=("alpha", "beta")), ("alpha", "beta"))
+    return summary(metrics(settled(ranked), qrels, k, by=("alpha", "beta")), ("alpha", "beta"))  # read twice
 
 
 def effectiveness(results: DataFrame, qrels: DataFrame | Relevance, k: int = 10) -> DataFrame:
