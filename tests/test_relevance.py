@@ -32,3 +32,13 @@ def test_no_pair_of_a_label_is_made(spark):
     assert most_rows(spark) <= 6000
     evaluate.metrics(results, asked.join(nodes, "label").select("query_id", "node_id"), by=("mode",)).collect()
     assert most_rows(spark) >= 800000
+
+
+def test_ablation_makes_no_pair_of_a_label(spark, monkeypatch):
+    from hexlode.plans import catalog
+
+    got, by_label = [], evaluate.by_label
+    monkeypatch.setattr(evaluate, "by_label", lambda *a: got.append(by_label(*a)) or got[-1])
+    found = catalog.QUERIES["ablation_conditions"](spark, "/root/testdata/sf0.001").collect()
+    n = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
+    assert len(got) == 1 and len(found) == 5 and most_rows(spark) <= 6 * n  # five conditions' ten results for each twentieth document, and all documents
